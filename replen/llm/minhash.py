@@ -164,7 +164,7 @@ def screened(feats: DataFrame, p: NearParams) -> DataFrame:
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         sizes = np.diff([*starts, len(pdf)])
         ids = pdf["doc_id"].to_numpy(np.int64)
-        sketch = np.stack([pdf[c].to_numpy(np.int64) for c in LANES], 1)
+        sketch = np.stack([pdf[c].to_numpy(np.int64) for c in LANES], 1).view(np.uint64)  # bits of signed numbers are counted without their sign
         two = starts[sizes == 2]
         near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1, dtype=np.int64) <= limit] if len(two) else two
         found = [np.stack([ids[near], ids[near + 1]], 1)]
