@@ -64,7 +64,7 @@ class Agenda:
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment: merge the adjacent pair with the best score, the leftmost of equals, until none is a piece."""
-        symbols = [self.symbol.get(c, -ord(c)) for c in segment]
+        symbols = [self.symbol.get(c, -1 - ord(c)) for c in segment]
         symbols = self._merge_short(symbols) if len(symbols) <= 48 else self._merge_long(symbols)
         if min(symbols) >= 0 and max(symbols) < len(self.pieces):
             return symbols
@@ -73,7 +73,7 @@ class Agenda:
             if 0 <= i < len(self.pieces):
                 out.append(i)
             elif self.bytes:
-                out.extend(self.bytes[b] for b in (chr(-i) if i < 0 else self.single[i]).encode())
+                out.extend(self.bytes[b] for b in (chr(-1 - i) if i < 0 else self.single[i]).encode())
             else:
                 out.append(self.unknown)
         return out
