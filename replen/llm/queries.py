@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from replen.llm import exact, minhash, pieces
+from replen.llm import exact, langid, line_rules, lm_score, minhash, mixing, pieces, pii, quality, secrets
+
+#: The key of the pseudonyms in the registered query; users pass their own.
+DEMO_KEY = "a key for the registered query"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +19,48 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    texts = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", "text", *map(count, pii.PATTERNS))
+
+
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_rules.clean(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents"), exact.dealt_load())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.with_digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -32,17 +74,90 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_langid": op2_langid,
+    "op3_pii": op3_pii,
+    "op4_line_rules": op4_line_rules,
     "op5_exact": op5_exact,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
+    "op8_lm_score": op8_lm_score,
+    "op9_secrets": op9_secrets,
     "op10_pieces": op10_pieces,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _op4() -> str:
+    r = line_rules
+    return f"""
+        with d as (
+            select row_number() over () as row_id, doc_id, coalesce(text, '') as text,
+                   regexp_extract_all(coalesce(text, ''), '{_WORD}+') as words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) as lines
+            from documents),
+        w as (
+            select row_id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] as window_text
+            from (select row_id, words, unnest(range(1, len(words) - 1)) as i from d where len(words) >= 3)),
+        f as (select row_id, i from w qualify count(*) over (partition by row_id, window_text) > 1),
+        c as (select row_id, count(distinct p) as n from (select row_id, unnest([i, i + 1, i + 2]) as p from f) group by row_id),
+        s as (
+            select d.row_id, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::bigint as word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+                   len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+                   coalesce(list_sum(list_transform(list_filter(lines, x ->
+                       (not regexp_matches(x, {_quoted(r.SENTENCE_END)}) and len(regexp_extract_all(x, '{_WORD}+')) > {r.MOST_HEADING})
+                       or 10 * (length(x) - length(regexp_replace(x, '{r.SYMBOLS}', '', 'g'))) > length(x)
+                       or regexp_matches(x, {_quoted(r.NAVIGATION)}) or regexp_matches(x, {_quoted(r.SHOUTING)})
+                       or (regexp_matches(x, {_quoted(r.NOTICE)}) and length(x) <= {r.MOST_NOTICE})),
+                       x -> length(regexp_replace(x, '{_SPACE}+', '', 'g')))), 0) as lost
+            from d left join c using (row_id))
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost <= 50 * word_chars as kept
+        from s"""
+
+
+def _op9() -> str:
+    """The spans of every rule by walking the texts between its matches; no index is needed for the same result."""
+    rules = [*secrets.BASE, *secrets.ADDED]
+    each = " union all ".join(
+        f"""select row_id, {i} as ord, '{r.kind}' as kind, {r.least} as least,
+                   regexp_split_to_array(text, {_quoted(r.pattern)}) as around, regexp_extract_all(text, {_quoted(r.pattern)}, 0) as hits,
+                   regexp_extract_all(text, {_quoted(r.pattern)}, {r.measured}) as measured
+            from d where regexp_matches(text, {_quoted(r.pattern)})"""
+        for i, r in enumerate(rules)
+    )
+    text = "kind || ':' || start_at || ':' || (start_at + size)"
+    n = len(secrets.BASE)
+    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE)
+    return f"""
+        with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as text from documents),
+        e as ({each}),
+        u as (select row_id, ord, kind, least, around, hits, measured, unnest(range(1, len(hits) + 1)) as i from e),
+        s as (select row_id, ord, kind, length(hits[i]) as size,
+                     (list_sum(list_transform(around[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], x -> length(x))), 0))::bigint as start_at
+              from u where length(measured[i]) >= least)
+        select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE)},
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join (
+            select row_id, {counts}, string_agg({text}, ',' order by start_at, ord) filter (where ord < {n}) as base,
+                   string_agg({text}, ',' order by start_at, ord) as spans
+            from s group by row_id) using (row_id)"""
+
+
 ORACLE = {
-    "op5_exact": """
-        with t as (
-            select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256,
-                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm
-            from documents)
+    "op4_line_rules": _op4(),
+    "op5_exact": f"""
+        with t as (select doc_id, {_LOWER} as norm from documents)
         select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
-               doc_id = max(doc_id) over (partition by norm) as kept, text_sha256
+               doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
         from t""",
+    "op9_secrets": _op9(),
 }
