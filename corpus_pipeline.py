@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from replen.llm import exact, minhash, pieces
+from replen.llm import exact, minhash, mixing, pieces, quality
 from replen.llm.common import stored
 from replen.llm.queries import piece_model
 
 
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents under their language's perplexity limit; the model's trusted texts are labelled rows of docs."""
+    fitted = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, fitted)
+
+
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
     decided = exact.deduplicate(docs, exact.dealt_load()).where("kept").select("doc_id")
@@ -21,17 +28,26 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it (0 to 2 times)."""
+    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").distinct()
+    rows = docs.join(taken, "doc_id").withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return rows.select(docs.columns)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that the mix takes, once for each time it is taken."""
     return pieces.with_digests(pieces.encode(docs, pieces.model_bytes(piece_model())))
 
 
 STAGES = [
+    ("quality", of_quality),
     ("exact dedup", one_of_each_text),
     ("near dedup", one_of_each_group),
+    ("mixing", mixed),
     ("encoding", encoded),
 ]
-#: No stage of the language models, mixing or near duplicates can be put in SQL; tests use brute force.
+#: The models' smoothing, MinHash groups, balanced rates and ids are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 
