@@ -115,6 +115,6 @@ def compare_by_type(compared: DataFrame, types: DataFrame) -> DataFrame:
 
 def compare_overall(compared: DataFrame) -> DataFrame:
     return compared.agg(
-        F.count("*").alias("n"), F.count_if("winner = 'internal'").alias("internal_wins"), F.count_if("winner = 'external'").alias("external_wins"),
+        F.count("*").alias("n"), F.count_if(F.col("winner") == "internal").alias("internal_wins"), F.count_if(F.col("winner") == "external").alias("external_wins"),
         F.avg("internal_mape").alias("internal_mape"), F.avg("external_mape").alias("external_mape"), F.median("improvement").alias("median_improvement"),
     )

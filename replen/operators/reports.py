@@ -107,7 +107,7 @@ def yoy_kpis(sales: DataFrame, category: DataFrame, as_of: date) -> DataFrame:
     rows = yoy_by_category(sales, category, as_of)
     total = rows.where("level = 1").agg(
         F.sum("current").alias("current"), F.sum("prior").alias("prior"),
-        F.count_if("current > prior").alias("n_rising"), F.count_if("current < prior").alias("n_falling"),
+        F.count_if(F.col("current") > F.col("prior")).alias("n_rising"), F.count_if(F.col("current") < F.col("prior")).alias("n_falling"),
     )
     total = total.withColumn("change", F.when(F.col("prior") > 0, (F.col("current") - F.col("prior")) / F.col("prior") * 100).otherwise(999.0))
     now, _ = year_to_last_month(as_of)

@@ -283,7 +283,7 @@ def weekly_stars(spark, d):
 
 
 @registered(_stats_sql("model") + """, w as (select model, color, sum(quantity) as quantity from fx_sales where sale_date between date '2001-08-06' and date '2001-08-12' group by all)
-    select model, color, quantity, type, row_number() over (partition by type order by quantity desc, model, color) as rank from w join k on k.entity = w.model qualify rank <= 5""")
+    select model, color, w.quantity, type, row_number() over (partition by type order by w.quantity desc, model, color) as rank from w join k on k.entity = w.model qualify rank <= 5""")
 def top_products_by_type(spark, d):
     return reports.top_by_type(fx.sales(spark, d), types(spark, d), AS_OF).select("model", "color", "quantity", "type", "rank")
 

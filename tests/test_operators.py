@@ -47,7 +47,7 @@ def test_entity_stats_of_one_month(spark):
 def test_seasonal_index_golden(spark):
     rows = [(D(2001, m, 1), "CH0010101", q) for m, q in ((1, 180), (2, 20), (3, 100))]
     index = {r.calendar_month: r for r in stats.seasonal_index(stats.monthly(sales_of(spark, rows), "sku", AS_OF)).collect()}
-    assert index[1].index == pytest.approx(1.8) and index[1].in_season and not index[3].in_season
+    assert index[1]["index"] == pytest.approx(1.8) and index[1].in_season and not index[3].in_season
 
 
 def test_priority_golden(spark):
