@@ -20,13 +20,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def registered(sql: str | None = None):
-    """Register a query under its function's name, and the SQL (over the feeds) of its result."""
+def registered(sql: str | None = None, whole: str = ""):
+    """Register a query under its function's name, and the SQL (over the feeds) of its result.
+
+    whole: columns that SQL sums in 128 bits and that are cast to 64.
+    """
 
     def wrap(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = fx.with_fixtures(sql)
+            casts = ", ".join(f"cast({c} as bigint) as {c}" for c in whole.split())
+            full = fx.with_fixtures(sql)
+            ORACLE[f.__name__] = f"select * replace ({casts}) from ({full})" if casts else full
         return f
 
     return wrap
@@ -92,20 +97,20 @@ _SUMMARY = (
 # Statistics and inventory
 
 
-@registered(_stats_sql("model") + " select entity, n_months, quantity, round(average, 6) as average, round(sd, 6) as sd, round(cv, 6) as cv, type, in_season, round(safety_stock, 6) as safety_stock, round(rop, 6) as rop from r")
+@registered(_stats_sql("model") + " select entity, n_months, quantity, round(average, 6) as average, round(sd, 6) as sd, round(cv, 6) as cv, type, in_season, round(safety_stock, 6) as safety_stock, round(rop, 6) as rop from r", whole="quantity")
 def reorder_points_by_model(spark, d):
     out = plans.reorder_points(fx.sales(spark, d), "model", AS_OF)
     return rounded(out.select("entity", "n_months", "quantity", "average", "sd", "cv", "type", "in_season", "safety_stock", "rop"))
 
 
-@registered(_stats_sql("sku") + " select entity, n_months, quantity, round(average, 6) as average, round(sd, 6) as sd, type, in_season, round(safety_stock, 6) as safety_stock, round(rop, 6) as rop from r")
+@registered(_stats_sql("sku") + " select entity, n_months, quantity, round(average, 6) as average, round(sd, 6) as sd, type, in_season, round(safety_stock, 6) as safety_stock, round(rop, 6) as rop from r", whole="quantity")
 def reorder_points_by_sku(spark, d):
     out = plans.reorder_points(fx.sales(spark, d), "sku", AS_OF)
     return rounded(out.select("entity", "n_months", "quantity", "average", "sd", "type", "in_season", "safety_stock", "rop"))
 
 
 @registered(_SUMMARY + """ select pr.entity, type, round(rop, 6) as rop, stock, price, value, below_rop, round(deficit, 6) as deficit, round(overstock_percent, 6) as overstock_percent,
-    forecast, main_material_name as material from pr left join fx_bom b on b.model = substring(pr.entity, 1, 5)""")
+    forecast, main_material_name as material from pr left join fx_bom b on b.model = substring(pr.entity, 1, 5)""", whole="stock forecast")
 def full_summary(spark, d):
     return rounded(whole_summary(spark, d).select("entity", "type", "rop", "stock", "price", "value", "below_rop", "deficit", "overstock_percent", "forecast", "material"))
 
@@ -113,7 +118,7 @@ def full_summary(spark, d):
 @registered("""s as (
     select 'sku' as entity_type, sku as entity_id, * from fx_sales union all select 'model', model, * from fx_sales)
     select entity_type, entity_id, date_trunc('month', sale_date)::date as month, sum(quantity) as total_quantity, round(sum(total_amount), 2) as total_revenue,
-           count(*) as transaction_count, count(distinct order_id) as unique_orders, round(avg(unit_price), 6) as avg_unit_price from s group by all""")
+           count(*) as transaction_count, count(distinct order_id) as unique_orders, round(avg(unit_price), 6) as avg_unit_price from s group by all""", whole="total_quantity")
 def monthly_aggregation(spark, d):
     out = stats.monthly_aggregation(fx.sales(spark, d))
     return rounded(out.withColumn("total_revenue", F.round("total_revenue", 2)))
@@ -130,19 +135,19 @@ def recent_average(spark, d):
     return rounded(stats.recent_average(months(spark, d, "sku")), 2)
 
 
-@registered("x as (select model, color, year(sale_date) as year, sum(quantity) as quantity from fx_history group by all) select * from x")
+@registered("x as (select model, color, year(sale_date) as year, sum(quantity) as quantity from fx_history group by all) select * from x", whole="quantity")
 def yearly_sales(spark, d):
     return stats.yearly_sales(fx.history(spark, d), ["model", "color"])
 
 
-@registered("x as (select model, color, year(forecast_date) as year, sum(forecast) as forecast from fx_forecast where generated_date = date '2001-08-01' and forecast_date >= date '2001-08-01' group by all) select * from x")
+@registered("x as (select model, color, year(forecast_date) as year, sum(forecast) as forecast from fx_forecast where generated_date = date '2001-08-01' and forecast_date >= date '2001-08-01' group by all) select * from x", whole="forecast")
 def yearly_forecast(spark, d):
     return stats.yearly_forecast(latest_forecast(spark, d), ["model", "color"], AS_OF)
 
 
 @registered("""k as (select month, row_number() over (order by month desc) as rk from (select distinct month from months_sku)),
     a as (select m.*, rk, lower(substring(entity, 1, 2)) as pre, (select max(rk) from k) as known from months_sku m join k using (month))
-    select entity, sum(quantity) as period_sales from a where (pre in ('ch', 'ni', 'dz') and rk <= 2) or (pre in ('do', 'ju') and known > 12 and rk between 11 and 12) group by entity""")
+    select entity, sum(quantity) as period_sales from a where (pre in ('ch', 'ni', 'dz') and rk <= 2) or (pre in ('do', 'ju') and known > 12 and rk between 11 and 12) group by entity""", whole="period_sales")
 def period_sales(spark, d):
     return stats.period_sales(months(spark, d, "sku"), 1.36)
 
@@ -152,7 +157,7 @@ def new_models(spark, d):
     return stats.new_models(fx.history(spark, d), AS_OF)
 
 
-@registered("x as (select entity, sum(quantity) as quantity from months_sku group by entity) select * from x order by quantity desc, entity limit 50")
+@registered("x as (select entity, sum(quantity) as quantity from months_sku group by entity) select * from x order by quantity desc, entity limit 50", whole="quantity")
 def volume_ranking(spark, d):
     return stats.volume_ranking(months(spark, d, "sku"), 50)
 
@@ -172,7 +177,7 @@ def latest_forecast_per_day(spark, d):
     return inventory.latest_per_key(fx.forecast(spark, d), ["sku", "forecast_date"], ["generated_date"]).select("sku", "forecast_date", "forecast")
 
 
-@registered("x as (select generated_date, sum(forecast) as forecast, count(*) as n from fx_forecast where generated_date = date '2001-03-01' group by 1) select * from x")
+@registered("x as (select generated_date, sum(forecast) as forecast, count(*) as n from fx_forecast where generated_date = date '2001-03-01' group by 1) select * from x", whole="forecast")
 def forecast_version_as_of(spark, d):
     rows = inventory.version_as_of(fx.forecast(spark, d), inventory.accuracy_target(date(2001, 7, 1)), 14)
     return rows.groupBy("generated_date").agg(F.sum("forecast").alias("forecast"), F.count("*").alias("n"))
@@ -180,12 +185,12 @@ def forecast_version_as_of(spark, d):
 
 @registered(_SUMMARY + """ select count(*) as n, count(*) filter (where below_rop) as n_below_rop, round(sum(deficit), 4) as total_deficit,
     round(count(*) filter (where below_rop) * 100.0 / count(*), 4) as percent_below, count(*) filter (where overstock_percent >= 20) as n_overstocked,
-    count(*) filter (where overstock_percent < 20 and not below_rop) as n_normal, sum(stock) as total_stock, round(sum(value), 4) as total_value from pr""")
+    count(*) filter (where overstock_percent < 20 and not below_rop) as n_normal, sum(stock) as total_stock, round(sum(value), 4) as total_value from pr""", whole="total_stock")
 def stock_kpis(spark, d):
     return rounded(inventory.stock_kpis(whole_summary(spark, d)), 4)
 
 
-@registered(_SUMMARY + " select entity, type, stock from pr left join fx_bom b on b.model = substring(pr.entity, 1, 5) where below_rop and type in ('basic', 'regular') and coalesce(main_material_name, '') <> 'fabric1' and entity like '%00%'")
+@registered(_SUMMARY + " select entity, type, stock from pr left join fx_bom b on b.model = substring(pr.entity, 1, 5) where below_rop and type in ('basic', 'regular') and coalesce(main_material_name, '') <> 'fabric1' and entity like '%00%'", whole="stock")
 def summary_filters(spark, d):
     return whole_summary(spark, d).where(inventory.matches("00", below_rop=True, types=["basic", "regular"], not_materials=["fabric1"])).select("entity", "type", "stock")
 
@@ -235,7 +240,7 @@ _ROLLUP = _SUMMARY + """,
                   bool_or(urgent) as urgent, greatest(0, sum(forecast) - sum(stock)) as coverage_gap from pr group by all)"""
 
 
-@registered(_ROLLUP + " select model, color, round(score, 6) as score, round(deficit, 6) as deficit, forecast, stock, urgent, coverage_gap from mc")
+@registered(_ROLLUP + " select model, color, round(score, 6) as score, round(deficit, 6) as deficit, forecast, stock, urgent, coverage_gap from mc", whole="forecast stock coverage_gap")
 def priorities_by_model_color(spark, d):
     out = priority.by_model_color(priority.prioritise(whole_summary(spark, d)))
     return rounded(out.select("model", "color", "score", "deficit", "forecast", "stock", "urgent", "coverage_gap"))
@@ -268,7 +273,7 @@ _WEEK = """wk as (select *, case when prior > 0 then (current - prior) * 100.0 /
     b as (select model, f0, least(f0 + 60, date '2001-08-15') as e from n),
     g as (select model, cast(unnest(generate_series(f0 - (isodow(f0)::int + 4) % 7, e - (isodow(e)::int + 4) % 7, interval 7 days)) as date) as week from b),
     s as (select h.model, sale_date - (isodow(sale_date)::int + 4) % 7 as week, sum(quantity) as quantity from fx_history h join b using (model) where sale_date <= e group by all)
-    select g.model, g.week, coalesce(s.quantity, 0) as quantity, (select min(product_name) from fx_stock t where t.model = g.model) as product_name from g left join s on s.model = g.model and s.week = g.week""")
+    select g.model, g.week, coalesce(s.quantity, 0) as quantity, (select min(product_name) from fx_stock t where t.model = g.model) as product_name from g left join s on s.model = g.model and s.week = g.week""", whole="quantity")
 def weekly_new_products(spark, d):
     return reports.weekly_new_products(fx.history(spark, d), fx.stock(spark, d), AS_OF)
 
@@ -277,13 +282,13 @@ def weekly_new_products(spark, d):
         coalesce(sum(quantity) filter (where sale_date between date '2000-08-07' and date '2000-08-13'), 0) as prior from fx_sales
         where sale_date between date '2001-08-06' and date '2001-08-12' or sale_date between date '2000-08-07' and date '2000-08-13' group by model), """ + _WEEK + """
     (select 'rising' as star, model, current, prior, difference, round(change, 6) as change from wk order by difference desc, model limit 1)
-    union all (select 'falling', model, current, prior, difference, round(change, 6) from wk order by difference, model limit 1)""")
+    union all (select 'falling', model, current, prior, difference, round(change, 6) from wk order by difference, model limit 1)""", whole="current prior difference")
 def weekly_stars(spark, d):
     return rounded(reports.stars(fx.sales(spark, d), AS_OF))
 
 
 @registered(_stats_sql("model") + """, w as (select model, color, sum(quantity) as quantity from fx_sales where sale_date between date '2001-08-06' and date '2001-08-12' group by all)
-    select model, color, w.quantity, type, row_number() over (partition by type order by w.quantity desc, model, color) as rank from w join k on k.entity = w.model qualify rank <= 5""")
+    select model, color, w.quantity, type, row_number() over (partition by type order by w.quantity desc, model, color) as rank from w join k on k.entity = w.model qualify rank <= 5""", whole="quantity")
 def top_products_by_type(spark, d):
     return reports.top_by_type(fx.sales(spark, d), types(spark, d), AS_OF).select("model", "color", "quantity", "type", "rank")
 
@@ -296,13 +301,13 @@ _CHANGE = "round(case when sum(prior) > 0 then (sum(current) - sum(prior)) * 100
 
 @registered(_YOY + f""", c as (select podgrupa, kategoria, current, prior from pd left join fx_category using (model))
     select podgrupa, kategoria, 0 as level, sum(current) as current, sum(prior) as prior, sum(current) - sum(prior) as difference, {_CHANGE} from c group by all
-    union all select podgrupa, null, 1, sum(current), sum(prior), sum(current) - sum(prior), {_CHANGE} from c where podgrupa is not null group by podgrupa""")
+    union all select podgrupa, null, 1, sum(current), sum(prior), sum(current) - sum(prior), {_CHANGE} from c where podgrupa is not null group by podgrupa""", whole="current prior difference")
 def yoy_by_category(spark, d):
     return rounded(reports.yoy_by_category(fx.sales(spark, d), fx.category(spark, d), AS_OF))
 
 
 @registered(_YOY + f"""select color, model, 0 as level, sum(current) as current, sum(prior) as prior, sum(current) - sum(prior) as difference, {_CHANGE} from pd group by all
-    union all select color, null, 1, sum(current), sum(prior), sum(current) - sum(prior), {_CHANGE} from pd group by color""")
+    union all select color, null, 1, sum(current), sum(prior), sum(current) - sum(prior), {_CHANGE} from pd group by color""", whole="current prior difference")
 def yoy_by_color(spark, d):
     return rounded(reports.yoy_by_color(fx.sales(spark, d), AS_OF))
 
@@ -311,28 +316,28 @@ def yoy_by_color(spark, d):
     select sum(current) as current, sum(prior) as prior, count(*) filter (where current > prior) as n_rising, count(*) filter (where current < prior) as n_falling,
            round(case when sum(prior) > 0 then (sum(current) - sum(prior)) * 100.0 / sum(prior) else 999 end, 6) as change,
            (select count(distinct model) from pd where current > 0 and model not in (select model from fx_category)) as uncategorised_models,
-           (select coalesce(sum(current), 0) from pd where model not in (select model from fx_category)) as uncategorised_sales from c""")
+           (select coalesce(sum(current), 0) from pd where model not in (select model from fx_category)) as uncategorised_sales from c""", whole="current prior uncategorised_sales")
 def yoy_kpis(spark, d):
     return rounded(reports.yoy_kpis(fx.sales(spark, d), fx.category(spark, d), AS_OF))
 
 
 @registered("""l as (select distinct month from months_sku order by month desc limit 4), o as (select *, substring(entity, 6, 2) as color from months_sku where entity like 'DO001%'),
     c as (select color, month from (select distinct color from o), l), q as (select color, month, sum(quantity) as quantity from o group by all)
-    select color, month, coalesce(quantity, 0) as quantity from c left join q using (color, month)""")
+    select color, month, coalesce(quantity, 0) as quantity from c left join q using (color, month)""", whole="quantity")
 def sales_by_color_last_months(spark, d):
     return reports.color_months(months(spark, d, "sku"), "DO001")
 
 
 @registered("""p as (select model, color, sum(quantity) as quantity, count(distinct date_trunc('month', sale_date)) as n_months from fx_sales where sale_date between date '2000-08-01' and date '2001-08-15' group by all)
     select model, color, quantity, n_months, round(quantity / n_months, 6) as per_month, main_material_name as material_type from
-    (select * from p order by quantity / n_months, model, color limit 20) left join fx_bom using (model)""")
+    (select * from p order by quantity / n_months, model, color limit 20) left join fx_bom using (model)""", whole="quantity")
 def worst_models(spark, d):
     meta = fx.bom(spark, d).select("model", F.col("main_material_name").alias("material_type"))
     return rounded(reports.worst_models(fx.sales(spark, d), meta, AS_OF))
 
 
 @registered("""p as (select model, sum(quantity) as quantity, min(sale_date) as first_sale, date_diff('day', min(sale_date), date '2001-08-15') / 30.44::double as n_months from fx_history group by model)
-    select model, quantity, first_sale, round(n_months, 6) as n_months, round(quantity / n_months, 6) as per_month from p where n_months > 0 and quantity > 0 order by quantity / n_months, model limit 20""")
+    select model, quantity, first_sale, round(n_months, 6) as n_months, round(quantity / n_months, 6) as per_month from p where n_months > 0 and quantity > 0 order by quantity / n_months, model limit 20""", whole="quantity")
 def worst_rotating_models(spark, d):
     return rounded(reports.worst_rotating(fx.history(spark, d), AS_OF))
 
@@ -348,7 +353,7 @@ def _yearly(spark, d):
 @registered(_YEARLY + """, w as (select model, coalesce(sum(quantity) filter (where year = 1999), 0) as two_years_ago, coalesce(sum(quantity) filter (where year = 2000), 0) as last_year,
         coalesce(sum(quantity) filter (where year = 2001), 0) as this_year from ys where year >= 1999 group by model)
     select w.*, coalesce((select sum(forecast) from yf where yf.model = w.model), 0) as forecast,
-           round(case when two_years_ago > 0 then (last_year - two_years_ago) * 100.0 / two_years_ago when last_year > 0 then 100 else 0 end, 6) as change from w""")
+           round(case when two_years_ago > 0 then (last_year - two_years_ago) * 100.0 / two_years_ago when last_year > 0 then 100 else 0 end, 6) as change from w""", whole="two_years_ago last_year this_year forecast")
 def yearly_summary(spark, d):
     return rounded(reports.yearly_summary(*_yearly(spark, d), AS_OF))
 
@@ -363,7 +368,7 @@ def yearly_trend(spark, d):
 
 @registered("""b as (select entity, min(month) as lo, max(month) as hi from months_model group by entity),
     s as (select entity, cast(unnest(generate_series(lo, hi, interval 1 month)) as date) as month from b)
-    select s.entity, s.month, coalesce(quantity, 0) as quantity from s left join months_model m on m.entity = s.entity and m.month = s.month""")
+    select s.entity, s.month, coalesce(quantity, 0) as quantity from s left join months_model m on m.entity = s.entity and m.month = s.month""", whole="quantity")
 def filled_months(spark, d):
     return series.filled(months(spark, d))
 
@@ -377,7 +382,7 @@ _FILLED = """b as (select entity, min(month) as lo, max(month) as hi from months
         round(avg(quantity) over (w rows between 3 preceding and 1 preceding), 6) as mean_3,
         round(coalesce(stddev_samp(quantity) over (w rows between 6 preceding and 1 preceding), 0), 6) as sd_6,
         coalesce(lag(quantity, 1) over w - lag(quantity, 13) over w, 0) as yoy, quarter(month) as quarter, round(sin(month(month) * (2 * pi() / 12)), 6) as month_sin
-    from fs window w as (partition by entity order by month)""")
+    from fs window w as (partition by entity order by month)""", whole="quantity lag_1 lag_12 yoy")
 def series_features(spark, d):
     out = series.features(series.filled(months(spark, d), 12))
     return rounded(out.select("entity", "month", "quantity", "lag_1", "lag_12", "mean_3", "sd_6", "yoy", "quarter", "month_sin"))
@@ -405,12 +410,12 @@ def _grid(spark, d):
     return accuracy.daily_grid(fx.sales(spark, d), fx.forecast_daily(spark, d), stock, date(2001, 5, 16), date(2001, 7, 30), "model")
 
 
-@registered(_GRID + " select entity, round(mape, 6) as mape, round(bias, 6) as bias, round(mae, 6) as mae, round(rmse, 6) as rmse, total_forecast, total_actual, n_days, n_days_out, missed from ac")
+@registered(_GRID + " select entity, round(mape, 6) as mape, round(bias, 6) as bias, round(mae, 6) as mae, round(rmse, 6) as rmse, total_forecast, total_actual, n_days, n_days_out, missed from ac", whole="total_forecast total_actual missed")
 def forecast_accuracy(spark, d):
     return rounded(accuracy.accuracy(_grid(spark, d)))
 
 
-@registered(_GRID + ", " + _stats_sql("model") + " select coalesce(type, 'unknown') as type, count(*) as n, round(avg(mape), 6) as mape, round(avg(rmse), 6) as rmse, sum(missed) as missed from ac left join k using (entity) group by 1")
+@registered(_GRID + ", " + _stats_sql("model") + " select coalesce(type, 'unknown') as type, count(*) as n, round(avg(mape), 6) as mape, round(avg(rmse), 6) as rmse, sum(missed) as missed from ac left join k using (entity) group by 1", whole="missed")
 def accuracy_by_type(spark, d):
     return rounded(accuracy.by_type(accuracy.accuracy(_grid(spark, d)), types(spark, d)).select("type", "n", "mape", "rmse", "missed"))
 
@@ -421,7 +426,7 @@ def accuracy_trend(spark, d):
     return rounded(accuracy.trend(_grid(spark, d)))
 
 
-@registered(_GRID + " select count(*) as n, round(avg(mape), 6) as mape, sum(total_forecast) as total_forecast, round(greatest(0, 1 - abs(sum(total_forecast) - sum(total_actual)) / sum(total_actual)) * 100, 6) as volume_accuracy from ac")
+@registered(_GRID + " select count(*) as n, round(avg(mape), 6) as mape, sum(total_forecast) as total_forecast, round(greatest(0, 1 - abs(sum(total_forecast) - sum(total_actual)) / sum(total_actual)) * 100, 6) as volume_accuracy from ac", whole="total_forecast")
 def accuracy_overall(spark, d):
     return rounded(accuracy.overall(accuracy.accuracy(_grid(spark, d))).select("n", "mape", "total_forecast", "volume_accuracy"))
 
@@ -514,7 +519,7 @@ def material_gap(spark, d):
     return rounded(materials.gap(_required(spark, d), held).select("material", "gap_meters", "gap_kg"), 4)
 
 
-@registered("x as (select facility, count(*) as n_orders, sum(total_quantity) as quantity from fx_order group by facility) select facility, n_orders, quantity, round(quantity / 50000.0 * 100, 4) as use_percent, round(quantity / 12500.0, 4) as weeks_ahead from x")
+@registered("x as (select facility, count(*) as n_orders, sum(total_quantity) as quantity from fx_order group by facility) select facility, n_orders, quantity, round(quantity / 50000.0 * 100, 4) as use_percent, round(quantity / 12500.0, 4) as weeks_ahead from x", whole="quantity")
 def facility_load(spark, d):
     orders = fx.orders(spark, d)
     capacity = orders.select("facility").distinct().withColumn("capacity", F.lit(50_000.0))
@@ -527,7 +532,7 @@ def order_ages(spark, d):
 
 
 @registered("""h as (select model, color, size, sum(quantity) as quantity from fx_history group by all)
-    select model, color, size, quantity, round(quantity / sum(quantity) over (partition by model, color), 6) as priority from h""")
+    select model, color, size, quantity, round(quantity / sum(quantity) over (partition by model, color), 6) as priority from h""", whole="quantity")
 def size_priorities(spark, d):
     return rounded(allocation.size_priorities(fx.history(spark, d)))
 
@@ -551,7 +556,7 @@ def pattern_allocation(spark, d):
     a as (select c.*, coalesce(sales_12m, 0) as sales_12m, greatest(0, coalesce(sales_12m, 0) - coalesce(stock, 0)) as cap from c left join s using (model, color) left join t using (model, color)),
     b as (select *, least(quantity, cap) as kept, cap - least(quantity, cap) as room from a),
     e as (select *, least(sum(quantity - kept) over m, sum(room) over m) as given, sum(room) over m as rooms, sum(room) over (partition by model order by sales_12m desc, color rows unbounded preceding) as upto from b window m as (partition by model))
-    select model, color, quantity, cap, cast(kept + coalesce(floor(upto * given / nullif(rooms, 0)), 0) - coalesce(floor((upto - room) * given / nullif(rooms, 0)), 0) as bigint) as capped from e where cap > 0""")
+    select model, color, quantity, cap, cast(kept + coalesce(floor(upto * given / nullif(rooms, 0)), 0) - coalesce(floor((upto - room) * given / nullif(rooms, 0)), 0) as bigint) as capped from e where cap > 0""", whole="quantity cap")
 def capped_colors(spark, d):
     rows = latest_forecast(spark, d).groupBy("model", "color").agg(F.sum("forecast").alias("quantity"))
     sold = fx.history(spark, d).where("sale_date >= date '2000-08-15'").groupBy("model", "color").agg(F.sum("quantity").alias("sales_12m"))
@@ -587,7 +592,7 @@ def upsert_stock(spark, d):
 
 
 @registered("""s as (select 'sku' as entity_type, sku as entity_id, * from fx_sales union all select 'model', model, * from fx_sales)
-    select entity_type, count(*) as n, sum(quantity) as quantity from (select entity_type, entity_id, date_trunc('month', sale_date) as month, sum(quantity) as quantity from s group by all) group by entity_type""")
+    select entity_type, count(*) as n, sum(quantity) as quantity from (select entity_type, entity_id, date_trunc('month', sale_date) as month, sum(quantity) as quantity from s group by all) group by entity_type""", whole="quantity")
 def refreshed_after_batch(spark, d):
     sales = fx.sales(spark, d)
     batch = sales.where("sale_date >= date '2001-08-01'")
@@ -604,7 +609,7 @@ def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"sales": fx.history(spark, d), "stock": inventory.latest_snapshot(fx.stock(spark, d)), "forecast": latest_forecast(spark, d), "stats": plans.reorder_points(fx.sales(spark, d), "sku", AS_OF)}
 
 
-@registered("x as (select model, sum(quantity) as total from fx_history group by model) select * from x order by total desc, model limit 10")
+@registered("x as (select model, sum(quantity) as total from fx_history group by model) select * from x order by total desc, model limit 10", whole="total")
 def ask_top_models(spark, d):
     return query(QuerySpec("sales", group_by="model", limit=10), tables(spark, d))
 
@@ -619,17 +624,17 @@ def ask_seasonal_low_stock(spark, d):
     return query(QuerySpec("stock", below_rop=True, types=("seasonal",)), tables(spark, d)).select("sku", "available_stock")
 
 
-@registered("x as (select color, sum(forecast) as total from fx_forecast where generated_date = date '2001-08-01' and model = 'DO001' group by color) select * from x")
+@registered("x as (select color, sum(forecast) as total from fx_forecast where generated_date = date '2001-08-01' and model = 'DO001' group by color) select * from x", whole="total")
 def ask_forecast_by_color(spark, d):
     return query(QuerySpec("forecast", models=("do001",), group_by="color"), tables(spark, d))
 
 
-@registered("x as (select podgrupa, sum(quantity) as total from fx_history join fx_category using (model) group by podgrupa) select * from x")
+@registered("x as (select podgrupa, sum(quantity) as total from fx_history join fx_category using (model) group by podgrupa) select * from x", whole="total")
 def ask_category_breakdown(spark, d):
     rows = tables(spark, d)["sales"].join(fx.category(spark, d), "model")
     return rows.groupBy("podgrupa").agg(F.sum("quantity").alias("total"))
 
 
-@registered("x as (select case when substring(lower(model), 1, 2) in ('ch', 'ni', 'dz') then 'children' else 'adult' end as age, sum(quantity) as total from fx_history group by 1) select * from x")
+@registered("x as (select case when substring(lower(model), 1, 2) in ('ch', 'ni', 'dz') then 'children' else 'adult' end as age, sum(quantity) as total from fx_history group by 1) select * from x", whole="total")
 def sales_by_age(spark, d):
     return fx.history(spark, d).groupBy(age_category(F.col("model")).alias("age")).agg(F.sum("quantity").alias("total"))
