@@ -100,7 +100,7 @@ def _op4() -> str:
         with d as (
             select row_number() over () as row_id, doc_id, coalesce(text, '') as text,
                    regexp_extract_all(coalesce(text, ''), '{_WORD}+') as words,
-                   list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) as lines
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines
             from documents),
         w as (
             select row_id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] as window_text
@@ -108,15 +108,15 @@ def _op4() -> str:
         f as (select row_id, i from w qualify count(*) over (partition by row_id, window_text) > 1),
         c as (select row_id, count(distinct p) as n from (select row_id, unnest([i, i + 1, i + 2]) as p from f) group by row_id),
         s as (
-            select d.row_id, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::bigint as word_chars,
+            select d.row_id, doc_id, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
                    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
                    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
-                   coalesce(list_sum(list_transform(list_filter(lines, x ->
+                   coalesce(list_sum(list_transform(list_filter(lines, lambda x:
                        (not regexp_matches(x, {_quoted(r.SENTENCE_END)}) and len(regexp_extract_all(x, '{_WORD}+')) > {r.MOST_HEADING})
                        or 10 * (length(x) - length(regexp_replace(x, '{r.SYMBOLS}', '', 'g'))) > length(x)
                        or regexp_matches(x, {_quoted(r.NAVIGATION)}) or regexp_matches(x, {_quoted(r.SHOUTING)})
                        or (regexp_matches(x, {_quoted(r.NOTICE)}) and length(x) <= {r.MOST_NOTICE})),
-                       x -> length(regexp_replace(x, '{_SPACE}+', '', 'g')))), 0) as lost
+                       lambda x: length(regexp_replace(x, '{_SPACE}+', '', 'g')))), 0) as lost
             from d left join c using (row_id))
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
@@ -142,7 +142,7 @@ def _op9() -> str:
         e as ({each}),
         u as (select row_id, ord, kind, least, around, hits, measured, unnest(range(1, len(hits) + 1)) as i from e),
         s as (select row_id, ord, kind, length(hits[i]) as size,
-                     (list_sum(list_transform(around[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], x -> length(x))), 0))::bigint as start_at
+                     (list_sum(list_transform(around[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint as start_at
               from u where length(measured[i]) >= least)
         select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE)},
                sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
