@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from replen.functions.change import banded
 from replen.functions.sku import age_category
-from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, priority, reports, series, stats
+from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats
 from replen.operators.adhoc import QuerySpec, query
 from replen.plans import summary as plans
 from replen.sources import fixtures as fx
@@ -638,3 +638,68 @@ def ask_category_breakdown(spark, d):
 @registered("x as (select case when substring(lower(model), 1, 2) in ('ch', 'ni', 'dz') then 'children' else 'adult' end as age, sum(quantity) as total from fx_history group by 1) select * from x", whole="total")
 def sales_by_age(spark, d):
     return fx.history(spark, d).groupBy(age_category(F.col("model")).alias("age")).agg(F.sum("quantity").alias("total"))
+
+
+# Selection and order shaping
+
+
+@registered("""e as (select distinct substring(sku, 1, 7) as k from fx_sku where bn = 3 and color = '01')
+    select sku, sum(available_stock) as stock from fx_stock where substring(sku, 1, 7) not in (select k from e) group by sku""", whole="stock")
+def without_excluded_colors(spark, d):
+    excluded = fx.skus(spark, d).where("bn = 3 and color = '01'")
+    return selection.without(fx.stock(spark, d), excluded, "model_color").groupBy("sku").agg(F.sum("available_stock").alias("stock"))
+
+
+@registered(_ROLLUP + """ select mc.model, mc.color, round(mc.score, 6) as score, main_material_name as material from mc left join fx_bom using (model)
+    where mc.model not in (select model from fx_order where status = 'active' and order_date >= date '2001-07-01') and main_material_name in ('fabric1', 'fabric2', 'fabric4')""")
+def order_candidates(spark, d):
+    rolled = priority.by_model_color(priority.prioritise(whole_summary(spark, d)))
+    meta = fx.bom(spark, d).select("model", F.lit("F1").alias("facility"), F.col("main_material_name").alias("material"))
+    recent = fx.orders(spark, d).where("order_date >= date '2001-07-01'")
+    rows = selection.order_candidates(rolled, recent, meta, materials=["fabric1", "fabric2", "fabric4"])
+    return rounded(rows.select("model", "color", "score", "material"))
+
+
+@registered("""r as (select *, substring(entity, 1, 5) as model, substring(entity, 6, 2) as color, substring(entity, 8, 2) as size from months_sku),
+    k as (select *, dense_rank() over (partition by model, color order by month desc) as rk from r)
+    select model, color, size, sum(quantity) as sold from k where rk <= 4 group by all""", whole="sold")
+def size_sales_history(spark, d):
+    return orders.size_history(months(spark, d, "sku"))
+
+
+@registered("""r as (select *, substring(entity, 1, 5) as model, substring(entity, 8, 2) as size from months_sku),
+    k as (select *, dense_rank() over (partition by model order by month desc) as rk from r)
+    select model, month, size, sum(quantity) as quantity from k where rk <= 3 group by all""", whole="quantity")
+def size_sales_by_month(spark, d):
+    return orders.size_months(months(spark, d, "sku"))
+
+
+@registered("""x as (select model, size, sum(quantity) as produced from fx_history group by all)
+    select model, size, produced, round(produced * 100.0 / sum(produced) over (partition by model), 6) as percent from x""", whole="produced")
+def size_distribution(spark, d):
+    return rounded(orders.size_distribution(fx.history(spark, d).withColumnRenamed("quantity", "produced")))
+
+
+@registered("""c as (select * from (values ('01', 'XS'), ('02', 'S'), ('03', 'M'), ('04', 'L'), ('05', 'XL')) a(code, alias))
+    select model, color, coalesce(alias, size) as name, sum(available_stock) as stock from fx_stock left join c on code = size where snapshot_date = date '2001-08-13' group by all""", whole="stock")
+def stock_by_color_size(spark, d):
+    aliases = spark.createDataFrame([("01", "XS"), ("02", "S"), ("03", "M"), ("04", "L"), ("05", "XL")], "code string, alias string")
+    return orders.stock_by_color_size(inventory.latest_snapshot(fx.stock(spark, d)), aliases)
+
+
+@registered("x as (select distinct facility as value from fx_order) select value from x")
+def facility_choices(spark, d):
+    return selection.choices(fx.orders(spark, d), "facility")
+
+
+@registered("x as (select order_id, order_date, model from fx_order where status = 'active') select * from x")
+def active_orders(spark, d):
+    return orders.active_orders(fx.orders(spark, d)).select("order_id", "order_date", "model")
+
+
+@registered()
+def pooled_ml_forecast(spark, d):
+    """One pooled model over all models' series, chosen by its error on the last months, and its forecasts."""
+    matrix = series.training_matrix(months(spark, d), types(spark, d))
+    _, model, _ = forecasting.train_pooled(matrix, date(2001, 3, 1), ["ridge", "random_forest"])
+    return forecasting.predict_pooled(model, series.future_matrix(months(spark, d), types(spark, d), 3), 1.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from replen.functions.calendar import last_whole_week, week_start, year_to_last_month
 from replen.functions.change import percent_change
 from replen.functions.sku import aliased, with_sku_parts
-from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, priority, reports, series, stats
+from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats, store
 from replen.operators.adhoc import QuerySpec, query
 from replen.plans.settings import Settings
 from replen.sources import files
@@ -219,3 +219,50 @@ def test_files(spark, tmp_path):
 def test_pattern_sets(spark, tmp_path):
     (tmp_path / "p.json").write_text('[{"id": 1, "name": "n", "size_names": ["S"], "min_order_per_pattern": 5, "patterns": [{"id": 2, "name": "p", "sizes": {"S": 1, "M": 2}}]}]')
     assert {(r.set_id, r.pattern_id, r["size"], r["count"]) for r in files.pattern_sizes(spark, str(tmp_path)).collect()} == {(1, 2, "S", 1), (1, 2, "M", 2)}
+
+
+def test_selection(spark):
+    rows = spark.createDataFrame([("CH0010101",), ("CH0010201",), ("DO0010101",), (None,)], "sku string")
+    out = spark.createDataFrame([("CH0010199",), (None,)], "sku string")
+    left = lambda level: {r.sku for r in selection.without(rows, out, level).collect()}
+    assert left("model_color") == {"CH0010201", "DO0010101", None} and left("model") == {"DO0010101", None} and len(left("sku")) == 4
+    stock = spark.createDataFrame([("CH0010101", "n", True), ("DO0010101", None, False)], "sku string, product_name string, is_active boolean")
+    assert selection.active_only(rows, stock).count() == 1
+    view = [tuple(r) for r in selection.exclusion_view(stock, out.where("sku is not null")).collect()]
+    assert view[0] == ("CH0010199", None, True) and len(view) == 3
+    assert [r.sku for r in selection.exclusion_list(rows.union(rows)).collect()] == ["CH0010101", "CH0010201", "DO0010101"]
+    assert selection.with_defaults(rows, stock=0, sku="x").columns == ["sku", "stock"]
+
+
+def test_orders(spark):
+    t = dt.datetime
+    rows = spark.createDataFrame([("1", D(2001, 1, 1), "active", t(2001, 1, 1), None), ("2", D(2001, 1, 2), "active", t(2001, 1, 1), None)], "order_id string, order_date date, status string, updated_at timestamp, archived_at timestamp")
+    assert [r.order_id for r in orders.active_orders(rows).collect()] == ["2", "1"]
+    done = orders.archive(rows, rows.where("order_id = '2'"), t(2001, 2, 1))
+    assert [r.order_id for r in orders.archived_orders(done).collect()] == ["2"] and orders.active_orders(done).count() == 1
+    times = spark.createDataFrame([(t(2001, 1, 1), t(2001, 1, 3, 5)), (t(2001, 1, 1), t(2001, 1, 1, 5)), (t(2001, 1, 1), t(2001, 1, 1, 0, 5)), (t(2001, 1, 2), t(2001, 1, 1)), (None, None)], "a timestamp, b timestamp")
+    assert [r[0] for r in times.select(orders.processing_time(F.col("a"), F.col("b"))).collect()] == ["2d", "5h", "<1h", "", ""]
+    uses = spark.createDataFrame([("m", 2, 3), ("m", 1, 4), ("m", 3, 0)], "model string, p int, n int")
+    assert orders.pairs_text(uses, ["model"], "p", "n", "t").first().t == "1:4, 2:3"
+    made = spark.createDataFrame([("m", "01", 3, 4), ("m", "02", 5, 5)], "model string, size string, required int, produced int")
+    assert {(r["size"], r.excess) for r in orders.required_and_produced(made, ["02"]).collect()} == {("01", 1), ("02", 0), ("TOTAL", 1)}
+
+
+def test_order_table(spark):
+    scored = spark.createDataFrame([("CH0010101", 5.0, 2.5, 4), ("CH0010102", 7.0, 0.0, 1)], "entity string, score double, deficit double, forecast int")
+    items = orders.color_items(scored)
+    assert items.first().sizes == {"01": 4, "02": 1}
+    months = spark.createDataFrame([("CH0010101", D(2001, 7, 1), 9)], "entity string, month date, quantity int")
+    row = orders.order_table(items.drop("sizes"), months, [D(2001, 6, 1), D(2001, 7, 1)]).first().asDict()
+    assert (row["06-2001"], row["07-2001"]) == (0, 9)
+
+
+def test_store(spark, tmp_path):
+    root = str(tmp_path)
+    made = spark.createDataFrame([("a", D(2001, 9, 1), 5.0, "x")], "entity string, month date, forecast double, method string")
+    for name, day in (("b1", D(2001, 8, 1)), ("b2", D(2001, 9, 1))):
+        store.save_batch(made, root, name, day, "model", 3)
+    assert [r.batch_id for r in store.list_batches(spark, root).collect()] == ["b2", "b1"]
+    assert store.load_batch(spark, root, "b1").count() == 1 and store.covered_months(D(2001, 8, 15), 3) == (D(2001, 8, 1), D(2001, 10, 1))
+    real = spark.createDataFrame([("a", D(2001, 9, 1), 4)], "entity string, month date, quantity int")
+    assert store.rescore(store.load_batch(spark, root, "b1"), made.drop("method"), real, D(2001, 10, 1)).first().winner == "tie"
