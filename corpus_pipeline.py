@@ -18,19 +18,19 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
-    decided = exact.deduplicate(docs, exact.dealt_load()).where("kept").select("doc_id")
+    decided = exact.deduplicate(docs, exact.dealt_load()).where("kept").select("doc_id").hint("merge")
     return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near duplicates the document with the least doc_id stays."""
-    decided = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    decided = minhash.near_duplicates(docs).where("kept").select("doc_id").hint("merge")
     return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 2 times)."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").distinct()
+    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").distinct().hint("merge")
     rows = docs.join(taken, "doc_id").withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return rows.select(docs.columns)
 
