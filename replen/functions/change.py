@@ -24,3 +24,8 @@ def banded(value: Column, bounds: list[tuple[float, str]], last: str) -> Column:
     for bound, name in reversed(bounds):
         out = F.when(value < bound, name).otherwise(out)
     return out
+
+
+def trend(change: Column) -> Column:
+    """rising above 10 percent, falling under -10, else steady."""
+    return F.when(change > 10, "rising").when(change < -10, "falling").otherwise("steady")

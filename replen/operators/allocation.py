@@ -144,3 +144,24 @@ def production_table(uses: DataFrame, patterns: DataFrame, model: str, colors: l
     """Rows pattern and size, a column for each color, pattern uses as cells."""
     rows = uses.where(F.col("model") == model).join(F.broadcast(patterns.select("pattern_id", "size")), "pattern_id")
     return rows.groupBy("pattern_id", "size").pivot("color", colors).agg(F.sum("uses"))
+
+
+def constrain(demand: DataFrame, patterns: DataFrame, least: int = 5, colors: DataFrame | None = None, bounds: tuple[int, int] | None = None,
+              even: bool = False, children: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pattern uses under the constraints that are given, in this order: color caps, bounds by material, even numbers, children's shares.
+
+    colors: see cap_colors(); children: the arguments of children_shares(), whose models are then allocated anew.
+    """
+    if colors is not None:
+        capped = cap_colors(colors).select("model", "color", F.col("capped").alias("target"))
+        demand = scale_to_target(demand, capped.where("target > 0")).select("model", "color", "size", F.col("scaled").alias("quantity"))
+    uses = allocate(demand, patterns, least)
+    if bounds is not None:
+        uses = material_bounds(uses, *bounds)
+    if even:
+        uses = parity(uses)
+    if children is not None:
+        spread = children_shares(*children)
+        anew = allocate(spread, patterns, least)
+        uses = uses.join(spread.select("model").distinct(), "model", "left_anti").unionByName(parity(anew) if even else anew)
+    return uses

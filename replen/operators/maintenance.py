@@ -43,6 +43,25 @@ def sales_records(raw: DataFrame, batch_id: str, source_file: Column) -> DataFra
     return with_sku_parts(raw).withColumns({"year_month": F.date_format("sale_date", "yyyy-MM"), "batch_id": F.lit(batch_id), "source_file": source_file})
 
 
+def forecast_records(raw: DataFrame, generated, source: str) -> DataFrame:
+    """Forecast rows with the SKU's parts, generation date and source."""
+    return with_sku_parts(raw).withColumns({"generated_date": F.lit(generated), "source": F.lit(source)})
+
+
+def stock_records(raw: DataFrame, snapshot, source: str) -> DataFrame:
+    """Stock rows with the SKU's parts, snapshot date and source."""
+    return with_sku_parts(raw).withColumns({"snapshot_date": F.lit(snapshot), "source": F.lit(source)})
+
+
+def import_counts(log: DataFrame) -> DataFrame:
+    return log.groupBy("file_type", "status").agg(F.count("*").alias("n"))
+
+
+def with_bom_name(meta: DataFrame, bom: DataFrame) -> DataFrame:
+    """Model metadata with the main material's name."""
+    return meta.join(bom.select("model", "main_material_name"), "model", "left")
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

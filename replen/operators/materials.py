@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from replen.functions.change import banded
+
+#: Use of a facility's capacity in percent, up to which it has a status.
+LOAD_BANDS = [(75.0, "free"), (100.0, "normal"), (150.0, "busy"), (200.0, "full"), (250.0, "over"), (300.0, "far over")]
+
 
 def production_quantities(orders: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """model, quantity of orders (model, total_quantity) and manual entries of the same columns; models are trimmed and upper-cased."""
@@ -72,6 +77,14 @@ def match_constraints(models: DataFrame, rules: DataFrame, keywords: list[str])
     return rows.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("model", "rule_id", "overlap")
 
 
+def facility_column(facility: Column, columns: dict[str, Column], default: Column) -> Column:
+    """The constraint column of the first name that a facility's name holds (in any case)."""
+    out = default
+    for name, column in reversed(columns.items()):
+        out = F.when(F.lower(facility).contains(name.lower()), column).otherwise(out)
+    return out
+
+
 def facility_load(orders: DataFrame, capacity: DataFrame | None = None) -> DataFrame:
     """Orders and pieces of each facility, with use of its monthly capacity (facility, capacity) and weeks ahead."""
     named = F.coalesce(F.nullif(F.trim(F.col("facility")), F.lit("")), F.lit("Unknown"))
@@ -80,7 +93,8 @@ def facility_load(orders: DataFrame, capacity: DataFrame | None = None) -> DataF
         return out
     out = out.join(capacity, "facility", "left")
     use = F.coalesce(F.try_divide(F.col("quantity"), F.col("capacity")) * 100, F.lit(0.0))
-    return out.withColumns({"use_percent": use, "weeks_ahead": F.coalesce(F.try_divide(F.col("quantity"), F.col("capacity") / 4), F.lit(0.0))})
+    weeks = F.coalesce(F.try_divide(F.col("quantity"), F.col("capacity") / 4), F.lit(0.0))
+    return out.withColumns({"use_percent": use, "weeks_ahead": weeks, "status": banded(use, LOAD_BANDS, "overloaded")})
 
 
 def order_ages(orders: DataFrame, as_of, delivery_days: int = 42) -> DataFrame:

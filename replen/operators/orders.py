@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from replen.functions.sku import aliased
 
-STATUS = [(75.0, "free"), (100.0, "normal"), (150.0, "busy"), (200.0, "full"), (250.0, "over"), (300.0, "far over")]
-
 
 def size_history(months: DataFrame, n: int = 4) -> DataFrame:
     """model, color, size, sold in the last n months in which each model-color sold. months: sku-level monthly()."""

@@ -519,11 +519,12 @@ def material_gap(spark, d):
     return rounded(materials.gap(_required(spark, d), held).select("material", "gap_meters", "gap_kg"), 4)
 
 
-@registered("x as (select facility, count(*) as n_orders, sum(total_quantity) as quantity from fx_order group by facility) select facility, n_orders, quantity, round(quantity / 50000.0 * 100, 4) as use_percent, round(quantity / 12500.0, 4) as weeks_ahead from x", whole="quantity")
+@registered("""x as (select facility, count(*) as n_orders, sum(total_quantity) as quantity from fx_order group by facility) select facility, n_orders, quantity, round(quantity / 50000.0 * 100, 4) as use_percent, round(quantity / 12500.0, 4) as weeks_ahead,
+    case when quantity < 37500 then 'free' when quantity < 50000 then 'normal' when quantity < 75000 then 'busy' when quantity < 100000 then 'full' when quantity < 125000 then 'over'
+         when quantity < 150000 then 'far over' else 'overloaded' end as status from x""", whole="quantity")
 def facility_load(spark, d):
-    orders = fx.orders(spark, d)
-    capacity = orders.select("facility").distinct().withColumn("capacity", F.lit(50_000.0))
-    return rounded(materials.facility_load(orders, capacity).drop("capacity"), 4)
+    capacity = fx.orders(spark, d).select("facility").distinct().withColumn("capacity", F.lit(50_000.0))
+    return rounded(materials.facility_load(fx.orders(spark, d), capacity).drop("capacity"), 4)
 
 
 @registered("x as (select order_id, date_diff('day', order_date, date '2001-08-15') as days from fx_order where status = 'active') select order_id, days, days >= 42 as ready, greatest(0, 42 - days) as days_left from x")

@@ -266,3 +266,16 @@ def test_store(spark, tmp_path):
     assert store.load_batch(spark, root, "b1").count() == 1 and store.covered_months(D(2001, 8, 15), 3) == (D(2001, 8, 1), D(2001, 10, 1))
     real = spark.createDataFrame([("a", D(2001, 9, 1), 4)], "entity string, month date, quantity int")
     assert store.rescore(store.load_batch(spark, root, "b1"), made.drop("method"), real, D(2001, 10, 1)).first().winner == "tie"
+
+
+def test_constraints_in_order(spark):
+    demand = spark.createDataFrame([("CH001", c, f"0{s}", 10) for c in ("01", "02") for s in (1, 2)], "model string, color string, size string, quantity int")
+    patterns = spark.createDataFrame([(1, "01", 1), (1, "02", 1)], "pattern_id int, size string, count int")
+    colors = spark.createDataFrame([("CH001", "01", 20, 30, 0), ("CH001", "02", 20, 5, 9)], "model string, color string, quantity int, sales_12m int, stock int")
+    uses = {r.color: r.uses for r in allocation.constrain(demand, patterns, colors=colors, even=True).collect()}
+    assert uses == {"01": 16}
+    totals = spark.createDataFrame([("CH001", 40)], "model string, total int")
+    sold = spark.createDataFrame([("CH001", "01", 3), ("CH001", "02", 1)], "model string, color string, quantity int")
+    sizes = spark.createDataFrame([("CH001", "01", 1), ("CH001", "02", 1)], "model string, size string, quantity int")
+    uses = {r.color: r.uses for r in allocation.constrain(demand, patterns, children=(totals, sold, sizes)).collect()}
+    assert uses == {"01": 15, "02": 5}
