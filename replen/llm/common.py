@@ -34,6 +34,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the bitmaps of may_be_among(): 8 MB, whatever the tables' sizes.
+BITMAP_BITS = 1 << 26
+
+
+def may_be_among(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """The rows whose key may be in asked (one column named key): all that are, and few others while asked is small.
+
+    A step before a join with asked that spares wide rows the shuffle. asked's hashes become one
+    bitmap of fixed size, at most 2,048 rows of 4 kB, so broadcasting it is safe at any scale; a full one lets every row pass.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+    bits = asked.select(place.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("_page")).agg(F.expr("bitmap_construct_agg(pmod(at, 32768))").alias("_bits"))
+    rows = rows.withColumn("_at", place).withColumn("_page", F.floor(F.col("_at") / 32768)).join(F.broadcast(bits), "_page")
+    rows = rows.where("getbit(cast(conv(hex(substring(_bits, cast(pmod(_at, 32768) div 8 as int) + 1, 1)), 16, 10) as bigint), cast(pmod(_at, 8) as int)) = 1")
+    return rows.drop("_at", "_page", "_bits")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replen.llm.common import ascii_lower, map_sorted_groups, stored, utf8
+from replen.llm.common import ascii_lower, map_sorted_groups, may_be_among, stored, utf8
 
 #: Digests that one shard of a filter is meant to hold; the number of shards grows with the tables.
 SHARD_KEYS = 100_000
@@ -184,7 +184,8 @@ def deduplicate(docs: DataFrame, load: Column, id_col: str = "doc_id", text_col:
         "exact-pairs",
     )
     asked = pairs.select(F.explode(F.array("old", "new")).alias("doc_id")).distinct()
-    found = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(asked, "doc_id").dropDuplicates(["doc_id"])
+    texts = may_be_among(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked)
+    found = texts.join(asked.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     differ = (
         pairs.join(found.select(F.col("doc_id").alias("old"), F.col("text").alias("old_text")), "old")
         .join(found.select(F.col("doc_id").alias("new"), F.col("text").alias("new_text")), "new")
