@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replen.llm import ngram
+from replen.llm.common import may_be_among
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,7 +20,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     for null and empty texts. With an empty target its model is uniform. Repeated rows repeat (and count as often); other columns are left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = texts.join(target.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    ids = target.select("doc_id").where("doc_id is not null").distinct()
+    chosen = may_be_among(texts, "doc_id", ids).join(ids.hint("merge"), "doc_id", "left_semi")  # ids grow with the labels
     models = [ngram.kneser_ney(ngram.count(t), name) for t, name in ((chosen, "lm-target"), (texts, "lm-background"))]
     n = F.when(F.col("n_symbols") > 0, F.col("n_symbols"))
     return ngram.losses(texts, models).select(
