@@ -24,7 +24,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: What every match has; texts without it pass by the patterns.
-MAY_HAVE = "[0-9]{2}[^a-zA-Z]|@"
+MAY_HAVE = "[0-9@]"
 ROUNDS = 8
 #: Days from 1700-01-01 to 2099-12-31, one Gregorian cycle: 189 * 773.
 DAYS = (189, 773)
