@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replen.llm.common import components, forest, map_sorted_groups, stored, utf8
+from replen.llm.common import components, forest, map_sorted_groups, may_be_among, stored, utf8
 
 SKETCH_BITS = 512
 LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
@@ -217,7 +217,8 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray] | None = None
 def confirmed(families: DataFrame, docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
     """Spanning edges (a, b) of the links between members of a family (doc_id, family), counted on whole shingle sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = in_blocks(families, "family", p.block).join(texts, "doc_id")
+    texts = may_be_among(texts, "doc_id", families.select("doc_id"))
+    rows = in_blocks(families, "family", p.block).hint("merge").join(texts, "doc_id")
 
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         ids, block = pdf["doc_id"].to_numpy(np.int64), pdf["a"].to_numpy()
