@@ -249,7 +249,7 @@ def losses(docs: DataFrame, models: list[Model], keep_text: bool = False, most_b
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers = _scorers(shared)
         for pdf in batches:
-            for a, b in pieces_of(pdf):
+            for a, b in pieces_of(pdf, 1 << 18):
                 codes, sizes = ngrams(pdf["text"].iloc[a:b].tolist())
                 out = pdf.iloc[a:b][others].copy()
                 out["n_symbols"] = sizes
