@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
 #: Segments whose merges a worker keeps in each of two generations (only speed depends on it).
-MOST_SEGMENTS = 250_000
+MOST_SEGMENTS = 350_000
 
 
 class Agenda:
@@ -42,7 +42,7 @@ class Agenda:
         self.plain_text = [None if i in self.byte_of else p.replace(SPACE_MARK, " ") for i, p in enumerate(self.pieces)]
         self.plain_text[self.end] = ""
         # Symbols are piece ids; characters that are only parts of pieces get ids beyond them.
-        self.symbol = dict(self.id)
+        self.symbol = Symbols(self.id)
         for c in sorted({c for p in self.id for c in p} - self.id.keys()):
             self.symbol[c] = n + len(self.symbol)
         self.single = {i: c for c, i in self.symbol.items() if i >= n}
@@ -64,7 +64,7 @@ class Agenda:
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment: merge the adjacent pair with the best score, the leftmost of equals, until none is a piece."""
-        symbols = [self.symbol.get(c, -1 - ord(c)) for c in segment]
+        symbols = list(map(self.symbol.__getitem__, segment))
         symbols = self._merge_short(symbols) if len(symbols) <= 48 else self._merge_long(symbols)
         if min(symbols) >= 0 and max(symbols) < len(self.pieces):
             return symbols
@@ -80,19 +80,17 @@ class Agenda:
 
     def _merge_short(self, symbols: list[int]) -> list[int]:
         """The agenda as a list of pair ranks, in the symbols' order."""
-        rank, none = self.rank, 1 << 30
-        agenda = [rank.get(a << 20 | b, none) if a >= 0 <= b else none for a, b in zip(symbols, symbols[1:])]
+        # A negative symbol (a character that no piece has) makes a negative pair, which has no rank.
+        rank, by_rank, none = self.rank.get, self.by_rank, 1 << 30
+        agenda = [rank(a << 20 | b, none) for a, b in zip(symbols, symbols[1:])]
         while agenda and (r := min(agenda)) != none:
             i = agenda.index(r)
-            symbols[i : i + 2] = [self.by_rank[r]]
-            del agenda[i]
-            a = symbols[i]
+            symbols[i] = p = by_rank[r]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
-                b = symbols[i + 1]
-                agenda[i] = rank.get(a << 20 | b, none) if b >= 0 else none
+                agenda[i] = rank(p << 20 | symbols[i + 1], none)
             if i:
-                b = symbols[i - 1]
-                agenda[i - 1] = rank.get(b << 20 | a, none) if b >= 0 else none
+                agenda[i - 1] = rank(symbols[i - 1] << 20 | p, none)
         return symbols
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
@@ -189,6 +187,13 @@ class Agenda:
         return ends, np.array(flat, np.int32), decoded
 
 
+class Symbols(dict):
+    """Ids of characters; those that no piece has are negative."""
+
+    def __missing__(self, c: str) -> int:
+        return -1 - ord(c)
+
+
 _made: dict[int, Agenda] = {}
 
 
