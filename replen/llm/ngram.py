@@ -270,10 +270,10 @@ def _joined(docs: DataFrame, models: list[Model], keep_text: bool) -> DataFrame:
         for pdf in batches:
             for i in range(len(pdf)):
                 codes, ns = np.unique(ngrams([pdf["text"].iloc[i]])[0], return_counts=True)
-                yield pd.DataFrame({"row": pdf["row"].iloc[i], "code": codes.view(np.int64), "times": ns})
+                yield pd.DataFrame({"_lm_row": pdf["_lm_row"].iloc[i], "code": codes.view(np.int64), "times": ns})
 
-    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    grams = rows.select("row", "text").mapInPandas(run, "row long, code long, times long")
+    rows = stored(docs.withColumn("_lm_row", F.monotonically_increasing_id()), "lm-rows")
+    grams = rows.select("_lm_row", "text").mapInPandas(run, "_lm_row long, code long, times long")
     for i, m in enumerate(models):
         floor = F.lit(-math.log(SYMBOLS))
         at, value = grams, floor
@@ -284,7 +284,7 @@ def _joined(docs: DataFrame, models: list[Model], keep_text: bool) -> DataFrame:
             at = at.join(p, code == F.col(f"k{k}"), "left").join(w, F.shiftrightunsigned(code, 16) == F.col(f"c{k}"), "left")
             value = F.coalesce(f"p{k}", F.coalesce(f"w{k}", F.lit(0.0)) + value)
         grams = at.select(*grams.columns, (value / -math.log(2)).alias(f"b{i}"))
-    sums = grams.groupBy("row").agg(
+    sums = grams.groupBy("_lm_row").agg(
         F.sum("times").alias("n_symbols"), *[F.sum(F.col("times") * F.col(f"b{i}")).alias(f"bits_{i}") for i in range(len(models))]
     )
-    return (rows if keep_text else rows.drop("text")).join(sums, "row", "left").drop("row").fillna(0, ["n_symbols", *[f"bits_{i}" for i in range(len(models))]])
+    return (rows if keep_text else rows.drop("text")).join(sums, "_lm_row", "left").drop("_lm_row").fillna(0, ["n_symbols", *[f"bits_{i}" for i in range(len(models))]])

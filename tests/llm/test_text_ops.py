@@ -1,5 +1,6 @@
 """The text operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import functools
 import hashlib
 import math
 import re
@@ -266,6 +267,21 @@ def test_quality(spark):
     assert {r.doc_id for r in quality.classify(docs, none).where("not kept").collect()} == {151, 152}
 
 
+def test_quality_by_joins(spark, monkeypatch):
+    rows = [*[" ".join(varied(i, 80, 60)) + "." for i in range(60)], "@@## %%^^ " * 40, None, "", "Q~" * 200]
+    docs = docs_of(spark, rows)
+    fitted = quality.fit(docs, spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int"))
+    near = {r.doc_id: r for r in quality.classify(docs, fitted).collect()}
+    want = sorted(map(repr, quality.keep_good(docs, fitted).collect()))
+    monkeypatch.setattr(ngram, "losses", functools.partial(ngram.losses, most_broadcast=0))
+    far = {r.doc_id: r for r in quality.classify(docs, fitted).collect()}
+    kept = quality.keep_good(docs, fitted)
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == want and len(want) > 50
+    assert {i: (r.n_symbols, r.kept) for i, r in near.items()} == {i: (r.n_symbols, r.kept) for i, r in far.items()}
+    for i, r in near.items():
+        assert (r.log2_perplexity or 0) == pytest.approx(far[i].log2_perplexity or 0, abs=1e-3)
+
+
 def test_lm_score(spark):
     rows = ["good words here " * 5, "good words there " * 5, "bad ones only " * 5, None, ""]
     target = spark.createDataFrame([(0,), (0,), (None,)], "doc_id long")
