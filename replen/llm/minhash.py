@@ -23,7 +23,8 @@ LANES = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 class NearParams:
     """percent: linked when 100 * intersection >= percent * union. samples MinHash values fold into the
     odd sketch; the first bands * rows of them also make the bands. screen: the similarity under
-    which a sketch's estimate rejects a pair (some four standard deviations below 0.85).
+    which a sketch's estimate rejects a pair (some four standard deviations below 0.85); a lower percent
+    needs a lower screen and more bands.
     block: members that one task compares with as many others at a time."""
 
     percent: int = 85

@@ -33,6 +33,24 @@ def test_stages(spark, tmp_path):
         before = after
 
 
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_stage_links_from_four_fifths(spark):
+    rows = []
+    for i in range(120):
+        words = [f"w{i}x{k}" for k in range(404)]
+        copy = [*words[: 404 - (39, 44, 45)[i % 3]], *(f"c{i}x{k}" for k in range((39, 44, 45)[i % 3]))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    alike = [similarity(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(120)]
+    assert {round(s, 3) for s in alike} == {0.822, 0.802, 0.798}
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    want = {2 * i for i in range(120)} | {2 * i + 1 for i, s in enumerate(alike) if s < 0.8}
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 def test_run_and_rerun_agree(spark):
     first = corpus_pipeline.run(spark, SF).groupBy("doc_id", "ids_sha256").count()
     second = corpus_pipeline.run(spark, SF).groupBy("doc_id", "ids_sha256").count()
