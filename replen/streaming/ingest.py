@@ -1,4 +1,4 @@
-"""Streaming ingest of sales: duplicates within the watermark are dropped, each batch is inserted once."""
+"""Streaming ingest of sales: every sale is inserted once, however late it comes."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from replen.operators.maintenance import insert_ignore
+from replen.operators.maintenance import first_per_key, insert_ignore
 
 KEYS = ["order_id", "sku", "sale_time"]
 
 
 def distinct_sales(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """stream: order_id, sku, sale_time (timestamp), quantity, ..."""
+    """stream: order_id, sku, sale_time (timestamp), quantity, ... Sales older than the watermark are dropped; start() keeps them."""
     return stream.withWatermark("sale_time", delay).dropDuplicatesWithinWatermark(KEYS)
 
 
@@ -23,16 +23,18 @@ def daily_totals(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     return rows.groupBy(F.window("sale_time", "1 day").alias("day"), "sku").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n"))
 
 
-def start(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
     """Read new files of source, insert what target lacks, stop when all is read.
 
-    A batch that is run again after a failure writes the same folder again, so no row is inserted twice.
+    Duplicates are found against the whole target, not within a watermark, so back-filled sales of any age are
+    inserted; delay has no effect and stays for earlier callers. A batch that is run again after a failure writes the same folder again, so no row is inserted twice.
     """
-    stream = distinct_sales(spark.readStream.schema(schema).parquet(source), delay)
+    stream = spark.readStream.schema(schema).parquet(source)
 
     def insert(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
+        if not number:
+            rows = first_per_key(batch, KEYS, [F.col(c).asc_nulls_last() for c in batch.columns])
+        else:
             earlier = spark.read.schema(schema).option("basePath", target).parquet(*[f"{target}/batch={i}" for i in range(number)])
             rows = insert_ignore(earlier, batch, KEYS)
         rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
