@@ -180,28 +180,53 @@ def assembled(matrix: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(rows)
 
 
-def train_pooled(matrix: DataFrame, cut: date, names: list[str] | None = None):
-    """Fit the candidates on months before cut, score them on the rest, and return (name, model, scores) of the least MAE.
+def fit_pooled(matrix: DataFrame, cut: date, names: list[str] | None = None):
+    """Fit the candidates on months before cut, score them on the rest, and fit the one of the least MAE again on all months.
 
-    One model is fitted over all entities, by distributed passes; scores hold one row a candidate.
+    One model is fitted over all entities, by distributed passes. Returns (name, model, scores, residuals): scores hold one row
+    a candidate; residuals (entity, residual) are the chosen candidate's on the months held out, before it is fitted again.
     """
     rows = assembled(matrix).cache()
     train, test = rows.where(F.col("month") < F.lit(cut)), rows.where(F.col("month") >= F.lit(cut))
+    residual = F.col("quantity") - F.greatest(F.lit(0.0), F.col("prediction"))
     found = {}
     for name, estimator in candidates(train.count()).items():
         if names is None or name in names:
             model = estimator.fit(train)
-            error = model.transform(test).agg(F.avg(F.abs(F.greatest(F.lit(0.0), "prediction") - F.col("quantity"))).alias("mae")).first()["mae"]
+            error = model.transform(test).agg(F.avg(F.abs(residual)).alias("mae")).first()["mae"]
             found[name] = (model, float("inf") if error is None else error)
-    rows.unpersist()
     best = min(found, key=lambda k: (found[k][1], k))
-    return best, found[best][0], {k: v[1] for k, v in found.items()}
+    whole = candidates(rows.count())[best].fit(rows)
+    rows.unpersist()
+    return best, whole, {k: v[1] for k, v in found.items()}, found[best][0].transform(test).select("entity", residual.alias("residual"))
+
+
+def train_pooled(matrix: DataFrame, cut: date, names: list[str] | None = None):
+    """(name, model, scores) of fit_pooled()."""
+    return fit_pooled(matrix, cut, names)[:3]
+
+
+def residual_sds(residuals: DataFrame) -> DataFrame:
+    """entity, residual_sd: the root mean square residual of each entity's months held out; the row of a null entity is that of all."""
+    sums = residuals.groupBy("entity").agg(F.sum(F.col("residual") * F.col("residual")).alias("sse"), F.count("residual").alias("n"))
+    whole = sums.agg(F.lit(None).cast("string").alias("entity"), F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+    return sums.where("entity is not null").unionByName(whole).select("entity", F.sqrt(F.try_divide("sse", "n")).alias("residual_sd"))
 
 
-def predict_pooled(model, future: DataFrame, residual_sd: float) -> DataFrame:
+def predict_pooled(model, future: DataFrame, residual_sd: float | DataFrame) -> DataFrame:
+    """Forecasts with lower and upper, 1.96 residual_sd away.
+
+    residual_sd: one for all, or the rows of residual_sds(). An entity without months held out has that of all; without any, the bounds are null.
+    """
     rows = model.transform(assembled(future))
-    p = F.greatest(F.lit(0.0), F.col("prediction"))
-    return rows.select("entity", "month", p.alias("forecast"), F.greatest(F.lit(0.0), p - 1.96 * residual_sd).alias("lower"), (p + 1.96 * residual_sd).alias("upper"))
+    if isinstance(residual_sd, DataFrame):
+        whole = residual_sd.where("entity is null").select(F.col("residual_sd").alias("whole_sd"))  # one row
+        rows = rows.join(residual_sd, "entity", "left").crossJoin(F.broadcast(whole)).withColumn("sd", F.coalesce("residual_sd", "whole_sd"))
+    else:
+        rows = rows.withColumn("sd", F.lit(residual_sd))
+    p, off = F.greatest(F.lit(0.0), F.col("prediction")), 1.96 * F.col("sd")
+    low = F.when(off.isNotNull(), F.greatest(F.lit(0.0), p - off))
+    return rows.select("entity", "month", p.alias("forecast"), low.alias("lower"), (p + off).alias("upper"))
 
 
 def importance(model, n: int = 15) -> list[tuple[str, float]]:

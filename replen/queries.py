@@ -700,7 +700,7 @@ def active_orders(spark, d):
 
 @registered()
 def pooled_ml_forecast(spark, d):
-    """One pooled model over all models' series, chosen by its error on the last months, and its forecasts."""
+    """One pooled model over all models' series, chosen of four by its error on the last months and fitted again on all, and its forecasts."""
     matrix = series.training_matrix(months(spark, d), types(spark, d))
-    _, model, _ = forecasting.train_pooled(matrix, date(2001, 3, 1), ["ridge", "random_forest"])
-    return forecasting.predict_pooled(model, series.future_matrix(months(spark, d), types(spark, d), 3), 1.0)
+    _, model, _, residuals = forecasting.fit_pooled(matrix, date(2001, 3, 1))
+    return forecasting.predict_pooled(model, series.future_matrix(months(spark, d), types(spark, d), 3), forecasting.residual_sds(residuals))

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from replen import queries
 from replen.functions.calendar import last_whole_week, week_start, year_to_last_month
 from replen.functions.change import percent_change
 from replen.functions.sku import aliased, with_sku_parts
@@ -136,6 +137,34 @@ def test_pooled_model(spark):
     assert len(out) == 6 and all(r.forecast >= 0 for r in out)
 
 
+def test_pooled_model_is_whole(spark):
+    noise = [0, 7, -4, 9, -8, 3, -6]
+    rows = [(e, D(1998 + i // 12, i % 12 + 1, 1), 50 + 5 * (i % 12) + (3 * noise[i % 7] if e == "b" else 0)) for e in "ab" for i in range(40)]
+    months = spark.createDataFrame(rows, "entity string, month date, quantity int")
+    types = spark.createDataFrame([("a", "basic", 0.2)], "entity string, type string, cv double")
+    matrix, cut = series.training_matrix(months, types), D(2001, 1, 1)
+    assert forecasting.fit_pooled(matrix, cut)[2].keys() == {"gbt", "random_forest", "ridge", "lasso"}
+    _, model, _, residuals = forecasting.fit_pooled(matrix, cut, ["ridge"])
+    every = forecasting.assembled(matrix)
+    want = forecasting.candidates(every.count())["ridge"].fit(every)
+    assert model.coefficients.toArray() == pytest.approx(want.coefficients.toArray(), rel=1e-4, abs=1e-4)
+    kept = forecasting.candidates(every.where(F.col("month") < cut).count())["ridge"].fit(every.where(F.col("month") < cut))
+    off = {}
+    for r in kept.transform(every.where(F.col("month") >= cut)).collect():
+        off.setdefault(r.entity, []).append(r.quantity - max(0.0, r.prediction))
+    rms = lambda x: (sum(v * v for v in x) / len(x)) ** 0.5
+    sds = {r.entity: r.residual_sd for r in forecasting.residual_sds(residuals).collect()}
+    assert sds == pytest.approx({"a": rms(off["a"]), "b": rms(off["b"]), None: rms(off["a"] + off["b"])}, rel=1e-3)
+    few = forecasting.residual_sds(residuals.where("entity = 'a'"))
+    out = forecasting.predict_pooled(model, series.future_matrix(months, types, 3), few).collect()
+    assert len(out) == 6 and all(r.upper - r.forecast == pytest.approx(1.96 * sds["a"], rel=1e-3) for r in out)
+
+
+def test_pooled_query_has_intervals_of_its_errors(spark):
+    rows = queries.QUERIES["pooled_ml_forecast"](spark, "/root/testdata/sf0.001").collect()
+    assert len({round(r.upper - r.forecast, 3) for r in rows}) > 1
+
+
 def test_version_as_of(spark):
     rows = spark.createDataFrame([(D(2001, 1, d), d) for d in (1, 5, 9)], "generated_date date, forecast int")
     assert {r.forecast for r in inventory.version_as_of(rows, D(2001, 1, 7)).collect()} == {5}
