@@ -69,6 +69,17 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def pieces_of(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about `most` characters each."""
+    ends = np.cumsum([len(t) if t else 0 for t in texts])
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield start, end
+        start = end
+
+
 def map_sorted_groups(
     df: DataFrame,
     keys: list[str],

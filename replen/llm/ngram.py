@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replen.llm.common import shared_dir, stored
+from replen.llm.common import pieces_of, shared_dir, stored
 
 ORDER = 4
 SYMBOLS = 1 << 16
@@ -52,17 +52,6 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[u[ORDER - 1 :] != ord(PAD)], np.array(sizes, np.int64)
 
 
-def pieces_of(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `most` characters each."""
-    ends = np.cumsum([len(t) if t else 0 for t in texts])
-    start = 0
-    while start < len(texts):
-        done = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
-        yield start, end
-        start = end
-
-
 def distinct(texts: list[str | None], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of the n-grams of texts, sorted, and how often each occurs."""
     held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -313,10 +302,12 @@ def scored(blocks: DataFrame, grams: DataFrame, model: Model, name: str, sides:
                 strings = chosen.slice(at, 1024).to_pylist()
                 for a, b in pieces_of(strings, 1 << 18):
                     grams, n = ngrams(strings[a:b])
-                    ends = np.cumsum(n)
-                    total = np.concatenate([np.zeros((1, sides)), np.cumsum(table.get(grams), 0)])
+                    worths, full = table.get(grams), np.flatnonzero(n)
+                    sums = np.zeros((b - a, sides))
+                    if len(full):  # summed text by text, so that equal texts have equal losses
+                        sums[full] = np.add.reduceat(worths, (np.cumsum(n) - n)[full], axis=0)
                     sizes[which[at + a : at + b]] = n
-                    bits[which[at + a : at + b]] = (total[ends - n] - total[ends]) / math.log(2)
+                    bits[which[at + a : at + b]] = sums / -math.log(2)
         out = rows.select(others)
         for column, name in ((sizes, "n_symbols"), *((bits[:, i], f"bits_{i}") for i in range(sides))):
             out = out.append_column(name, pa.array(column))

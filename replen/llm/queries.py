@@ -22,8 +22,8 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    texts = langid.fit(docs.where(~held_out))
-    return langid.predict(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    parser = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, parser).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

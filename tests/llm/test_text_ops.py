@@ -156,26 +156,59 @@ def test_language(spark):
     rows = [(i, make(k, 60), k) for i, k in enumerate(["aa", "bb", "cc"] * 30)]
     rows += [(900, None, "aa"), (901, "123 !!", "bb"), (902, make("aa", 3000), None), (903, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    texts = langid.fit(docs.where("doc_id < 45 or doc_id >= 900"))
-    found = {x.doc_id: x for x in langid.predict(docs, texts).collect()}
+    parser = langid.fit(docs.where("doc_id < 45 or doc_id >= 900"))
+    found = {x.doc_id: x for x in langid.predict(docs, parser).collect()}
     assert all(found[i].lang_pred == k for i, _, k in rows[:90])
     assert [found[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "aa", "und"]
     assert all(0 <= x.score <= 1 for x in found.values())
-    assert {x.lang_pred for x in langid.predict(docs, {}).collect()} == {"und"}
-    assert langid.fit(docs.where("lang is null")) == {}
+    nothing = langid.fit(docs.where("lang is null"))
+    assert {x.lang_pred for x in langid.predict(docs, nothing).collect()} == {"und"}
+    assert langid.predict(docs_of(spark, []), parser).count() == 0 and langid.predict(docs.unionByName(docs), parser).count() == 2 * len(rows)
+
+
+def letters_only(text):
+    """What is parsed of a text: letters and marks in lower case, all else as single spaces around and between."""
+    import unicodedata
+
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    return f" {' '.join(kept.split(' ')).strip()} " if any(unicodedata.category(c)[0] == "L" for c in kept) else ""
+
+
+def longest_matches(text, s):
+    n = at = 0
+    while at < len(s):
+        end = at + 1
+        while end < len(s) and s[at : end + 1] in text:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+def test_language_by_brute_force(spark):
+    taught = {"a": ["Der Hund lief, über den Hof.", "Hof und Haus; Maus"], "b": ["the dog ran over the yard", "house and mouse"], "c": ["über the Hof", "dog"]}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in taught.items() for t in ts)], "doc_id long, text string, lang string")
+    asked = ["½ ② 3", "12 ³", "①", None, "", "Über den Hof!", "house-mouse 7 the yard", "e\u0301", "\u0301", "dog " * 400, "x", "Hof " * 3 + "\n\n und", "日本語", "ǅ é ß"]
+    found = langid.predict(docs_of(spark, asked), langid.fit(docs)).orderBy("doc_id").collect()
+    texts = {k: "".join(re.sub(" +", " ", letters_only(t)) for t in ts) for k, ts in taught.items()}
+    for r, t in zip(found, asked, strict=True):
+        s = re.sub(" +", " ", letters_only(t))
+        if not s:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = {k: sum(longest_matches(x, s[i : i + 512]) for i in range(0, len(s), 512)) * math.log2(len(x) + 2) for k, x in texts.items()}
+        best, second = sorted(total, key=lambda k: (total[k], k))[:2]
+        assert r.lang_pred == best and r.score == pytest.approx(total[second] / (total[best] + total[second]))
+    assert found[0].lang_pred == "und" and found[7].lang_pred != "und"
 
 
 def test_phrases_are_longest_matches():
-    text, r = " abab baba cabac ", np.random.RandomState(0)
-    automaton = langid.SuffixAutomaton(text)
-    for _ in range(300):
-        s, n, at = "".join(r.choice(list("abcd "), 8)), 0, 0
-        while at < len(s):
-            end = at + 1
-            while end < len(s) and s[at : end + 1] in text:
-                end += 1
-            n, at = n + 1, end
-        assert automaton.phrases(s) == n
+    codes, r = lambda t: np.array(list(map(ord, t))), np.random.RandomState(0)
+    text = " abab baba cabac "
+    automaton = langid.SuffixAutomaton(codes(text))
+    strings = sorted(("".join(r.choice(list("abcd "), r.randint(1, 12))) for _ in range(300)), key=len, reverse=True)
+    sizes = np.array(list(map(len, strings)))
+    got = automaton.phrases(codes("".join(strings)), np.cumsum(sizes) - sizes, sizes)
+    assert got.tolist() == [longest_matches(text, s) for s in strings]
 
 
 def brute_line_counts(t):
@@ -311,16 +344,10 @@ def test_quality_by_brute_force(spark):
 
 def test_lm_score(spark):
     rows = ["good words here " * 5 + str(i) for i in range(8)] + ["bad ones only " * 5 + str(i) for i in range(8)] + [None, "", "good words here " * 5 + "1"]
-    rows.append(" ".join(varied(3, 30_000, 50)))
     target = spark.createDataFrame([(i,) for i in (0, 1, 2, 2, 3, 4, 5, 6, None)], "doc_id long")
     docs = docs_of(spark, rows)
     found = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
     assert len(found) == len(rows) and found[16].difference is None and found[17].n_tokens == 0 and found[1].difference == found[18].difference
-    assert max(found[i].difference for i in range(8)) < min(found[i].difference for i in range(8, 16))
-    # The long text would make brute force slow; what it adds to every model's size is tested without it.
-    rows = rows[:-1]
-    docs = docs_of(spark, rows)
-    found = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
     folds = max(2, round(sum(len(t or "") for t in rows) / sum(len(rows[i]) for i in range(7))))
     fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("text", F.lit(29)), F.lit(folds)).alias("f")).collect()}
     assert folds >= 2 and len(set(fold.values())) > 1
@@ -331,7 +358,7 @@ def test_lm_score(spark):
             if fold[i] == f and t:
                 assert found[i].target_loss == pytest.approx(bits(p, t) / len(t)) and found[i].background_loss == pytest.approx(bits(q, t) / len(t))
     empty = lm_score.cross_entropy_difference(docs, target.limit(0)).where("n_tokens > 0").select("target_loss").distinct().collect()
-    assert [round(r.target_loss, 9) for r in empty] == [16.0]
+    assert {round(r.target_loss, 9) for r in empty} == {16.0}
     assert lm_score.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
@@ -365,9 +392,45 @@ def test_mixing(spark):
     for s in order:
         assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 60
     assert mixing.mix(docs.where("false")).count() == 0
-    tilted = mixing.mix(docs, prior=F.when(F.col("doc_id") % 2 == 0, 1.5).otherwise(0.5)).collect()
-    even = [x.rate for x in tilted if x.doc_id % 2 == 0 and 0 < x.rate < 2]
-    assert even and min(even) > 0
+    for prior in (None, F.when(F.col("doc_id") % 2 == 0, 1.5).otherwise(0.5)):
+        want = {s: balanced([(size[i], 1.0 if prior is None else (0.5, 1.5)[i % 2 == 0]) for i, _, x in rows if x == s], target[s]) for s in order}
+        got, taken = {x.doc_id: x for x in mixing.mix(docs, prior=prior).collect()}, Counter()
+        for i, _, s in rows:
+            assert got[i].rate == pytest.approx(want[s](size[i], 1.0 if prior is None else (0.5, 1.5)[i % 2 == 0]), abs=1e-5)
+            assert 0 <= got[i].copies <= 2 and got[i].taken == got[i].copies * size[i]
+            taken[s] += got[i].taken
+        assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 60 for s in order)
+    tilted = {got[i].rate for i, _, s in rows if s == "a" and size[i]}
+    assert len(tilted) > 50  # rates differ within a source
+
+
+def balanced(documents, target):
+    """The rate as a function of size and prior: bisection on the one multiplier of a source."""
+
+    def rate(size, prior, tilt):
+        x = math.log(prior / (2 - prior)) + tilt * size
+        return 2 / (1 + math.exp(-x)) if x > -700 else 0.0
+
+    if target >= 2 * sum(n for n, _ in documents):
+        return lambda size, prior: 2.0 if target else 0.0
+    low, high = -30.0, 30.0
+    for _ in range(200):
+        tilt = (low + high) / 2
+        if sum(n * rate(n, p, tilt) for n, p in documents) < target:
+            low = tilt
+        else:
+            high = tilt
+    return lambda size, prior: rate(size, prior, tilt)
+
+
+def test_mixing_by_copies_in_one_size_class(spark):
+    rows = [(i % 40, "w " * (10 if i % 3 else 11), "a", 1, "x") for i in range(400)] + [(i, "w " * 90, "b", 1, "x") for i in range(9)] + [(None, "w w", "b", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, step int, named string")
+    for exact in (65_536, 5):
+        found = mixing.mix(docs, mixing.MixParams(slices=4, exact=exact)).collect()
+        assert len(found) == len(rows) and all(0 <= x.copies <= 2 for x in found)
+        for target in {x.target for x in found}:
+            assert abs(sum(x.taken for x in found if x.target == target) - target) <= 95
 
 
 def test_n_words(spark, texts):
