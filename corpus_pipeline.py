@@ -1,12 +1,18 @@
-"""The corpus pipeline: documents through stages of text operators, each written and reread."""
+"""The corpus pipeline: documents through stages of text operators, each written and reread.
+
+Columns beside doc_id, text, lang and source pass through every stage but the last, whatever their names (but for those that begin with an
+underscore). Null and empty texts are rejected by the quality stage (they have no perplexity); each later stage gives them a result of its own: exact dedup keeps
+one, near dedup links them with nothing, they weigh nothing in the mix and encode to the end id alone. Ties are settled by ids.
+An empty table passes through as one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from replen.llm import exact, minhash, mixing, pieces, quality
-from replen.llm.common import stored
+from replen.llm.common import ascii_lower, stored
 from replen.llm.queries import piece_model
 
 #: The stage links at 0.8, whereas op1's own contract is 0.85. At exactly 0.8, 30 bands miss 6.7e-6 of pairs
@@ -20,23 +26,41 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, fitted)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which tells rows apart by id and text, also where ids are missing or repeat."""
+    text = F.coalesce("text", F.lit(""))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"), F.xxhash64(F.reverse(text)).cast("string"))
+    return docs.withColumn("_key", name)
+
+
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
-    decided = exact.deduplicate(docs, exact.dealt_load()).where("kept").select("doc_id").hint("merge")
-    return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
+    """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; of rows that also repeat the id, one of them; a null id
+    counts as the smallest."""
+    decided = exact.deduplicate(docs, exact.dealt_load()).groupBy("text_sha256").agg(F.max("keep_id").alias("_keep"))
+    decided = decided.select(F.col("text_sha256").alias("_sha"), F.coalesce("_keep", F.lit(0)).alias("_id"), F.col("_keep").isNull().alias("_none"))
+    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    keys = ["_sha", "_id", "_none"]
+    rows = docs.withColumns({"_sha": sha, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
+    rows = rows.join(decided.hint("merge"), keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return rows.withColumn("_place", place).where("_place = 1").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, linked at a similarity of 0.8 or more, the document with the least doc_id stays."""
-    decided = minhash.near_duplicates(docs, NEAR).where("kept").select("doc_id").hint("merge")
-    return docs.join(decided, "doc_id", "left_semi").select(docs.columns)
+    """Of near duplicates, linked at a similarity of 0.8 or more, the document with the least doc_id stays. Rows that repeat an id share its
+    group and stay or go together; a row without an id takes part under a negative one made from its text."""
+    near = docs.withColumn("_near", F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    decided = minhash.near_duplicates(near, NEAR, id_col="_near").where("kept").select(F.col("doc_id").alias("_near")).distinct().hint("merge")
+    return near.join(decided, "_near", "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 2 times)."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").distinct().hint("merge")
-    rows = docs.join(taken, "doc_id").withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return rows.select(docs.columns)
+    """Every document as often as the mix takes it (0 to 2 times), whether or not it has an id of its own."""
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    taken = mixing.mix(keyed(docs), id_col="_key").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
+    taken = taken.withColumn("_place", place).where("_copies > 0")
+    rows = keyed(docs).withColumn("_place", place).join(taken.hint("merge"), ["_key", "_place"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ class NearParams:
     odd sketch; the first bands * rows of them also make the bands. screen: the similarity under
     which a sketch's estimate rejects a pair (some four standard deviations below 0.85); a lower percent
     needs a lower screen and more bands.
-    block: members that one task compares with as many others at a time."""
+    block: members that one task compares with as many others at a time, and weight: shingles of those whose whole sets it compares."""
 
     percent: int = 85
     shingle: int = 5
@@ -34,6 +34,7 @@ class NearParams:
     samples: int = 200
     screen: float = 0.72
     block: int = 512
+    weight: int = 1 << 19
     seed: int = 7
 
 
@@ -136,62 +137,78 @@ def features(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> Data
     )
 
 
-def in_blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """Give each row its place in a comparison of all members of its key, block by block.
+def in_blocks(rows: DataFrame, key: str, most: int, weight: str | None = None, most_weight: int = 1) -> DataFrame:
+    """Give each row its place in the comparisons that its key still needs, block by block.
 
-    Adds a (this row's block) and x, y (the two blocks that a task compares). Keys of
-    at most `most` rows are one block; of larger ones every pair of blocks is a group of its own, so that no
-    task gets a whole large key.
+    rows have a column core: members that are known to hang together, so that only pairs with a member outside the core are compared.
+    Adds a (this row's block) and x, y (the two blocks that a task compares). A block has about `most` members and, if a weight is named,
+    most_weight of it; every pair of blocks is a group of its own, so that no task gets a whole large key.
     """
-    large = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    large = large.select(key, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    placed = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("a", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heavy = F.sum(weight) / most_weight if weight else F.lit(0)
+    sizes = rows.groupBy(key, "core").agg(F.ceil(F.greatest(F.count("*") / most, heavy)).cast("int").alias("blocks"))
+    sizes = sizes.groupBy(key).agg(
+        F.max(F.when(~F.col("core"), F.col("blocks"))).alias("outer"), F.coalesce(F.max(F.when(F.col("core"), F.col("blocks"))), F.lit(0)).alias("inner")
+    )
+    placed = rows.join(sizes.where("outer > 0"), key)
+    place = F.xxhash64("doc_id")
+    placed = placed.withColumn("a", F.when(F.col("core"), F.col("outer") + F.pmod(place, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(place, F.col("outer"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("core"), 0).otherwise(F.col("inner")))))
     return placed.select(
         *rows.columns, "a", F.least("a", "other").cast("int").alias("x"), F.greatest("a", "other").cast("int").alias("y")
     )
 
 
+def undecided(placed: DataFrame, key: str, limit: float) -> DataFrame:
+    """The rows of placed (key, distance from the key's pivot) that may be linked other than through the pivot, and whether they are its core.
+
+    The core lies within the limit of the pivot, which links it together. Distances obey the triangle inequality, so a member beyond the limit
+    is linked at most with those of the core that lie less than the limit nearer to the pivot. Keys without such members are decided.
+    """
+    apart = placed.where(F.col("distance") > limit).groupBy(key).agg(F.min("distance").alias("nearest"))
+    rows = placed.join(apart, key).withColumn("core", F.col("distance") <= limit)
+    return rows.where(~F.col("core") | (F.col("distance") >= F.col("nearest") - limit - 1e-9)).drop("nearest")
+
+
 def screened(feats: DataFrame, p: NearParams) -> DataFrame:
     """Edges (a, b) that hold together what the bands propose and the odd sketches let through.
 
-    In a task the sketches of a band's members are compared block by block; of the pairs that pass, only a
-    spanning forest leaves it, so that a bucket of m rows gives fewer than m edges per block pair.
+    Bands of one member are left out. The members of a band are compared with its first one; those that pass are held together by it, and only
+    the others go on to be compared with the rest of their band, block by block. Of the pairs that pass there, only a
+    spanning forest leaves a task.
     """
     rows = feats.select(F.explode("bands").alias("band"), "doc_id", *[F.col("sketch")[i].alias(c) for i, c in enumerate(LANES)])
     limit = most_bits(p)
+    shared = stored(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-bands")
+    rows = stored(may_be_among(rows, "band", shared).join(shared.hint("merge"), "band"), "near-banded")
+    pivots = rows.groupBy("band").agg(F.min(F.struct("doc_id", *LANES)).alias("pivot"))
+    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"pivot.{c}"))) for c in LANES), F.lit(0))
+    placed = stored(rows.join(pivots, "band").select("band", "doc_id", *LANES, F.col("pivot.doc_id").alias("pivot"), distance.alias("distance")), "near-placed")
+    near = placed.where((F.col("distance") <= limit) & (F.col("doc_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    rest = undecided(placed, "band", limit).select("band", "doc_id", *LANES, "core")
 
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        sizes = np.diff([*starts, len(pdf)])
-        ids = pdf["doc_id"].to_numpy(np.int64)
+        ids, block = pdf["doc_id"].to_numpy(np.int64), pdf["a"].to_numpy()
         sketch = np.stack([pdf[c].to_numpy(np.int64) for c in LANES], 1).view(np.uint64)  # bits of signed numbers are counted without their sign
-        two = starts[sizes == 2]
-        near = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1, dtype=np.int64) <= limit] if len(two) else two
-        found = [np.stack([ids[near], ids[near + 1]], 1)]
-        block = pdf["a"].to_numpy()
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-            own, other = np.arange(s, s + n), np.arange(s, s + n)
+        found = [np.zeros((0, 2), np.int64)]
+        for s, e in zip(starts, [*starts[1:], len(pdf)]):
+            own = other = np.arange(s, e)
             if x[s] != y[s]:
                 own, other = own[block[own] == x[s]], other[block[other] == y[s]]
-            a, b = [], []
             for at in range(0, len(own), 256):
                 part = own[at : at + 256]
                 bits = np.zeros((len(part), len(other)), np.uint16)
                 for lane in range(sketch.shape[1]):
                     bits += np.bitwise_count(sketch[part, lane][:, None] ^ sketch[other, lane][None, :])
                 i, j = np.nonzero(bits <= limit)
-                a.append(part[i] - s)
-                b.append(other[j] - s)
-            a, b = np.concatenate(a), np.concatenate(b)
-            links = forest(a[a < b] if x[s] == y[s] else a, b[a < b] if x[s] == y[s] else b, n)
-            if links:
-                found.append(ids[np.array(links) + s])
+                links = forest(part[i] - s, other[j] - s, e - s)
+                if links:
+                    found.append(ids[np.array(links) + s])
         pairs = np.concatenate(found)
         yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return map_sorted_groups(in_blocks(rows, "band", p.block), ["band", "x", "y"], run, "a long, b long").distinct()
+    others = map_sorted_groups(in_blocks(rest, "band", p.block), ["band", "x", "y"], run, "a long, b long")
+    return near.unionByName(others).distinct()
 
 
 def shared_counts(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -215,34 +232,63 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray] | None = None
     return out.round().astype(np.int64)
 
 
+def from_pivot(members: DataFrame, p: NearParams) -> DataFrame:
+    """family, doc_id, size, distance: the Jaccard distance of each member's whole set from that of the family's first document.
+
+    A family is dealt over blocks of bounded weight, and its first document goes to each of them.
+    """
+    blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / p.block, F.sum("size") / p.weight)).cast("int").alias("blocks"))
+    is_pivot = F.col("doc_id") == F.col("family")
+    rows = members.join(blocks, "family").withColumn(
+        "a", F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))))
+    )
+    rows = rows.select("family", "a", (~is_pivot).cast("int").alias("place"), "doc_id", "size", "text")
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        distance = np.zeros(len(pdf))
+        for s, e in zip(starts, [*starts[1:], len(pdf)]):
+            if e - s == 1:
+                continue
+            first = int(pdf["place"].iloc[s:e].to_numpy().argmin())
+            sets = [shingles(t, p.shingle) for t in pdf["text"].iloc[s:e]]
+            pivot = sets[first]
+            for i, t in enumerate(sets):
+                at = np.minimum(np.searchsorted(pivot, t), len(pivot) - 1)
+                shared = int((pivot[at] == t).sum())
+                distance[s + i] = 1 - shared / (len(t) + len(pivot) - shared)
+        yield pdf[["family", "doc_id", "size"]].assign(distance=distance)
+
+    return map_sorted_groups(rows, ["family", "a"], run, "family long, doc_id long, size long, distance double").distinct()
+
+
 def confirmed(families: DataFrame, docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
-    """Spanning edges (a, b) of the links between members of a family (doc_id, family), counted on whole shingle sets."""
+    """Edges (a, b) that hold together the links between members of a family (doc_id, family, size), counted on whole shingle sets.
+
+    Members are compared with the family's first document, which holds together those that it links; only the others are compared with the rest.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = may_be_among(texts, "doc_id", families.select("doc_id"))
-    rows = in_blocks(families, "family", p.block).hint("merge").join(texts, "doc_id")
+    members = families.hint("merge").join(texts, "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "family", "same"]).drop("same")
+    members = stored(members, "near-texts")
+    placed = stored(from_pivot(members, p), "near-distances")
+    limit = 1 - p.percent / 100 + 1e-12
+    near = placed.where((F.col("distance") <= limit) & (F.col("doc_id") != F.col("family"))).select(F.col("family").alias("a"), F.col("doc_id").alias("b"))
+    rest = undecided(placed, "family", limit).select("family", "doc_id", "size", "core").distinct()
+    rows = in_blocks(rest, "family", p.block, "size", p.weight).hint("merge").join(members.select("doc_id", "text"), "doc_id")
 
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         ids, block = pdf["doc_id"].to_numpy(np.int64), pdf["a"].to_numpy()
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         found = [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, [*starts[1:], len(pdf)]):
-            if e - s < 2:
-                continue
-            sets = [shingles(t, p.shingle) for t in pdf["text"].iloc[s:e]]
-            size = np.array([len(t) for t in sets])
-            if e - s == 2:
-                shared = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * shared >= p.percent * (size.sum() - shared):
-                    found.append(ids[[[s, s + 1]]])
-                continue
             own = other = np.arange(e - s)
             if x[s] != y[s]:
                 own, other = np.flatnonzero(block[s:e] == x[s]), np.flatnonzero(block[s:e] == y[s])
-                if not (len(own) and len(other)):
-                    continue
-                shared = shared_counts([sets[i] for i in own], [sets[i] for i in other])
-            else:
-                shared = shared_counts(sets)
+            if e - s < 2 or not (len(own) and len(other)):
+                continue
+            sets = [shingles(t, p.shingle) for t in pdf["text"].iloc[s:e]]
+            size = np.array([len(t) for t in sets])
+            shared = shared_counts([sets[i] for i in own], None if own is other else [sets[i] for i in other])
             i, j = np.nonzero(100 * shared >= p.percent * (size[own][:, None] + size[other][None, :] - shared))
             links = forest(own[i], other[j], e - s)
             if links:
@@ -250,7 +296,7 @@ def confirmed(families: DataFrame, docs: DataFrame, p: NearParams, id_col: str,
         pairs = np.concatenate(found)
         yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return map_sorted_groups(rows, ["family", "x", "y"], run, "a long, b long").distinct()
+    return near.unionByName(map_sorted_groups(rows, ["family", "x", "y"], run, "a long, b long")).distinct()
 
 
 def near_duplicates(
@@ -261,12 +307,16 @@ def near_duplicates(
     1. Documents with equal sets are one class, with the least id as its representative (a grouped minimum).
     2. Representatives that share a MinHash band are compared by odd sketch; what passes makes families.
     3. In each family, whole shingle sets are compared and links confirmed; components of confirmed links are the groups.
+    In 2 and 3, what is near the first member hangs together through it, so a large group of near copies costs one comparison a member.
     Two documents that are linked directly share no band with a chance of some 1e-5, or fail the sketch with about as much.
 
     Returns one row per input row: doc_id, n_shingles, component_id (least id reachable), kept
-    (doc_id = component_id). Null and wordless texts have an empty set and are linked with nothing. Ids should be unique: rows that
-    repeat an id share its group; rows with a null id are returned with component_id null and kept false. Other columns are left out.
+    (doc_id = component_id). Null and wordless texts have an empty set and are linked with nothing. Ids are integers (others
+    raise TypeError) and should be unique: rows that repeat an id share its group; rows with a null id are returned with component_id null and
+    kept false. An empty table gives an empty one. Other columns are left out.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
     feats = stored(features(docs, params, id_col, text_col), "near-features")
     classes = stored(
         feats.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
@@ -275,13 +325,17 @@ def near_duplicates(
     reps = feats.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     families = components(screened(reps, params), "near-families")
     members = families.select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
-    members = stored(members.unionByName(members.select(F.col("family").alias("doc_id"), "family").distinct()), "near-members")
+    members = members.unionByName(members.select(F.col("family").alias("doc_id"), "family").distinct())
+    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+    members = stored(members.join(sizes, "doc_id"), "near-members")
     groups = components(confirmed(members, docs, params, id_col, text_col), "near-groups")
     named = (
         classes.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left")
         .where("n > 1 or label is not null")
         .select("digest", F.coalesce("label", "rep").alias("component_id"))
     )
+    # Empty sets have no digest; a key of their own deals them evenly.
+    feats = feats.withColumn("digest", F.coalesce("digest", F.xxhash64("doc_id").cast("string").cast("binary")))
     return feats.join(named, "digest", "left").select(
         "doc_id",
         "n_shingles",

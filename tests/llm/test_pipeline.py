@@ -51,6 +51,28 @@ def test_near_stage_links_from_four_fifths(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_stages_handle_odd_rows(spark):
+    """Null and empty texts, missing and repeated ids, equal rows, extra columns with clashing names, an empty table."""
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1).upper()), (3, text(3)), (3, text(4)), (None, text(5)), (None, text(5)), (None, text(3)), (7, None), (8, ""), (9, text(5) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 5, "x", "y") for i, t in rows], "doc_id long, text string, lang string, source string, copies int, kept string, n string")
+    once = corpus_pipeline.one_of_each_text(spark, docs, SF)
+    got = sorted((r.doc_id or 0, (r.text or "")[:4].lower()) for r in once.collect())
+    assert once.columns == docs.columns and got == [(0, "w5x0"), (2, "w1x0"), (3, "w3x0"), (3, "w4x0"), (8, ""), (9, "w5x0")]
+    group = corpus_pipeline.one_of_each_group(spark, docs.where("doc_id is null or doc_id > 3"), SF)
+    got = sorted((r.doc_id or 0, (r.text or "")[:4]) for r in group.collect())
+    assert got == [(0, "w3x0"), (0, "w5x0"), (0, "w5x0"), (7, ""), (8, "")]
+    mix = corpus_pipeline.mixed(spark, docs, SF)
+    wanted = mixing.mix(docs).agg(F.sum("copies"), F.sum("taken")).first()
+    assert mix.columns == docs.columns and abs(mix.where("text <> ''").count() * 60 - wanted[1]) <= 62
+    assert mix.where("copies = 5 and kept = 'x'").count() == mix.count()
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.of_quality(spark, docs.where("doc_id > 6 or doc_id is null"), SF).where("text is null or text = ''").count() == 0
+    ids = corpus_pipeline.encoded(spark, docs, SF).collect()
+    assert len(ids) == len(rows) and {r.n_tokens for r in ids if r.doc_id in (7, 8)} == {1}
+
+
 def test_run_and_rerun_agree(spark):
     first = corpus_pipeline.run(spark, SF).groupBy("doc_id", "ids_sha256").count()
     second = corpus_pipeline.run(spark, SF).groupBy("doc_id", "ids_sha256").count()

@@ -80,6 +80,55 @@ def test_near_duplicates(spark, texts, block):
     }
 
 
+def test_near_duplicates_of_large_groups(spark):
+    """Chains through members that the first one does not link, in groups over several blocks, with repeated and missing ids."""
+    r, rows = np.random.RandomState(4), []
+    for g in range(3):
+        w = [f"g{g}w{k}" for k in range(200)]
+        for i in range(40):
+            c = list(w)
+            for at in r.choice(200, 1 + i % 3, replace=False):
+                c[at] = f"x{r.randint(1 << 30)}"
+            rows.append(" ".join(c))
+            if i % 4 == 3:
+                w = c
+    sets, parent = [shingles(t) for t in rows], list(range(len(rows)))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    docs = docs_of(spark, rows)
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    for p in (minhash.NearParams(), minhash.NearParams(block=3, weight=400)):
+        found = minhash.near_duplicates(docs, p).collect()
+        assert len(found) == len(rows) + 4 and {r.doc_id: r.component_id for r in found if r.doc_id is not None} == {i: root(i) for i in range(len(rows))}
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_no_link_is_lost_on_documents(spark):
+    """Recall on the documents of sf0.01: every pair of sets at or over the similarity is in one group, and every group is linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    at, parent = defaultdict(list), {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            at[x].append(i)
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    shared = Counter((a, b) for ids in at.values() for k, a in enumerate(ids) for b in ids[:k])
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert len(links) > 50 and found == {i: root(i) for i in sets}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
     assert {r.kept for r in minhash.near_duplicates(docs_of(spark, [None, ""])).collect()} == {True}
