@@ -4,9 +4,11 @@ A value is permuted under a key within its format: 16 digits stay 16 digits (and
 their check digit right or wrong, as it was), dates stay dates, addresses stay addresses. A permutation gives equal values equal
 pseudonyms in every document and different values different ones.
 
+Validated: numbers with a right Luhn digit are cards (others are numbers, a kind of their own), social-security numbers have an area, a group and
+a serial that are given out, addresses have parts up to 255, and dates exist. A date with its year last is read day first if that is a date, else month first.
+
 Not looked for, so left as they are: IBANs as such (a spaced one may lose some of its digits to another kind, the rest stays), digit
-runs of under 12 without separators (national numbers of 9 to 11 digits) or of 20 and more, dates with the month first (03/25/1999), with slashes
-and the year first, or with parts of a single digit (1.2.1999), and IPv6 addresses. Numbers are permuted without being validated.
+runs of under 12 without separators (national numbers of 9 to 11 digits) or of 20 and more, dates with the month's name, and IPv6 addresses.
 """
 
 from __future__ import annotations
@@ -17,21 +19,29 @@ from pyspark.sql import functions as F
 from replen.llm.line_rules import let
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+YEAR = "(?:1[789]|20)[0-9]{2}"
 #: Kinds in order of precedence, each with its pattern.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63})++",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9])(?:(?:1[789]|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./][01][0-9][./](?:1[789]|20)[0-9]{2})(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "date": r"(?<![0-9])(?:"
+    + "|".join(f"{YEAR}{s}[01]?[0-9]{s}[0-3]?[0-9]|[0-3]?[0-9]{s}[0-3]?[0-9]{s}{YEAR}" for s in ("-", "/", r"\."))
+    + ")(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "number": r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+KINDS = [*PATTERNS, "card"]
 #: What every match has; texts without it pass by the patterns.
 MAY_HAVE = "[0-9@]"
 ROUNDS = 8
 #: Days from 1700-01-01 to 2099-12-31, one Gregorian cycle: 189 * 773.
 DAYS = (189, 773)
+#: Steps after which a month-first date is taken as it is: 12 days of 30 are not such dates, so 1e-25 of walks are as long.
+WALKS = 64
+#: Areas and groups, and serials, of social-security numbers.
+SSN = (898 * 99, 9999)
 
 
 def _hash(key: str, tweak: str, r: Column, value: Column) -> Column:
@@ -88,29 +98,40 @@ def permute_ip(value: Column, key: str) -> Column:
 
 
 def permute_date(value: Column, key: str) -> Column:
-    """Permute a valid day of 1700 to 2099 among all of them; what is no valid date stays."""
-    iso = value.rlike("^[0-9]{4}-")
-    year = F.when(iso, F.substring(value, 1, 4)).otherwise(F.substring(value, 7, 4))
-    month = F.when(iso, F.substring(value, 6, 2)).otherwise(F.substring(value, 4, 2))
-    dayofmonth = F.when(iso, F.substring(value, 9, 2)).otherwise(F.substring(value, 1, 2))
-    day = F.try_to_date(F.concat_ws("-", year, month, dayofmonth), "yyyy-MM-dd")
+    """Permute a valid day of 1700 to 2099 among all of them, in its format; what is no valid date stays.
+
+    A date that is read month first (its day is over 12) is permuted on until its pseudonym is such a date too.
+    """
+    parts = F.split(value, "[-/.]")
+    between = F.regexp_extract(value, "[-/.]", 0)
+    iso = F.length(parts[0]) == 4
+    two = lambda c: F.lpad(c, 2, "0")
+    of = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, two(m), two(d)), "yyyy-MM-dd")
+    day_first = F.when(~iso, of(parts[2], parts[1], parts[0]))
+    day = F.when(iso, of(parts[0], parts[1], parts[2])).otherwise(F.coalesce(day_first, of(parts[2], parts[0], parts[1])))
+    month_first = ~iso & day_first.isNull()
+    padded = F.when(iso, F.length(value) == 10).otherwise((F.length(parts[0]) == 2) & (F.length(parts[1]) == 2))
     first, (a, b) = F.to_date(F.lit("1700-01-01")), DAYS
 
-    def new(day: Column) -> Column:
-        n = F.datediff(day, first).cast("long")
+    def once(n: Column) -> Column:
         halves = _rounds(
             F.floor(n / b).cast("long"),
             F.pmod(n, F.lit(b)).cast("long"),
             lambda i, mine, other: F.pmod(mine + _number(_hash(key, "date", i, other)), F.when(i % 2 == 1, F.lit(a)).otherwise(F.lit(b))),
         )
-        moved = let(halves, lambda h: F.date_add(first, (h["l"] * b + h["r"]).cast("int")))
-        between = F.substring(value, 3, 1)
-        return let(
-            moved,
-            lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(
-                F.concat(F.date_format(d, "dd"), between, F.date_format(d, "MM"), between, F.date_format(d, "yyyy"))
-            ),
-        )
+        return let(halves, lambda h: h["l"] * b + h["r"])
+
+    def new(day: Column) -> Column:
+        start = once(F.datediff(day, first).cast("long"))
+        open_ = lambda n: month_first & (F.dayofmonth(F.date_add(first, n.cast("int"))) <= 12)
+        moved = F.aggregate(F.when(month_first, F.sequence(F.lit(1), F.lit(WALKS))).otherwise(F.array(F.lit(1))), start, lambda n, _: F.when(open_(n), once(n)).otherwise(n))
+
+        def written(d: Column) -> Column:
+            y, m, n = F.date_format(d, "yyyy"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
+            m, n = (F.when(padded, two(x)).otherwise(x) for x in (m, n))
+            return F.when(iso, F.concat(y, between, m, between, n)).when(month_first, F.concat(m, between, n, between, y)).otherwise(F.concat(n, between, m, between, y))
+
+        return let(F.date_add(first, moved.cast("int")), written)
 
     return F.coalesce(let(day, lambda d: F.when(d.isNotNull(), new(d))), value)
 
@@ -147,6 +168,33 @@ def permute_number(value: Column, key: str) -> Column:
     return let(F.regexp_replace(value, "[^0-9]", ""), lambda d: let(new(d), lambda n: _digits_in(value, n)))
 
 
+def is_card(value: Column) -> Column:
+    """Whether a long number's last digit is its Luhn digit."""
+
+    def right(digits: Column) -> Column:
+        return F.pmod(luhn_sum(F.substr(digits, F.lit(1), F.length(digits) - 1)) + F.substring(digits, -1, 1).cast("int"), F.lit(10)) == 0
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), right)
+
+
+def permute_ssn(value: Column, key: str) -> Column:
+    """Permute among the social-security numbers that may be given out: areas 001 to 899 without 666, groups from 01, serials from 0001."""
+    area = F.substring(value, 1, 3).cast("long")
+    left = (area - F.when(area > 666, 2).otherwise(1)) * 99 + F.substring(value, 5, 2).cast("long") - 1
+    halves = _rounds(
+        left,
+        F.substring(value, 8, 4).cast("long") - 1,
+        lambda i, mine, other: F.pmod(mine + _number(_hash(key, "ssn", i, other)), F.when(i % 2 == 1, F.lit(SSN[0])).otherwise(F.lit(SSN[1]))),
+    )
+    pad = lambda n, k: F.lpad(n.cast("string"), k, "0")
+
+    def written(h: Column) -> Column:
+        area = F.floor(h["l"] / 99) + 1
+        return F.concat_ws("-", pad(area + F.when(area > 665, 1).otherwise(0), 3), pad(h["l"] % 99 + 1, 2), pad(h["r"] + 1, 4))
+
+    return let(halves, written)
+
+
 def permute_phone(value: Column, key: str) -> Column:
     """Permute the last ten digits (all but the first, if there are fewer than eleven); a country code before them stays."""
 
@@ -167,7 +215,7 @@ def kind_of(value: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         out = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
-    return out
+    return F.when((out == "number") & is_card(value), "card").otherwise(out)
 
 
 def pseudonym(kind: Column, value: Column, key: str) -> Column:
@@ -176,8 +224,8 @@ def pseudonym(kind: Column, value: Column, key: str) -> Column:
         .when(kind == "ip", permute_ip(value, key))
         .when(kind == "date", permute_date(value, key))
         .when(kind == "phone", permute_phone(value, key))
-        .when(kind == "ssn", let(F.regexp_replace(value, "-", ""), lambda d: let(permute_text(d, key, "ssn"), lambda n: _digits_in(value, n))))
-        .when(kind == "number", permute_number(value, key))
+        .when(kind == "ssn", permute_ssn(value, key))
+        .when(kind.isin("number", "card"), permute_number(value, key))
         .otherwise(value)
     )
 

@@ -29,7 +29,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
     count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", "text", *map(count, pii.PATTERNS))
+    return found.select("doc_id", "text", *map(count, pii.KINDS))
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
