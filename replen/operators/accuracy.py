@@ -118,3 +118,12 @@ def compare_overall(compared: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("winner") == "internal").alias("internal_wins"), F.count_if(F.col("winner") == "external").alias("external_wins"),
         F.avg("internal_mape").alias("internal_mape"), F.avg("external_mape").alias("external_mape"), F.median("improvement").alias("median_improvement"),
     )
+
+
+def details(rows: DataFrame, entity: str | None = None, search: str | None = None, by: str = "entity", descending: bool = False) -> DataFrame:
+    """Result rows of one entity, or of those whose name holds a text in any case, sorted by a column (nulls last)."""
+    if entity is not None:
+        rows = rows.where(F.col("entity") == entity)
+    if search:
+        rows = rows.where(F.upper("entity").contains(search.upper()))
+    return rows.orderBy(F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), "entity")

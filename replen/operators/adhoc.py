@@ -32,7 +32,7 @@ class QuerySpec:
     overstock: bool = False
     types: tuple[str, ...] = ()
     facility: str | None = None
-    as_of: date = field(default_factory=lambda: date(2001, 8, 15))
+    as_of: date = field(kw_only=True)
 
 
 def query(spec: QuerySpec, tables: dict[str, DataFrame]) -> DataFrame:

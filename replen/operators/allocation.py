@@ -6,10 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Uses that one pattern may have, and steps of the greedy part.
-MOST_STEPS = 300
-
-
 def size_priorities(sales: DataFrame) -> DataFrame:
     """Each size's share of its model-color's sales. sales: model, color, size, quantity."""
     total = F.sum("quantity").over(Window.partitionBy("model", "color"))
@@ -22,47 +18,88 @@ def drop_slow_sizes(demand: DataFrame, history: DataFrame, least: int) -> DataFr
     return demand.join(history, ["model", "color", "size"], "left").where(F.coalesce(F.col("sold") >= least, F.lit(True))).drop("sold")
 
 
-def cover(demand: dict[str, int], patterns: dict[int, dict[str, int]], least: int) -> dict[int, int]:
-    """Uses of patterns that cover the demand: the pattern with the most demand met for the least excess comes next.
+def _excess(uses: dict[int, int], demand: dict[str, int], patterns: dict[int, dict[str, int]]) -> int | None:
+    """Pieces made beyond the demand; None if some demand is left."""
+    made: dict[str, int] = {}
+    for p, n in uses.items():
+        for s, k in patterns[p].items():
+            made[s] = made.get(s, 0) + k * n
+    if any(made.get(s, 0) < n for s, n in demand.items() if any(s in sizes for sizes in patterns.values())):
+        return None
+    return sum(n - demand.get(s, 0) for s, n in made.items() if n > demand.get(s, 0))
+
 
-    Ties go to the lower pattern number. Patterns used less than `least` times are raised to it, and uses
-    that the demand does without are taken back.
+def _greedy(demand: dict[str, int], patterns: dict[int, dict[str, int]], mode: str) -> dict[int, int]:
+    """Uses until no pattern meets any demand that is left; each step meets some, so it ends.
+
+    `classic` takes the pattern that meets most, `overshoot` the one that meets most for the least excess. Ties go to the lower number.
     """
     left, uses = dict(demand), dict.fromkeys(patterns, 0)
-    for _ in range(MOST_STEPS):
-        if all(v <= 0 for v in left.values()):
-            break
+    while True:
         gain = {}
         for p, sizes in patterns.items():
             met = sum(min(n, max(0, left.get(s, 0))) for s, n in sizes.items())
             if met:
-                gain[p] = (met - (sum(sizes.values()) - met), met, -p)
+                gain[p] = (met, -p) if mode == "classic" else (met - (sum(sizes.values()) - met), met, -p)
         if not gain:
-            break
+            return uses
         p = max(gain, key=gain.get)
         times = max(1, min(left[s] // n for s, n in patterns[p].items() if left.get(s, 0) > 0))
         uses[p] += times
         for s, n in patterns[p].items():
             left[s] = left.get(s, 0) - n * times
-    for p in patterns:
-        if 0 < uses[p] < least:
-            uses[p] = least
+
+
+def _trimmed(uses: dict[int, int], demand: dict[str, int], patterns: dict[int, dict[str, int]], least: int) -> dict[int, int]:
+    """Uses under the least one raised to it, and those taken back that the demand does without."""
+    uses = {p: max(n, least) if n else 0 for p, n in uses.items()}
     made = {s: sum(n.get(s, 0) * uses[p] for p, n in patterns.items()) for s in {*demand, *(s for n in patterns.values() for s in n)}}
     for p in sorted(patterns, reverse=True):
-        while uses[p] > 0 and all(made[s] - n >= demand.get(s, 0) for s, n in patterns[p].items()):
-            if uses[p] <= least and uses[p] - 1 > 0:
-                spare = uses[p]
-                if not all(made[s] - n * spare >= demand.get(s, 0) for s, n in patterns[p].items()):
-                    break
-            else:
-                spare = 1
-            uses[p] -= spare
-            for s, n in patterns[p].items():
-                made[s] -= n * spare
+        spare = min((made[s] - demand.get(s, 0)) // n for s, n in patterns[p].items() if n)
+        keep = max(0, uses[p] - max(0, spare))
+        if 0 < keep < least:
+            keep = min(least, uses[p])
+        for s, n in patterns[p].items():
+            made[s] -= n * (uses[p] - keep)
+        uses[p] = keep
     return uses
 
 
-def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5) -> DataFrame:
+def cover(demand: dict[str, int], patterns: dict[int, dict[str, int]], least: int, mode: str = "search") -> dict[int, int]:
+    """Uses of patterns that cover the demand, each pattern being used `least` times or not at all.
+
+    `classic` and `overshoot` are greedy (see _greedy). `search` takes the better of both and goes on to replace one use of a
+    pattern (all, if it has `least`) by uses of others, as long as the excess falls. Sizes that no pattern has stay open.
+    """
+    patterns = {p: {s: n for s, n in sizes.items() if n > 0} for p, sizes in patterns.items()}
+    patterns = {p: sizes for p, sizes in patterns.items() if sizes}
+    demand = {s: n for s, n in demand.items() if n > 0}
+    modes = ("overshoot", "classic") if mode == "search" else (mode,)
+    found = [_trimmed(_greedy(demand, patterns, m), demand, patterns, least) for m in modes]
+    best = min(found, key=lambda u: (_excess(u, demand, patterns), sum(u.values())))
+    better = mode == "search"
+    while better:
+        better, now = False, (_excess(best, demand, patterns), sum(best.values()))
+        for p in sorted(best):
+            if not best[p]:
+                continue
+            fewer = {**best, p: best[p] - 1 if best[p] > least else 0}
+            made: dict[str, int] = {}
+            for q, n in fewer.items():
+                for s, k in patterns[q].items():
+                    made[s] = made.get(s, 0) + k * n
+            rest = {s: n - made.get(s, 0) for s, n in demand.items() if n > made.get(s, 0)}
+            others = {q: sizes for q, sizes in patterns.items() if q != p}
+            more = _greedy(rest, others, "overshoot")
+            tried = _trimmed({q: fewer[q] + more.get(q, 0) for q in patterns}, demand, patterns, least)
+            excess = _excess(tried, demand, patterns)
+            if excess is not None and (excess, sum(tried.values())) < now:
+                best, better = tried, True
+                break
+    return best
+
+
+def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5, mode: str = "search") -> DataFrame:
     """model, color, pattern_id, uses covering the demand (model, color, size, quantity) by patterns (pattern_id, size, count).
 
     The pattern set is small (some rows a pattern) and goes to the tasks as it is.
@@ -72,7 +109,7 @@ def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5) -> DataFram
         known.setdefault(r["pattern_id"], {})[r["size"]] = r["count"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        uses = cover(dict(zip(pdf["size"], pdf["quantity"].astype(int))), known, least)
+        uses = cover(dict(zip(pdf["size"], pdf["quantity"].astype(int))), known, least, mode)
         return pd.DataFrame({"model": pdf["model"].iloc[0], "color": pdf["color"].iloc[0], "pattern_id": list(uses), "uses": list(uses.values())})
 
     wanted = demand.groupBy("model", "color", "size").agg(F.sum("quantity").alias("quantity"))

@@ -39,7 +39,7 @@ def as_arrays(series: DataFrame) -> DataFrame:
     return rows.select("entity", F.transform("s", lambda x: x["q"]).alias("y"), F.size("s").alias("n"), F.element_at("s", -1)["month"].alias("last"))
 
 
-def _ahead(rows: DataFrame, horizon: int, point: Column, spread: Column, method: str) -> DataFrame:
+def _ahead(rows: DataFrame, horizon: int, point: Column, spread: Column, method: Column) -> DataFrame:
     """Explode the horizon; point may use the column step."""
     out = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     out = out.withColumns({"point": point, "spread": spread})
@@ -49,16 +49,26 @@ def _ahead(rows: DataFrame, horizon: int, point: Column, spread: Column, method:
         F.greatest(F.lit(0.0), "point").alias("forecast"),
         F.greatest(F.lit(0.0), F.col("point") - F.col("spread")).alias("lower"),
         F.greatest(F.lit(0.0), F.col("point") + F.col("spread")).alias("upper"),
-        F.lit(method).alias("method"),
+        method.alias("method"),
     )
 
 
-def moving_average(arrays: DataFrame, horizon: int, newest_first: bool = False) -> DataFrame:
-    """A flat forecast: weights over the last three values (oldest first by default), with a band of 20 percent."""
+def _best(fits: list[Column]) -> Column:
+    """The fit with the least squared error."""
+    return F.array_min(F.transform(F.array(*fits), lambda x: F.struct(x["sse"].alias("sse"), x.alias("fit"))))["fit"]
+
+
+def weighted_mean(newest_first: bool = False) -> Column:
+    """Weights over the last three values of y (oldest first by default); the mean of fewer."""
     weights = WMA_WEIGHTS[::-1] if newest_first else WMA_WEIGHTS
     last = F.slice("y", -3, 3)
-    mean = F.when(F.col("n") >= 3, sum(w * F.get(last, i) for i, w in enumerate(weights))).otherwise(F.aggregate("y", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
-    return _ahead(arrays, horizon, mean, 0.2 * mean, "moving_avg")
+    return F.when(F.col("n") >= 3, sum(w * F.get(last, i) for i, w in enumerate(weights))).otherwise(F.aggregate("y", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
+
+
+def moving_average(arrays: DataFrame, horizon: int, newest_first: bool = False) -> DataFrame:
+    """A flat forecast with a band of 20 percent."""
+    mean = weighted_mean(newest_first)
+    return _ahead(arrays, horizon, mean, 0.2 * mean, F.lit("moving_avg"))
 
 
 def smoothing_fit(y: Column, alpha: float, beta: float) -> Column:
@@ -74,13 +84,15 @@ def smoothing_fit(y: Column, alpha: float, beta: float) -> Column:
     return F.aggregate(F.slice(y, F.lit(2), F.greatest(F.lit(0), F.size(y) - 1)), start, step)
 
 
+def smoothing_ahead(fit: str) -> tuple[Column, Column]:
+    """Point and band, `step` months on."""
+    return F.col(f"{fit}.level") + F.col("step") * F.col(f"{fit}.trend"), 1.96 * F.sqrt(F.col(f"{fit}.sse") / F.greatest(F.lit(1), F.col("n") - 2))
+
+
 def exponential_smoothing(arrays: DataFrame, horizon: int) -> DataFrame:
     """The best additive trend of the grid, with 1.96 deviations of its one-step errors as a band."""
-    fits = F.array(*[smoothing_fit(F.col("y"), a, b) for a, b in GRID])
-    best = F.reduce(fits, F.get(fits, 0), lambda s, x: F.when(x["sse"] < s["sse"], x).otherwise(s))
-    rows = arrays.where("n >= 3").withColumn("fit", best)
-    spread = 1.96 * F.sqrt(F.col("fit.sse") / F.greatest(F.lit(1), F.col("n") - 2))
-    return _ahead(rows, horizon, F.col("fit.level") + F.col("step") * F.col("fit.trend"), spread, "exp_smoothing")
+    rows = arrays.where("n >= 3").withColumn("fit", _best([smoothing_fit(F.col("y"), a, b) for a, b in GRID]))
+    return _ahead(rows, horizon, *smoothing_ahead("fit"), F.lit("exp_smoothing"))
 
 
 def holt_winters_fit(y: Column, alpha: float, beta: float) -> Column:
@@ -105,23 +117,34 @@ def holt_winters_fit(y: Column, alpha: float, beta: float) -> Column:
     return F.aggregate(F.slice(y, F.lit(SEASON + 1), F.greatest(F.lit(0), F.size(y) - SEASON)), start, step)
 
 
-def holt_winters(arrays: DataFrame, horizon: int) -> DataFrame:
-    """The best fit of the grid for series of two years or more."""
-    fits = F.array(*[holt_winters_fit(F.col("y"), a, b) for a, b in GRID[::3]])
-    best = F.reduce(fits, F.get(fits, 0), lambda s, x: F.when(x["sse"] < s["sse"], x).otherwise(s))
-    rows = arrays.where(F.col("n") >= 2 * SEASON).withColumn("fit", best)
+def holt_winters_ahead(fit: str) -> tuple[Column, Column]:
+    """Point and band, `step` months on."""
     damped = F.lit(DAMPING) * (1 - F.pow(F.lit(DAMPING), F.col("step"))) / (1 - DAMPING)
-    point = F.col("fit.level") + damped * F.col("fit.trend") + F.get(F.col("fit.season"), F.pmod(F.col("step") - 1, F.lit(SEASON)))
-    return _ahead(rows, horizon, point, 1.96 * F.sqrt(F.col("fit.sse") / (F.col("n") - SEASON)), "holt_winters")
+    point = F.col(f"{fit}.level") + damped * F.col(f"{fit}.trend") + F.get(F.col(f"{fit}.season"), F.pmod(F.col("step") - 1, F.lit(SEASON)))
+    return point, 1.96 * F.sqrt(F.col(f"{fit}.sse") / (F.col("n") - SEASON))
+
+
+def holt_winters(arrays: DataFrame, horizon: int) -> DataFrame:
+    """The best fit of the grid (level and trend; season and damping are fixed) for series of two years or more."""
+    rows = arrays.where(F.col("n") >= 2 * SEASON).withColumn("fit", _best([holt_winters_fit(F.col("y"), a, b) for a, b in GRID]))
+    return _ahead(rows, horizon, *holt_winters_ahead("fit"), F.lit("holt_winters"))
 
 
 def forecast_all(months: DataFrame, types: DataFrame, horizon: int, least: int = 12) -> DataFrame:
-    """entity, month, forecast, lower, upper, method of every entity with `least` months, each by its method. types: entity, type, cv."""
+    """entity, month, forecast, lower, upper, method of every entity with `least` months, each by its method, in one pass. types: entity, type, cv."""
     arrays = as_arrays(filled(months, least)).join(types.select("entity", "type", "cv"), "entity", "left")
-    arrays = arrays.withColumn("method", choose_method(F.coalesce("type", F.lit("regular")), F.coalesce("cv", F.lit(0.5)), F.col("n")))
-    of = lambda name: arrays.where(F.col("method") == name)
-    out = moving_average(of("moving_avg"), horizon)
-    return out.unionByName(exponential_smoothing(of("exp_smoothing"), horizon)).unionByName(holt_winters(of("holt_winters"), horizon))
+    method = choose_method(F.coalesce("type", F.lit("regular")), F.coalesce("cv", F.lit(0.5)), F.col("n"))
+    rows = arrays.withColumn("method", method).where((F.col("method") != "exp_smoothing") | (F.col("n") >= 3))
+    of = lambda name, value: F.when(F.col("method") == name, value)
+    rows = rows.withColumns(
+        {
+            "es": of("exp_smoothing", _best([smoothing_fit(F.col("y"), a, b) for a, b in GRID])),
+            "hw": of("holt_winters", _best([holt_winters_fit(F.col("y"), a, b) for a, b in GRID])),
+        }
+    )
+    mean, es, hw = weighted_mean(), smoothing_ahead("es"), holt_winters_ahead("hw")
+    choice = lambda a, b, c: F.when(F.col("method") == "moving_avg", a).when(F.col("method") == "exp_smoothing", b).otherwise(c)
+    return _ahead(rows, horizon, choice(mean, es[0], hw[0]), choice(0.2 * mean, es[1], hw[1]), F.col("method"))
 
 
 def batch_stats(forecasts: DataFrame, entities: DataFrame) -> DataFrame:

@@ -33,6 +33,22 @@ def version_as_of(forecast: DataFrame, target: date, tolerance_days: int = 7) ->
     return forecast.join(F.broadcast(near), "generated_date", "left_semi")
 
 
+def newest_version(forecast: DataFrame) -> DataFrame:
+    """The rows of the last generated version."""
+    last = forecast.agg(F.max("generated_date").alias("generated_date"))  # one row
+    return forecast.join(F.broadcast(last), "generated_date", "left_semi")
+
+
+def history_between(stock: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Stock snapshots from start to end (both included; open where None), in order."""
+    rows = stock
+    if start is not None:
+        rows = rows.where(F.col("snapshot_date") >= F.lit(start))
+    if end is not None:
+        rows = rows.where(F.col("snapshot_date") <= F.lit(end))
+    return rows.orderBy("snapshot_date", "sku")
+
+
 def accuracy_target(start: date, lookback_months: int = 4) -> date:
     """The day around which the version to be judged was made."""
     return start - timedelta(days=int(lookback_months * 30.44))
@@ -79,8 +95,8 @@ def stock_kpis(positioned: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def matches(search: str | None = None, below_rop: bool = False, bestseller: bool = False, overstocked: bool = False,
             types: list[str] | None = None, materials: list[str] | None = None, not_materials: list[str] | None = None,
-            s: Settings = Settings()) -> Column:
-    """The filters of the summary as one predicate; excluded materials keep rows without a material."""
+            facilities: list[str] | None = None, not_facilities: list[str] | None = None, s: Settings = Settings()) -> Column:
+    """The filters of the summary as one predicate; excluded materials and facilities keep rows without one."""
     out = F.lit(True)
     if search:
         out = out & F.upper("entity").contains(search.upper())
@@ -96,6 +112,10 @@ def matches(search: str | None = None, below_rop: bool = False, bestseller: bool
         out = out & F.col("material").isin(materials)
     if not_materials:
         out = out & ~F.coalesce(F.col("material").isin(not_materials), F.lit(False))
+    if facilities:
+        out = out & F.col("facility").isin(facilities)
+    if not_facilities:
+        out = out & ~F.coalesce(F.col("facility").isin(not_facilities), F.lit(False))
     return out
 
 

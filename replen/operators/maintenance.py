@@ -85,10 +85,44 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """target with rows in place of those of the same keys."""
+    """target with rows in place of those of the same keys; of rows that repeat a key the first one counts."""
+    rows = first_per_key(rows, keys, [F.col(c).asc_nulls_last() for c in rows.columns])
     return target.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
+def new_generations(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """Forecast rows to append: those of generation dates that target has not seen, one for each SKU and day."""
+    unseen = rows.join(target.select("generated_date").distinct(), "generated_date", "left_anti").select(rows.columns)
+    return insert_ignore(target, unseen, ["sku", "forecast_date", "generated_date"])
+
+
+#: Derived tables that are refreshed together.
+REFRESH_GROUPS = {"stock": ("latest_stock",), "forecast": ("latest_forecast",), "cache": ("monthly_aggregation", "entity_stats")}
+
+
+def refresh(before: dict[str, DataFrame], after: dict[str, DataFrame], group: str = "all") -> DataFrame:
+    """view, rows_before, rows_after, changed of a group's tables (of all for "all"); the tables themselves are left to the caller to write."""
+    names = [n for g, views in REFRESH_GROUPS.items() if group in ("all", g) for n in views if n in after]
+    out = None
+    for n in names:
+        old = before[n].agg(F.count("*").alias("rows_before")) if n in before else after[n].sparkSession.range(1).select(F.lit(0).cast("long").alias("rows_before"))
+        row = after[n].agg(F.count("*").alias("rows_after")).crossJoin(old).select(F.lit(n).alias("view"), "rows_before", "rows_after")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError(f"no table of group {group} is given")
+    return out.withColumn("changed", F.col("rows_after") - F.col("rows_before"))
+
+
+def rebuild_entity_type(df: DataFrame, path: str) -> None:
+    """Write a derived table partitioned by entity_type: the partitions of the types in df are replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path)
+
+
+def top_versioned(df: DataFrame, keys: list[str], by: str, n: int) -> DataFrame:
+    """The n rows of the last valid versions with the largest value of a column."""
+    return latest_version(df, keys).orderBy(F.desc(by), *keys).limit(n)
+
+
 def new_files(listing: DataFrame, imports: DataFrame) -> DataFrame:
     """Files (path, content as read by binaryFile, file_type) whose SHA-256 was not imported yet for their type."""
     rows = listing.withColumn("file_hash", F.sha2("content", 256)).drop("content")

@@ -78,6 +78,12 @@ def top_by_type(sales: DataFrame, types: DataFrame, as_of: date, n: int = 5) ->
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def with_descriptions(rows: DataFrame, stock: DataFrame) -> DataFrame:
+    """Add the product's name by model and color, null if stock has none."""
+    names = stock.groupBy("model", "color").agg(F.min("product_name").alias("product_name"))
+    return rows.join(names, ["model", "color"], "left")
+
+
 def yoy_by_category(sales: DataFrame, category: DataFrame, as_of: date) -> DataFrame:
     """Year to the last complete month against the year before, by podgrupa and kategoria and by podgrupa (level 0 and 1).
 
@@ -127,14 +133,21 @@ def color_months(months: DataFrame, model: str, n: int = 4) -> DataFrame:
     return grid.join(sold, ["color", "month"], "left").select("color", "month", F.coalesce("quantity", F.lit(0)).alias("quantity"))
 
 
-def worst_models(sales: DataFrame, meta: DataFrame, as_of: date, n: int = 20, exclude: DataFrame | None = None) -> DataFrame:
-    """The n model-colors with the least sales a month with sales, over the last 12 months. meta: model, material_type."""
+def worst_models(sales: DataFrame, meta: DataFrame, as_of: date, n: int = 20, exclude: DataFrame | None = None,
+                 materials: list[str] | None = None, colors: list[str] | None = None) -> DataFrame:
+    """The n model-colors with the least sales a month with sales, over the last 12 months. meta: model, material_type.
+
+    materials and colors filter the n rows that were found.
+    """
     rows = sales.where((F.col("sale_date") >= F.lit(add_months(as_of, -12).replace(day=1))) & (F.col("sale_date") <= F.lit(as_of)))
     if exclude is not None:
         rows = rows.join(exclude.select("model"), "model", "left_anti")
     per = rows.groupBy("model", "color").agg(F.sum("quantity").alias("quantity"), F.count_distinct(F.trunc("sale_date", "month")).alias("n_months"))
     per = per.withColumn("per_month", F.col("quantity") / F.col("n_months"))
-    return per.orderBy("per_month", "model", "color").limit(n).join(meta.select("model", "material_type"), "model", "left")
+    out = per.orderBy("per_month", "model", "color").limit(n).join(meta.select("model", "material_type"), "model", "left")
+    if materials:
+        out = out.where(F.col("material_type").isin(materials))
+    return out.where(F.col("color").isin(colors)) if colors else out
 
 
 def worst_rotating(sales: DataFrame, as_of: date, n: int = 20) -> DataFrame:

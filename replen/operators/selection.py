@@ -44,6 +44,16 @@ def in_period(sales: DataFrame, start: date, end: date) -> DataFrame:
     return sales.where(F.col("sale_date").between(F.lit(start.replace(day=1)), F.lit(end)))
 
 
+def valid_sales(sales: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Valid sales (is_valid, where sales have it) from start to end, both open where None, in order."""
+    rows = sales.where("is_valid") if "is_valid" in sales.columns else sales
+    if start is not None:
+        rows = rows.where(F.col("sale_date") >= F.lit(start))
+    if end is not None:
+        rows = rows.where(F.col("sale_date") <= F.lit(end))
+    return rows.orderBy("sale_date", "order_id", "sku")
+
+
 def exclusion_view(stock: DataFrame, excluded: DataFrame, search: str | None = None) -> DataFrame:
     """Stock's SKUs and excluded ones that stock lacks, flagged, excluded first."""
     own = stock.groupBy("sku").agg(F.min("product_name").alias("product_name"))
@@ -68,6 +78,11 @@ def reversed_aliases(aliases: DataFrame) -> DataFrame:
     return aliases.select(F.col("alias").alias("code"), F.col("code").alias("alias"))
 
 
+def alias_subset(aliases: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The aliases (code, alias) of the size names that a pattern set (size) uses, in order."""
+    return aliases.join(patterns.select(F.col("size").alias("alias")).distinct(), "alias", "left_semi").select("code", "alias").orderBy("code")
+
+
 def date_range(sales: DataFrame) -> DataFrame:
     return sales.agg(F.min("sale_date").alias("first_day"), F.max("sale_date").alias("last_day"))
 

@@ -43,6 +43,24 @@ def entity_stats(months: DataFrame) -> DataFrame:
     return stats.withColumn("cv", F.coalesce(F.try_divide("sd", "average"), F.lit(0.0)))
 
 
+def profile(months: DataFrame, as_of: date, s: Settings = Settings()) -> DataFrame:
+    """entity_stats(), recent_average and in_season (of as_of's month, see seasonal_index()) from one grouping of monthly()."""
+    means = [F.avg(F.when(F.month("month") == k, F.col("recent"))).alias(f"_m{k}") for k in range(1, 13)]
+    rows = months.groupBy("entity").agg(
+        F.count("*").alias("n_months"),
+        F.sum("quantity").alias("quantity"),
+        F.avg("quantity").alias("average"),
+        F.stddev_samp("quantity").alias("sd"),
+        F.min("first_sale").alias("first_sale"),
+        F.avg("recent").alias("recent_average"),
+        *means,
+    )
+    known = F.array_compact(F.array(*[f"_m{k}" for k in range(1, 13)]))
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+    rows = rows.withColumn("in_season", F.coalesce(F.try_divide(F.col(f"_m{as_of.month}"), mean) > s.in_season, F.lit(False)))
+    return rows.withColumn("cv", F.coalesce(F.try_divide("sd", "average"), F.lit(0.0))).drop(*[f"_m{k}" for k in range(1, 13)])
+
+
 def product_type(as_of: date, s: Settings) -> Column:
     """new, basic, seasonal or regular from first_sale and cv."""
     return (
@@ -71,6 +89,11 @@ def safety_stock(stats: DataFrame, season: DataFrame, as_of: date, s: Settings =
     Seasonal entities take the factor of the season that as_of's month is for them (out, if unknown).
     """
     now = season.where((F.col("calendar_month") == as_of.month) & F.col("in_season")).select("entity", F.lit(True).alias("in_season"))
+    return with_safety_stock(stats.join(now, "entity", "left"), s)
+
+
+def with_safety_stock(stats: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """safety_stock() for rows that know whether they are in_season."""
     kind, root = F.col("type"), math.sqrt(s.lead_time)
     in_season = F.coalesce("in_season", F.lit(False))
     fixed = F.when(kind == "basic", s.z_basic).when(kind == "new", s.z_new).when(kind == "regular", s.z_regular)
@@ -79,8 +102,7 @@ def safety_stock(stats: DataFrame, season: DataFrame, as_of: date, s: Settings =
         "_in": F.coalesce(fixed, F.lit(s.z_seasonal_in)),
         "_out": F.coalesce(fixed, F.lit(s.z_seasonal_out)),
     }
-    out = stats.join(now, "entity", "left")
-    out = out.withColumns({f"safety_stock{k}": v * F.col("sd") * root for k, v in z.items()})
+    out = stats.withColumns({f"safety_stock{k}": v * F.col("sd") * root for k, v in z.items()})
     out = out.withColumns({f"rop{k}": F.col("average") * s.lead_time + F.col(f"safety_stock{k}") for k in z})
     return out.withColumn("in_season", in_season)
 

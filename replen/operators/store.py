@@ -35,6 +35,20 @@ def load_batch(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
     return spark.read.parquet(f"{root}/forecasts").where(F.col("batch_id") == batch_id).drop("batch_id")
 
 
+def _delete(spark: SparkSession, *paths: str) -> bool:
+    """Remove folders through Spark's own file systems; whether any was there."""
+    found = False
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found |= p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return found
+
+
+def delete_batch(spark: SparkSession, root: str, batch_id: str) -> bool:
+    """Remove a batch's partition and its line; whether it was there."""
+    return _delete(spark, f"{root}/forecasts/batch_id={batch_id}", f"{root}/batches/id={batch_id}")
+
+
 def covered_months(generated: date, horizon: int) -> tuple[date, date]:
     """First and last month that a batch is about."""
     return generated.replace(day=1), add_months(generated, horizon - 1)
@@ -56,6 +70,11 @@ def list_models(spark: SparkSession, root: str, method: str | None = None) -> Da
     return (rows.where(F.col("method") == method) if method else rows).orderBy(F.desc("generated_date"), "name")
 
 
+def delete_model(spark: SparkSession, root: str, name: str) -> bool:
+    """Remove a model and its line; whether it was there."""
+    return _delete(spark, f"{root}/models/{name}", f"{root}/registry/id={name}")
+
+
 def model_kpis(models: DataFrame) -> DataFrame:
     return models.agg(F.count("*").alias("n"), F.avg(F.coalesce("cv_score", F.lit(0.0))).alias("mean_score"), F.mode("method").alias("most_common"))
 

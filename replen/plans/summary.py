@@ -14,9 +14,7 @@ from replen.plans.settings import Settings
 def reorder_points(sales: DataFrame, entity: str, as_of: date, s: Settings = Settings()) -> DataFrame:
     """Statistics, product type, safety stock and reorder point of every entity."""
     months = stats.monthly(stats.before(sales, as_of), entity, as_of, s)
-    kinds = stats.classify(stats.entity_stats(months), as_of, s)
-    out = stats.safety_stock(kinds, stats.seasonal_index(months, s), as_of, s)
-    return out.join(stats.recent_average(months), "entity", "left")
+    return stats.with_safety_stock(stats.classify(stats.profile(months, as_of, s), as_of, s), s)
 
 
 def full_summary(sales: DataFrame, stock: DataFrame, forecast: DataFrame, meta: DataFrame, as_of: date, entity: str = "sku", s: Settings = Settings()) -> DataFrame:

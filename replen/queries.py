@@ -395,7 +395,7 @@ def future_features(spark, d):
 
 _GRID = """fd as (select model as entity, forecast_date as day, sum(forecast) as forecast from fx_daily group by all),
     ad as (select model as entity, sale_date as day, sum(quantity) as actual from fx_sales group by all),
-    sd as (select model as entity, snapshot_date as day, sum(available_stock) as stock from fx_stock where size = '01' group by all),
+    sd as (select model as entity, snapshot_date as day, sum(available_stock) as stock from fx_stock group by all),
     gr as (select fd.entity, fd.day, forecast, coalesce(actual, 0) as actual,
                   coalesce(last_value(stock ignore nulls) over (partition by fd.entity order by fd.day rows unbounded preceding) > 0, true) as had_stock
            from fd left join ad on ad.entity = fd.entity and ad.day = fd.day left join sd on sd.entity = fd.entity and sd.day = fd.day),
@@ -406,7 +406,7 @@ _GRID = """fd as (select model as entity, forecast_date as day, sum(forecast) as
 
 
 def _grid(spark, d):
-    stock = fx.stock(spark, d).where("size = '01'")
+    stock = fx.stock(spark, d)
     return accuracy.daily_grid(fx.sales(spark, d), fx.forecast_daily(spark, d), stock, date(2001, 5, 16), date(2001, 7, 30), "model")
 
 
@@ -612,22 +612,22 @@ def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 @registered("x as (select model, sum(quantity) as total from fx_history group by model) select * from x order by total desc, model limit 10", whole="total")
 def ask_top_models(spark, d):
-    return query(QuerySpec("sales", group_by="model", limit=10), tables(spark, d))
+    return query(QuerySpec("sales", group_by="model", limit=10, as_of=AS_OF), tables(spark, d))
 
 
 @registered("x as (select date_trunc('month', sale_date)::date as month, round(sum(total_amount), 2) as total from fx_history where sale_date >= date '2001-08-15' - 730 group by 1) select * from x")
 def ask_monthly_value(spark, d):
-    return rounded(query(QuerySpec("sales", group_by="month", metric="value", last=(2, "years")), tables(spark, d)), 2)
+    return rounded(query(QuerySpec("sales", group_by="month", metric="value", last=(2, "years"), as_of=AS_OF), tables(spark, d)), 2)
 
 
 @registered(_stats_sql("sku") + " select s.sku, available_stock from fx_stock s join r on r.entity = s.sku where snapshot_date = date '2001-08-13' and available_stock < rop and type = 'seasonal'")
 def ask_seasonal_low_stock(spark, d):
-    return query(QuerySpec("stock", below_rop=True, types=("seasonal",)), tables(spark, d)).select("sku", "available_stock")
+    return query(QuerySpec("stock", below_rop=True, types=("seasonal",), as_of=AS_OF), tables(spark, d)).select("sku", "available_stock")
 
 
 @registered("x as (select color, sum(forecast) as total from fx_forecast where generated_date = date '2001-08-01' and model = 'DO001' group by color) select * from x", whole="total")
 def ask_forecast_by_color(spark, d):
-    return query(QuerySpec("forecast", models=("do001",), group_by="color"), tables(spark, d))
+    return query(QuerySpec("forecast", models=("do001",), group_by="color", as_of=AS_OF), tables(spark, d))
 
 
 @registered("x as (select podgrupa, sum(quantity) as total from fx_history join fx_category using (model) group by podgrupa) select * from x", whole="total")

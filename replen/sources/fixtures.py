@@ -77,7 +77,7 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _numbered(skus(spark, sf_dir)).where("size = '01'").withColumn("dd", F.explode(F.sequence(F.lit(0), F.lit(75))))
+    rows = _numbered(skus(spark, sf_dir)).withColumn("dd", F.explode(F.sequence(F.lit(0), F.lit(75))))
     value = (F.col("bn") * 3 + F.col("c") * 5 + F.col("dd") * 7) % 6
     return rows.select("sku", "model", "color", "size", F.date_add(F.to_date(F.lit("2001-05-16")), F.col("dd")).alias("forecast_date"), value.alias("forecast"), F.to_date(F.lit("2001-01-15")).alias("generated_date"))
 
@@ -133,7 +133,7 @@ SQL = {
         from fx_sku, range(0, 10) a(m), range(0, 2) b(v)""",
     "fx_daily": """
         select sku, model, color, size, cast(date '2001-05-16' + cast(dd as int) as date) as forecast_date, (bn * 3 + c * 5 + dd * 7) % 6 as forecast
-        from fx_sku, range(0, 76) d(dd) where size = '01'""",
+        from fx_sku, range(0, 76) d(dd)""",
     "fx_category": """
         select model, case bn % 5 when 0 then 'G1' when 1 then 'G2' else 'G3' end as grupa, 'P' || bn % 5 as podgrupa, 'K' || bn % 4 as kategoria
         from fx_model where bn % 10 <> 0""",

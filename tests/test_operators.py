@@ -1,7 +1,10 @@
 """Golden values and edge cases on literal rows."""
 
 import datetime as dt
+import itertools
+from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,9 +221,9 @@ def test_aliases(spark):
 
 def test_query_spec(spark):
     sales = sales_of(spark, [(D(2001, 7, 1), "CH0010101", 5), (D(1999, 7, 1), "CH0020101", 50)])
-    out = query(QuerySpec("sales", group_by="model", last=(6, "months")), {"sales": sales}).collect()
+    out = query(QuerySpec("sales", group_by="model", last=(6, "months"), as_of=AS_OF), {"sales": sales}).collect()
     assert [tuple(r) for r in out] == [("CH001", 5)]
-    assert query(QuerySpec("sales", where=(("quantity", ">", 10.0),)), {"sales": sales}).count() == 1
+    assert query(QuerySpec("sales", where=(("quantity", ">", 10.0),), as_of=AS_OF), {"sales": sales}).count() == 1
 
 
 def test_settings_digest():
@@ -308,3 +311,58 @@ def test_constraints_in_order(spark):
     sizes = spark.createDataFrame([("CH001", "01", 1), ("CH001", "02", 1)], "model string, size string, quantity int")
     uses = {r.color: r.uses for r in allocation.constrain(demand, patterns, children=(totals, sold, sizes)).collect()}
     assert uses == {"01": 15, "02": 5}
+
+
+def test_cover_modes_by_brute_force():
+    r = np.random.RandomState(7)
+    for _ in range(60):
+        sizes = [str(s) for s in range(4)]
+        patterns = {p: {s: int(r.randint(1, 3)) for s in r.choice(sizes, r.randint(1, 3), replace=False)} for p in range(3)}
+        demand = {s: int(r.randint(0, 7)) for s in sizes}
+        least = int(r.randint(1, 4))
+        met = {s for n in patterns.values() for s in n}
+
+        def excess(uses):
+            made = {s: sum(n.get(s, 0) * uses[p] for p, n in patterns.items()) for s in sizes}
+            return None if any(made[s] < demand[s] for s in met) else sum(max(0, made[s] - demand[s]) for s in met)
+
+        allowed = [0, *range(least, 10)]
+        best = min(e for u in itertools.product(allowed, repeat=3) if (e := excess(dict(enumerate(u)))) is not None)
+        found = {m: allocation.cover(demand, patterns, least, m) for m in ("classic", "overshoot", "search")}
+        got = {m: excess(u) for m, u in found.items()}
+        assert all(e is not None and e >= best for e in got.values()) and got["search"] <= min(got.values())
+        assert all(n == 0 or n >= least for u in found.values() for n in u.values())
+    big = allocation.cover({"0": 100_000, "1": 7}, {0: {"0": 1, "1": 1}, 1: {"0": 3}}, 5)
+    assert big[0] + 3 * big[1] >= 100_000
+
+
+def test_stores_delete(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("a", date(2001, 1, 1), 1.0)], "entity string, month date, forecast double")
+    for b in ("x", "y"):
+        store.save_batch(rows, root, b, date(2001, 1, 1), "model", 3)
+    assert store.delete_batch(spark, root, "x") and not store.delete_batch(spark, root, "x")
+    assert [r.batch_id for r in store.list_batches(spark, root).collect()] == ["y"] and store.load_batch(spark, root, "y").count() == 1
+
+
+def test_one_entity_type_is_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = lambda k, n: spark.range(n).select(F.lit(k).alias("entity_type"), F.col("id").alias("entity_id"))
+    maintenance.rebuild_entity_type(rows("sku", 3).unionByName(rows("model", 2)), path)
+    maintenance.rebuild_entity_type(rows("model", 5), path)
+    assert {r.entity_type: r["count"] for r in spark.read.parquet(path).groupBy("entity_type").count().collect()} == {"sku": 3, "model": 5}
+
+
+def test_upsert_of_repeated_keys(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, v int")
+    out = maintenance.upsert(spark.createDataFrame([("a", 9), ("c", 4)], "k string, v int"), rows, ["k"])
+    assert sorted((r.k, r.v) for r in out.collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    with pytest.raises(ValueError):
+        maintenance.refresh({}, {}, "stock")
+
+
+def test_details(spark):
+    rows = spark.createDataFrame([("ab", 2.0), ("ac", None), ("b", 1.0)], "entity string, mape double")
+    assert [r.entity for r in accuracy.details(rows, by="mape").collect()] == ["b", "ab", "ac"]
+    assert [r.entity for r in accuracy.details(rows, search="A", by="mape", descending=True).collect()] == ["ab", "ac"]
+    assert [r.entity for r in accuracy.details(rows, entity="b").collect()] == ["b"]

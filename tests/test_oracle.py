@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from replen.queries import ORACLE, QUERIES
+from replen.detail_queries import ORACLE, QUERIES
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
