@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replen.llm.common import ascii_lower, map_sorted_groups, may_be_among, stored, utf8
+from replen.llm.common import ascii_lower, map_sorted_groups, may_be_among, stored
 
 #: Digests that one shard of a filter is meant to hold; the number of shards grows with the tables.
 SHARD_KEYS = 100_000
@@ -93,13 +92,8 @@ class FuseFilter:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, load, sha (32 bytes) of docs (doc_id, text, load): A-Z lower-cased, null as empty."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sha = [hashlib.sha256(utf8(t).lower() if t else b"").digest() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "load": pdf["load"], "sha": sha})
-
-    return docs.mapInPandas(run, "doc_id long, load int, sha binary")
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    return docs.select("doc_id", "load", sha.alias("sha"))
 
 
 def _shard(shards: int):
@@ -124,14 +118,14 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """The rows (load, sha) of groups that the filter of some earlier load lets through."""
     probes = groups.select(*_shard(shards), F.lit(1).alias("kind"), "load", "sha")
     rows = probes.unionByName(
-        filters.select("shard", F.lit(None).cast("long").alias("key"), F.lit(0).alias("kind"), "load", F.col("blob").alias("sha"))
+        filters.select("shard", F.lit(0).cast("long").alias("key"), F.lit(0).alias("kind"), "load", F.col("blob").alias("sha"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, kept = None, {}  # the filters of the shard at hand; rows come sorted, filters first
         for pdf in batches:
             shard, kind, load, sha = (pdf[c].to_numpy() for c in ("shard", "kind", "load", "sha"))
-            keys = pdf["key"].fillna(0).to_numpy(np.int64)
+            keys = pdf["key"].to_numpy(np.int64)  # never null: pandas would round keys beside nulls
             passed = np.zeros(len(pdf), bool)
             edge = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1]) | (load[1:] != load[:-1])) + 1
             for a, b in zip([0, *edge], [*edge, len(pdf)]):
@@ -208,3 +202,55 @@ def deduplicate(docs: DataFrame, load: Column, id_col: str = "doc_id", text_col:
 def dealt_load(n: int = 3, id_col: str = "doc_id") -> Column:
     """A load from 0 to n - 1 by a hash of the id, for tables that do not record theirs; results do not depend on it."""
     return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))), F.lit(n)).cast("int")
+
+
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write an immutable snapshot of docs under path: its exact buckets (sha, n, first, last) and their filters, one a shard.
+
+    Later batches are screened by it with screen_batch(); it is never changed, a new batch gets a snapshot of its own.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).alias("load"))
+    rows = digests(texts).groupBy("load", "sha").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.min("doc_id").alias("first"))
+    rows.write.parquet(f"{path}/buckets")
+    groups = docs.sparkSession.read.parquet(f"{path}/buckets")
+    shards = max(1, -(-groups.count() // SHARD_KEYS))
+    build_filters(groups, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+
+
+def screen_batch(batch: DataFrame, paths: list[str], earlier: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Which texts of a new batch stand in stored snapshots or repeat within the batch.
+
+    paths: snapshots by write_snapshot(), in the order in which they came; earlier: the documents they were made of (same columns), for the
+    byte checks. The batch's digests are grouped on their own; each snapshot's filters screen them, positives are joined with its exact buckets, and
+    one text of each side is compared byte for byte.
+
+    Returns one row per row of batch: doc_id, text_sha256, keep_id (largest id of the text within the batch), group_size (there), known_id (the least id of
+    the first snapshot that has the text, else null), kept (new, and the row that stays). Null texts count as empty; a null id is never kept;
+    rows that repeat an id share its decision. Empty tables and no snapshots are allowed.
+    """
+    spark = batch.sparkSession
+    texts = batch.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(1).alias("load"))
+    rows = stored(digests(texts), "batch-digests")
+    groups = stored(rows.groupBy("load", "sha").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.min("doc_id").alias("new")), "batch-groups")
+    known = None
+    for order, path in enumerate(paths):
+        filters = spark.read.parquet(f"{path}/filters")
+        shards = (filters.select("shards").first() or [1])[0]
+        passed = screen(groups, filters.drop("shards"), shards).select("sha")
+        hit = passed.join(spark.read.parquet(f"{path}/buckets").select("sha", F.col("first").alias("old")), "sha").withColumn("order", F.lit(order))
+        known = hit if known is None else known.unionByName(hit)
+    if known is None:
+        pairs = groups.select("sha", "new", F.lit(None).cast("long").alias("old")).where("false")
+    else:
+        pairs = known.groupBy("sha").agg(F.min_by("old", "order").alias("old")).join(groups.select("sha", "new"), "sha")
+    pairs = stored(pairs.where("old is not null and new is not null"), "batch-pairs")
+    old_texts = earlier.select(F.col(id_col).cast("long").alias("old"), F.coalesce(F.col(text_col), F.lit("")).alias("old_text"))
+    old_texts = may_be_among(old_texts, "old", pairs.select("old")).dropDuplicates(["old"])
+    new_texts = may_be_among(texts.select(F.col("doc_id").alias("new"), F.col("text").alias("new_text")), "new", pairs.select("new")).dropDuplicates(["new"])
+    same = (F.col("old_text") == F.col("new_text")) | (ascii_lower(F.col("old_text")) == ascii_lower(F.col("new_text")))
+    sure = pairs.join(old_texts, "old").join(new_texts, "new").where(same).select("sha", F.col("old").alias("known_id"))
+    decided = groups.join(sure, "sha", "left").select("sha", "keep_id", F.col("n").alias("group_size"), "known_id")
+    own = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
+    return rows.join(decided, "sha").select(
+        "doc_id", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size", "known_id", (own & F.col("known_id").isNull()).alias("kept")
+    )

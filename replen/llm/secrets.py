@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replen.llm.common import stored
+from replen.llm.common import may_be_among, stored
 from replen.llm.line_rules import let
 
 
@@ -124,9 +124,9 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 
 
 def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """trigram, doc_id: postings of the given trigrams (letters lower-cased) over docs (doc_id, text)."""
-    has = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("lower"), t))
-    return docs.select("doc_id", F.lower("text").alias("lower")).select(F.explode(has).alias("trigram"), "doc_id")
+    """trigram, doc_id: postings of the given trigrams (letters lower-cased, once a text) over docs (doc_id, text)."""
+    has = let(F.lower("text"), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))
+    return docs.select(F.explode(has).alias("trigram"), "doc_id")
 
 
 def candidates(postings: DataFrame, queries: dict[str, list]) -> DataFrame:
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, added: list[Rule] = ADDED, id_col: str = "doc_id", tex
     """Find secrets in whole texts.
 
     Rules with mandatory trigrams are verified in the documents whose postings meet their query;
-    the others scan every text. Only texts with the rarest trigram of some alternative are shuffled to meet their candidates.
+    the others scan every text. Only texts that may be candidates, by a bitmap of fixed size, are shuffled to meet their rules.
 
     Returns one row per input row: doc_id, base and spans, arrays of struct<start, order, end, kind> sorted by start and then the
     rules' order; base holds the base kinds only. Null text counts as empty. Rows that repeat an id should repeat its text; each is
@@ -164,10 +164,8 @@ def scan(docs: DataFrame, added: list[Rule] = ADDED, id_col: str = "doc_id", tex
     known = rows.where("doc_id is not null")
     trigrams = sorted({t for q in queries.values() for c in q for a in c for t in a})
     postings = stored(build_index(known, trigrams), "secret-postings")
-    often = {r["trigram"]: r["count"] for r in postings.groupBy("trigram").count().collect()}  # at most len(trigrams) rows
-    rarest = sorted({min(sorted(a), key=lambda t: often.get(t, 0)) for q in queries.values() for a in q[0]})
-    possible = F.exists(F.array(*map(F.lit, rarest)), lambda t: F.contains(F.lower("text"), t))
-    found = known.where(possible).join(candidates(postings, queries), "doc_id")
+    asked = stored(candidates(postings, queries), "secret-candidates")
+    found = may_be_among(known, "doc_id", asked).join(asked.hint("merge"), "doc_id")
     kind = "struct<start:int,order:int,end:int,kind:string>"
     none = F.array().cast(f"array<{kind}>")
     indexed = [r for r in rules if r.kind in queries]

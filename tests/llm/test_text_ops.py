@@ -173,6 +173,30 @@ def test_exact(spark, texts, loads):
     assert exact.deduplicate(docs_of(spark, []), exact.dealt_load(loads)).count() == 0
 
 
+def test_snapshots_screen_batches(spark, tmp_path):
+    old = [["a b", "c", None, "long " * 20_000], ["d", "A B", "e é"]]
+    frames = [spark.createDataFrame([(100 * k + i, t) for i, t in enumerate(ts)], "doc_id long, text string") for k, ts in enumerate(old)]
+    paths = [str(tmp_path / f"s{k}") for k in range(2)]
+    for df, path in zip(frames, paths):
+        exact.write_snapshot(df, path)
+    batch = [(1000, "A b"), (1001, "new"), (1002, "NEW"), (1003, "E é"), (1004, ""), (1005, "E É"), (None, "other"), (1006, "LONG " * 20_000), (1001, "new")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in batch], "doc_id long, text string, sha string")
+    found = exact.screen_batch(docs, paths, frames[0].unionByName(frames[1])).collect()
+    got = sorted((r.doc_id or 0, r.known_id, r.keep_id, r.group_size, r.kept) for r in found)
+    assert got == [(0, None, None, 1, False), (1000, 0, 1000, 1, False), (1001, None, 1002, 3, False), (1001, None, 1002, 3, False), (1002, None, 1002, 3, True),
+                   (1003, 102, 1003, 1, False), (1004, 2, 1004, 1, False), (1005, None, 1005, 1, True), (1006, 3, 1006, 1, False)]
+    assert exact.screen_batch(docs, [], frames[0]).where("known_id is not null").count() == 0 and exact.screen_batch(docs.limit(0), paths, frames[0]).count() == 0
+
+
+def test_texts_of_one_digest_are_compared(spark, monkeypatch):
+    """The byte check parts texts that share a digest (which a digest of the length alone makes them do)."""
+    fake = lambda docs: docs.select("doc_id", "load", F.unhex(F.sha2(F.length(F.coalesce("text", F.lit(""))).cast("string"), 256)).alias("sha"))
+    monkeypatch.setattr(exact, "digests", fake)
+    docs = spark.createDataFrame([(1, "aa", 0), (2, "AA", 1), (3, "bb", 2), (None, "ccc", 0), (None, "CCC", 1)], "doc_id long, text string, load int")
+    found = sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in exact.deduplicate(docs, F.col("load")).collect())
+    assert found == [(0, None, 2), (0, None, 2), (1, 2, 2), (2, 2, 2), (3, 3, 1)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 5000, 100_000])
 def test_fuse_filter(n):
     keys = np.random.RandomState(n).randint(0, 2**60, n).astype(np.uint64)
