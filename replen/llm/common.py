@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Remove the tables that stored() wrote. Results read them when they are computed, so this is for the end, when they have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/replen")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Parts that the edges of a node are dealt in, in components().
+SALTS = 8
 #: Bits of the bitmaps of may_be_among(): 8 MB, whatever the tables' sizes.
 BITMAP_BITS = 1 << 26
 
@@ -163,7 +171,10 @@ def components(edges: DataFrame, name: str, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # A node of many edges (all of a large group's hang on its least member) is dealt over some parts.
+        edges = now.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = edges.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(

@@ -19,10 +19,13 @@ MOST_HEADING = 3
 NAVIGATION = r"^[^|»›]{0,60}([|»›][^|»›]{0,60}){3,}$"
 #: Lines that shout: runs of exclamation marks after three words or more.
 SHOUTING = r"!![\x20\x09-\x0D].*!![\x20\x09-\x0D].*!!"
-#: Notices and calls to act, anywhere in a line of at most MOST_NOTICE characters.
+#: Notices and calls to act in English, German, French and Spanish, anywhere in a line of at most MOST_NOTICE characters.
 NOTICE = (
     r"(?i)(all rights reserved|licensed under|copyright (\(c\)|©|[0-9]{4})|cookie policy|privacy policy|terms of (use|service)"
-    r"|click here|sign up (now|for)|subscribe (now|to)|enable javascript|lorem ipsum|share on (facebook|twitter))"
+    r"|click here|sign up (now|for)|subscribe (now|to)|enable javascript|lorem ipsum|share on (facebook|twitter)"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|cookie-richtlinie|nutzungsbedingungen|hier klicken|jetzt (anmelden|abonnieren)"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|mentions l[éÉ]gales|conditions d['’]utilisation|cliquez ici|(inscrivez|abonnez)-vous"
+    r"|todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|aviso legal|(condiciones|t[éÉ]rminos) de uso|haga clic aqu[íÍ]|suscr[íÍ]b(ete|ase))"
 )
 MOST_NOTICE = 200
 
@@ -75,7 +78,7 @@ def line_fails(line: Column) -> Column:
     dense = 10 * (F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))) > F.length(line)
     heading = F.size(F.array_remove(F.split(line, SPACE, -1), "")) <= MOST_HEADING
     unended = ~line.rlike(SENTENCE_END) & ~heading
-    return unended | dense | line.rlike(NAVIGATION) | line.rlike(SHOUTING) | (line.rlike(NOTICE) & (F.length(line) <= MOST_NOTICE))
+    return unended | dense | line.rlike(NAVIGATION) | line.rlike(SHOUTING) | ((F.length(line) <= MOST_NOTICE) & line.rlike(NOTICE))
 
 
 def clean(docs: DataFrame, params: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
