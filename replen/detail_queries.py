@@ -11,6 +11,7 @@ from replen.functions.sku import size_sort_key, with_sku_parts
 from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats
 from replen.plans import summary as plans
 from replen.queries import _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
+from replen.sources import files
 from replen.sources import fixtures as fx
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -509,3 +510,83 @@ def model_registry_kpis(spark, d):
 @registered(_SUMMARY + " select type, count(*) as n from k group by type")
 def type_counts(spark, d):
     return plans.reorder_points(fx.sales(spark, d), "sku", AS_OF).groupBy("type").agg(F.count("*").alias("n"))
+
+
+# Feeds as they come
+
+_FILES = """fl as (select order_id, year(order_date) as y, order_date, case when cast(order_id as bigint) % 3 = 0 then year(order_date) || '0101-' || year(order_date) || '0630.csv'
+        when cast(order_id as bigint) % 3 = 1 then year(order_date) || '0101-' || year(order_date) || '1231.csv' else 'notes.csv' end as source_file from fx_order)"""
+
+
+def dated_files(spark, d):
+    y, k = F.year("order_date").cast("string"), F.col("order_id").cast("long") % 3
+    name = F.when(k == 0, F.concat(y, F.lit("0101-"), y, F.lit("0630.csv"))).when(k == 1, F.concat(y, F.lit("0101-"), y, F.lit("1231.csv"))).otherwise("notes.csv")
+    rows = fx.orders(spark, d).withColumn("source_file", name)
+    start, end = files.span_in_name(F.col("source_file"))
+    return rows.withColumns({"file_start": start, "file_end": end})
+
+
+@registered(_FILES + " select order_id, source_file from fl where source_file like '%1231.csv'")
+def cumulative_files(spark, d):
+    return files.best_file_per_year(dated_files(spark, d)).select("order_id", "source_file")
+
+
+@registered(_FILES + " select order_id, source_file from fl where source_file = '19971231.csv' or source_file = '19970101-19971231.csv'")
+def files_of_1997(spark, d):
+    return files.current_year_file(dated_files(spark, d), date(1997, 6, 1)).select("order_id", "source_file")
+
+
+@registered("x as (select sku, snapshot_date, max(available_stock) as available_stock from fx_stock where day(snapshot_date) % 2 = 0 group by all) select * from x")
+def unseen_snapshots(spark, d):
+    stock = fx.stock(spark, d)
+    return files.new_snapshots(stock.unionByName(stock), stock.where("day(snapshot_date) % 2 = 1"))
+
+
+@registered("""x as (select upper(model) as model, case when bn % 3 = 0 then 0 else bn + 0.5 end::double as weight, case when bn % 4 = 1 then 'Cotton ' || bn end as name, bn % 5 in (0, 1) as outlet from fx_model) select * from x""")
+def bom_as_written(spark, d):
+    bn = F.col("bn")
+    raw = fx.models(spark, d).select(
+        F.concat(F.lit(" "), F.lower("model")).alias("model"), F.when(bn % 3 == 0, "n/a").otherwise(F.concat(bn.cast("string"), F.lit(",5"))).alias("weight"),
+        F.when(bn % 4 == 1, F.concat(F.lit(" Cotton "), bn.cast("string"))).when(bn % 4 == 2, " brak ").when(bn % 4 == 3, "-").otherwise("").alias("name"),
+        F.when(bn % 5 == 0, " TAK").when(bn % 5 == 1, "x").when(bn % 5 == 2, "nie").alias("outlet"),
+    )
+    return files.normalised_bom(raw.unionByName(raw).unionByName(raw.limit(1).withColumn("model", F.lit("  "))), ["weight"], ["name"], ["outlet"])
+
+
+@registered("x as (select distinct size as code, 'S' || s as alias from fx_sku) select * from x")
+def size_codes(spark, d):
+    rows = fx.skus(spark, d).select(F.col("size").cast("int").alias("code"), F.concat(F.lit(" S"), F.col("size").cast("int").cast("string")).alias("alias"))
+    return files.size_aliases(rows.distinct())
+
+
+@registered("x as (select distinct case when c = 3 then '0A' else color end as code, 'c' || color as alias from fx_sku) select * from x")
+def color_codes(spark, d):
+    n = F.col("color").cast("int")
+    raw = F.when(n == 3, "a").when(n == 4, "**04*").otherwise(n.cast("string"))
+    return files.color_aliases(fx.skus(spark, d).select(raw.alias("code"), F.concat(F.lit("c"), "color", F.lit(" ")).alias("alias")).distinct())
+
+
+@registered("x as (select distinct model from fx_model where bn % 3 = 2) select * from x")
+def outlet_models_of_the_last_year(spark, d):
+    name = F.concat(F.lit("outlet_"), (F.lit(2019) + F.col("bn") % 3).cast("string"), F.lit(".csv"))
+    raw = fx.skus(spark, d).select(F.col("sku").alias("Model"), name.alias("source_file")).unionByName(fx.models(spark, d).select(F.col("model").alias("Model"), name.alias("source_file")))
+    return files.newest_outlets(raw.unionByName(raw.limit(5).withColumn("source_file", F.lit("outlet.csv"))))
+
+
+@registered(_SUMMARY.split(",\n        st as")[0].replace("_sku", "_model") + """, b as (select entity, date_diff('month', min(month), max(month)) + 1 as n from months_model group by entity),
+    x as (select k.entity, case when type = 'new' or n < 12 then 'moving_avg' when cv < 0.6 then 'exp_smoothing' when n >= 24 then 'holt_winters' else 'exp_smoothing' end as method from k join b using (entity))
+    select method, count(*) as n_entities from x group by method""")
+def method_counts(spark, d):
+    n = series.filled(months(spark, d)).groupBy("entity").agg(F.count("*").alias("n"))
+    rows = types(spark, d).join(n, "entity").withColumn("method", forecasting.choose_method(F.col("type"), F.col("cv"), F.col("n")))
+    return rows.groupBy("method").agg(F.count("*").alias("n_entities"))
+
+
+@registered(f"""b as (select entity, min(month) as lo, max(month) as hi from months_model group by entity),
+    g as (select entity, unnest(generate_series(lo, hi, interval 1 month))::date as month from b),
+    s as (select g.entity, g.month, coalesce(quantity, 0) as quantity from g left join months_model m using (entity, month)),
+    n as (select entity from s group by entity having count(*) >= 12),
+    l as (select *, {", ".join(f"lag(quantity, {k}) over w as lag_{k}" for k in series.LAGS)} from s where entity in (select entity from n) window w as (partition by entity order by month))
+    select entity, month, quantity, {", ".join(f"lag_{k}" for k in series.LAGS)} from l where lag_12 is not null""", whole="quantity " + " ".join(f"lag_{k}" for k in series.LAGS))
+def training_lags(spark, d):
+    return series.training_matrix(months(spark, d), types(spark, d)).select("entity", "month", "quantity", *[f"lag_{k}" for k in series.LAGS])

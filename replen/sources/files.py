@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from replen.operators.maintenance import first_per_key
+from replen.operators.selection import exclusion_list
 from replen.sources import schemas
 
 YES = ("tak", "yes", "1", "true", "x")
@@ -123,3 +124,31 @@ def jdbc(spark: SparkSession, url: str, table: str, column: str, bounds: tuple[i
     """A database table read in ranges of a column by as many tasks."""
     options = {"url": url, "dbtable": table, "partitionColumn": column, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions}
     return spark.read.format("jdbc").options(**{k: str(v) for k, v in options.items()}).load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, partitions: int = 8, batch: int = 1000, mode: str = "append") -> None:
+    """Write a database table by so many connections, each in batches of rows."""
+    df.write.format("jdbc").options(url=url, dbtable=table, numPartitions=str(partitions), batchsize=str(batch)).mode(mode).save()
+
+
+def write_orders(orders: DataFrame, path: str) -> None:
+    """Orders as JSON lines, one folder an order date."""
+    orders.write.mode("overwrite").partitionBy("order_date").json(path)
+
+
+def save_exclusions(rows: DataFrame, path: str) -> None:
+    """The list of excluded SKUs as JSON lines, distinct and in order."""
+    exclusion_list(rows).write.mode("overwrite").json(path)
+
+
+def load_exclusions(spark: SparkSession, path: str) -> DataFrame:
+    """A saved list; rows that are no SKU are left out."""
+    return exclusion_list(spark.read.schema("sku string").json(path))
+
+
+def newest_outlets(df: DataFrame) -> DataFrame:
+    """Outlet models of the file whose name has the last year (of equals the last name)."""
+    year = F.nullif(F.regexp_extract("source_file", r"(20\d{2})", 1), F.lit("")).cast("int")
+    newest = df.select(F.struct(year.alias("year"), F.col("source_file").alias("name")).alias("f")).where("f.year is not null").agg(F.max("f").alias("f"))
+    rows = df.join(F.broadcast(newest.select(F.col("f.name").alias("source_file"))), "source_file", "left_semi")  # one row
+    return outlet_models(rows)

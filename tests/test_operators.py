@@ -366,3 +366,11 @@ def test_details(spark):
     assert [r.entity for r in accuracy.details(rows, by="mape").collect()] == ["b", "ab", "ac"]
     assert [r.entity for r in accuracy.details(rows, search="A", by="mape", descending=True).collect()] == ["ab", "ac"]
     assert [r.entity for r in accuracy.details(rows, entity="b").collect()] == ["b"]
+
+
+def test_exclusions_and_orders_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "sku string")
+    files.save_exclusions(rows, str(tmp_path / "x"))
+    assert [r.sku for r in files.load_exclusions(spark, str(tmp_path / "x")).collect()] == ["a", "b"]
+    files.write_orders(spark.createDataFrame([("1", date(2001, 1, 2), 5), ("2", date(2001, 1, 3), 6)], "order_id string, order_date date, n int"), str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o")).where("order_date = '2001-01-03'").first().n == 6
