@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from replen.operators.maintenance import first_per_key, insert_ignore
+from replen.operators.maintenance import insert_ignore
 
 KEYS = ["order_id", "sku", "sale_time"]
 
@@ -23,20 +24,27 @@ def daily_totals(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     return rows.groupBy(F.window("sale_time", "1 day").alias("day"), "sku").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n"))
 
 
-def start(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
+def start(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str) -> StreamingQuery:
     """Read new files of source, insert what target lacks, stop when all is read.
 
-    Duplicates are found against the whole target, not within a watermark, so back-filled sales of any age are
-    inserted; delay has no effect and stays for earlier callers. A batch that is run again after a failure writes the same folder again, so no row is inserted twice.
+    Duplicates are found against the target, not within a watermark, so back-filled sales of any age are inserted once. The target is
+    partitioned by day and batch: a batch is compared with the earlier sales of its own days alone, so its cost grows with the batch and not with
+    the batches before it. A batch that is run again after a failure replaces its own partitions, so no row is inserted twice. Sales without a time share a partition and, as nobody knows their time, are never taken for repeats.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def insert(batch: DataFrame, number: int) -> None:
-        if not number:
-            rows = first_per_key(batch, KEYS, [F.col(c).asc_nulls_last() for c in batch.columns])
-        else:
-            earlier = spark.read.schema(schema).option("basePath", target).parquet(*[f"{target}/batch={i}" for i in range(number)])
-            rows = insert_ignore(earlier, batch, KEYS)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = batch.withColumn("day", F.coalesce(F.date_format("sale_time", "yyyy-MM-dd"), F.lit("none")))
+        days = sorted(r["day"] for r in rows.select("day").distinct().collect())  # the days of one batch
+        earlier = rows.limit(0)
+        if number and days:
+            try:
+                found = spark.read.schema(rows.schema).option("basePath", target).parquet(f"{target}/day={{{','.join(days)}}}/batch=*")
+                earlier = found.where(F.regexp_extract(F.col("_metadata.file_path"), "batch=([0-9]+)", 1).cast("long") < number)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        new = insert_ignore(earlier, rows, KEYS).withColumn("batch", F.lit(number))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
