@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replen.functions.sku import age_category
@@ -23,7 +23,9 @@ def prioritise(positioned: DataFrame, s: Settings = Settings()) -> DataFrame:
     stock, rop, forecast = F.col("stock"), F.col("rop"), F.col("forecast")
     risk = F.when((stock <= 0) & (forecast > 0), s.risk_out).when((stock > 0) & (stock < rop), (rop - stock) / rop * s.risk_below)
     rows = rows.withColumns({"risk": F.coalesce(risk, F.lit(0.0)), "revenue_at_risk": forecast * F.col("price")})
-    most = rows.agg(F.max("revenue_at_risk").alias("_revenue"), F.max("forecast").alias("_forecast"))
+    # Both maxima carry every column: were columns pruned here, the rows would be worked out twice instead of their exchanges being reused.
+    top = lambda c: F.max(F.struct(F.col(c).alias("_top"), *[x for x in rows.columns if x != c]))["_top"]
+    most = rows.agg(top("revenue_at_risk").alias("_revenue"), top("forecast").alias("_forecast"))
     priced = F.col("_revenue") > 0
     share = F.when(priced, F.col("revenue_at_risk") / F.col("_revenue")).when(F.col("_forecast") > 0, forecast / F.col("_forecast"))
     multiplier = F.coalesce(F.create_map(*[F.lit(x) for kv in s.multipliers.items() for x in kv])[F.col("type")], F.lit(1.0))
@@ -32,9 +34,9 @@ def prioritise(positioned: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.withColumns({"score": score * multiplier, "urgent": (stock <= 0) & (forecast > 0)}).drop("_revenue", "_forecast")
 
 
-def by_model_color(scored: DataFrame) -> DataFrame:
-    """Roll SKU priorities up to model and color."""
-    rows = scored.withColumns({"model": F.substring("entity", 1, 5), "color": F.substring("entity", 6, 2)})
+def by_model_color(scored: DataFrame, *more) -> DataFrame:
+    """Roll SKU priorities up to model and color. more: further aggregates, over rows that also have model, color, size and quantity."""
+    rows = scored.withColumns({"model": F.substring("entity", 1, 5), "color": F.substring("entity", 6, 2), "size": F.substring("entity", 8, 2), "quantity": _to_order()})
     out = rows.groupBy("model", "color").agg(
         F.avg("score").alias("score"),
         F.sum("deficit").alias("deficit"),
@@ -44,27 +46,31 @@ def by_model_color(scored: DataFrame) -> DataFrame:
         F.sum("safety_stock").alias("safety_stock"),
         F.sum("revenue_at_risk").alias("revenue_at_risk"),
         F.bool_or("urgent").alias("urgent"),
+        *more,
     )
     return out.withColumn("coverage_gap", F.greatest(F.lit(0), F.col("forecast") - F.col("stock")))
 
 
+def _to_order() -> Column:
+    """The whole part of the larger of deficit and forecast."""
+    return F.floor(F.greatest(F.coalesce("deficit", F.lit(0.0)), F.col("forecast").cast("double")))
+
+
 def size_quantities(scored: DataFrame) -> DataFrame:
     """model, color, size, quantity to order: the whole part of the larger of deficit and forecast."""
     return scored.select(
         F.substring("entity", 1, 5).alias("model"),
         F.substring("entity", 6, 2).alias("color"),
         F.substring("entity", 8, 2).alias("size"),
-        F.floor(F.greatest(F.coalesce("deficit", F.lit(0.0)), F.col("forecast").cast("double"))).alias("quantity"),
+        _to_order().alias("quantity"),
     )
 
 
 def recommend(scored: DataFrame, n: int = 10) -> DataFrame:
     """The n model-colors of the highest mean score, each with its sizes as text `size:quantity`, in order."""
-    top = by_model_color(scored).orderBy(F.desc("score"), "model", "color").limit(n)
-    sizes = size_quantities(scored).join(F.broadcast(top.select("model", "color")), ["model", "color"], "left_semi")
-    pairs = F.sort_array(F.collect_list(F.struct("size", "quantity")))
-    sizes = sizes.groupBy("model", "color").agg(F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x["size"], x["quantity"])), ", ").alias("sizes"))
-    return top.join(sizes, ["model", "color"])
+    pairs = F.sort_array(F.collect_list(F.struct("size", "quantity"))).alias("sizes")  # a model-color has some sizes
+    top = by_model_color(scored, pairs).orderBy(F.desc("score"), "model", "color").limit(n)
+    return top.withColumn("sizes", F.array_join(F.transform("sizes", lambda x: F.concat_ws(":", x["size"], x["quantity"])), ", "))
 
 
 def urgent_colors(rolled: DataFrame, model: str) -> DataFrame:
