@@ -39,7 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Remove the tables that stored() wrote. Results read them when they are computed, so this is for the end, when they have been written."""
+    """Remove the tables that stored() and the n-gram blocks wrote. Results read them when they are computed, so this is for the end, when
+    they have been written."""
+    for t in spark.catalog.listTables():
+        if re.fullmatch(r"\w+_blocks_[0-9a-f]{32}", t.name):
+            spark.sql(f"drop table if exists {t.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/replen")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

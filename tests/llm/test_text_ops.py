@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replen.llm import exact, langid, line_rules, lm_score, minhash, mixing, ngram, pieces, pii, quality, secrets
-from replen.llm.common import components, may_be_among, n_words
+from replen.llm.common import components, drop_stored, may_be_among, n_words, shared_dir
 from replen.llm.queries import QUERIES, piece_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -655,6 +656,13 @@ def test_pii_validates(spark):
     assert ssn.select(pii.permute_ssn(F.col("v"), "k").alias("p")).distinct().count() == ssn.count()
 
 
+def test_stored_tables_are_dropped(spark):
+    blocks = ngram.blocked(docs_of(spark, ["a", "b"]).withColumn("_model", F.lit(0)), "drop-blocks")
+    assert blocks.count() == 2 and os.path.exists(f"{shared_dir(spark)}/replen") and any("drop_blocks" in t.name for t in spark.catalog.listTables())
+    drop_stored(spark)
+    assert not os.path.exists(f"{shared_dir(spark)}/replen") and not any("_blocks_" in t.name for t in spark.catalog.listTables())
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_covers_table(spark, name):
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
