@@ -175,12 +175,13 @@ def components(edges: DataFrame, name: str, most_rounds: int = 50) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # A node of many edges (all of a large group's hang on its least member) is dealt over some parts.
-        edges = now.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        large = edges.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # A node of many edges is dealt over some parts, in both joins.
+        dealt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        edges = now.select(F.col("b").alias("a"), F.col("a").alias("b")).select("*", dealt)
+        large = edges.join(least.select("*", parts), ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = large.select("*", dealt).join(least.select("*", parts), ["a", "salt"])
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
