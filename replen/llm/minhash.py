@@ -249,13 +249,12 @@ def from_pivot(members: DataFrame, p: NearParams) -> DataFrame:
         for s, e in zip(starts, [*starts[1:], len(pdf)]):
             if e - s == 1:
                 continue
-            first = int(pdf["place"].iloc[s:e].to_numpy().argmin())
             sets = [shingles(t, p.shingle) for t in pdf["text"].iloc[s:e]]
-            pivot = sets[first]
+            pivot = max((t for t, place in zip(sets, pdf["place"].iloc[s:e]) if not place), key=len)  # an id that repeats may lack words once
             for i, t in enumerate(sets):
                 at = np.minimum(np.searchsorted(pivot, t), len(pivot) - 1)
-                shared = int((pivot[at] == t).sum())
-                distance[s + i] = 1 - shared / (len(t) + len(pivot) - shared)
+                shared = int((pivot[at] == t).sum()) if len(pivot) else 0
+                distance[s + i] = 1 - shared / max(1, len(t) + len(pivot) - shared)
         yield pdf[["family", "doc_id", "size"]].assign(distance=distance)
 
     return map_sorted_groups(rows, ["family", "a"], run, "family long, doc_id long, size long, distance double").distinct()
@@ -289,7 +288,8 @@ def confirmed(families: DataFrame, docs: DataFrame, p: NearParams, id_col: str,
             sets = [shingles(t, p.shingle) for t in pdf["text"].iloc[s:e]]
             size = np.array([len(t) for t in sets])
             shared = shared_counts([sets[i] for i in own], None if own is other else [sets[i] for i in other])
-            i, j = np.nonzero(100 * shared >= p.percent * (size[own][:, None] + size[other][None, :] - shared))
+            union = size[own][:, None] + size[other][None, :] - shared
+            i, j = np.nonzero((100 * shared >= p.percent * union) & (union > 0))
             links = forest(own[i], other[j], e - s)
             if links:
                 found.append(ids[np.array(links) + s])
@@ -312,7 +312,7 @@ def near_duplicates(
 
     Returns one row per input row: doc_id, n_shingles, component_id (least id reachable), kept
     (doc_id = component_id). Null and wordless texts have an empty set and are linked with nothing. Ids are integers (others
-    raise TypeError) and should be unique: rows that repeat an id share its group; rows with a null id are returned with component_id null and
+    raise TypeError) and should be unique: rows that repeat an id share its group (those without words have none); rows with a null id are returned with component_id null and
     kept false. An empty table gives an empty one. Other columns are left out.
     """
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from replen.llm.common import pieces_of, shared_dir, stored
 
@@ -225,7 +226,7 @@ def blocked(docs: DataFrame, name: str, block_chars: int = BLOCK_CHARS) -> DataF
             before = int(ends[-1]) if len(ends) else before
             yield pa.RecordBatch.from_arrays([*batch.columns, block], [*batch.schema.names, "_block"])
 
-    rows = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _block long")
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_block", T.LongType())]))
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_dir(spark)}/replen/{table}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -313,8 +314,8 @@ def scored(blocks: DataFrame, grams: DataFrame, model: Model, name: str, sides:
             out = out.append_column(name, pa.array(column))
         return out
 
-    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", n_symbols long" + "".join(f", bits_{i} double" for i in range(sides))
+    more = [T.StructField("n_symbols", T.LongType()), *[T.StructField(f"bits_{i}", T.DoubleType()) for i in range(sides)]]
+    schema = T.StructType([*[blocks.schema[c] for c in others], *more])
     return blocks.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(run, schema)
 
 
