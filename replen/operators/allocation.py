@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a pattern set, a row for each pattern and size.
+MOST_PATTERNS = 10_000
+
+
 def size_priorities(sales: DataFrame) -> DataFrame:
     """Each size's share of its model-color's sales. sales: model, color, size, quantity."""
     total = F.sum("quantity").over(Window.partitionBy("model", "color"))
@@ -102,10 +106,13 @@ def cover(demand: dict[str, int], patterns: dict[int, dict[str, int]], least: in
 def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5, mode: str = "search") -> DataFrame:
     """model, color, pattern_id, uses covering the demand (model, color, size, quantity) by patterns (pattern_id, size, count).
 
-    The pattern set is small (some rows a pattern) and goes to the tasks as it is.
+    The pattern set is small (some rows a pattern; over MOST_PATTERNS raise ValueError) and goes to the tasks as it is.
     """
     known: dict[int, dict[str, int]] = {}
-    for r in patterns.orderBy("pattern_id", "size").collect():
+    rows = patterns.orderBy("pattern_id", "size").limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"a pattern set has at most {MOST_PATTERNS} rows")
+    for r in rows:
         known.setdefault(r["pattern_id"], {})[r["size"]] = r["count"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

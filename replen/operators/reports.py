@@ -117,7 +117,7 @@ def yoy_kpis(sales: DataFrame, category: DataFrame, as_of: date) -> DataFrame:
     )
     total = total.withColumn("change", F.when(F.col("prior") > 0, (F.col("current") - F.col("prior")) / F.col("prior") * 100).otherwise(999.0))
     now, _ = year_to_last_month(as_of)
-    bare = sales.where(_between("sale_date", now)).join(F.broadcast(category.select("model")), "model", "left_anti")
+    bare = sales.where(_between("sale_date", now)).join(category.select("model"), "model", "left_anti")
     return total.crossJoin(bare.agg(F.count_distinct("model").alias("uncategorised_models"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("uncategorised_sales")))
 
 
