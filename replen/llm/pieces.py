@@ -190,10 +190,10 @@ class Agenda:
         return np.array([s for s, g in zip(symbols, gone) if not g], np.int32)
 
     def segments(self, text: str) -> list[str]:
-        """Cuts of a text; a segment without a line feed in front stands for itself after a space mark."""
+        """Cuts of a text; a segment without a line feed in front stands for itself after a space mark, one with a carriage return for what follows it."""
         if not text:
             return []
-        if "  " in text or " \n" in text or SPACE_MARK in text or text[0] in " \n" or text[-1] == " ":
+        if "  " in text or " \n" in text or SPACE_MARK in text or "\r" in text or text[0] in " \n" or text[-1] == " ":
             return ["\r" + s for s in self.cut(SPACE_MARK + text.replace(" ", SPACE_MARK))]
         return text.replace("\n", " \n").split(" ")
 

@@ -224,6 +224,18 @@ def test_pieces(spark, texts):
     assert pieces.encode(docs_of(spark, []), pieces.model_bytes(piece_model())).count() == 0
 
 
+def test_pieces_of_random_texts():
+    agenda, r = pieces.Agenda(pieces.model_bytes(piece_model())), np.random.RandomState(1)
+    signs = list(" \n\r\t▁abcthe.é日😀\x00 ﬁ1<s>/0xA|́")
+    for _ in range(30):
+        texts = ["".join(r.choice(signs, r.randint(0, r.choice([3, 20, 150])))) for _ in range(40)]
+        ends, ids, until, raw = agenda.encode_batch(texts)
+        for i, t in enumerate(texts):
+            want = agenda.library.encode(t)
+            assert ids[ends[i] : ends[i + 1]].tolist() == [*want, agenda.end], repr(t)
+            assert raw[until[i] : until[i + 1]].tobytes().decode() == agenda.library.decode(want), repr(t)
+
+
 def test_language(spark):
     words = {"aa": "ka lo mi nu ta", "bb": "fer gil hox jum ost", "cc": "zz xx qq ww vv"}
     r = np.random.RandomState(3)
