@@ -388,9 +388,26 @@ def series_features(spark, d):
     return rounded(out.select("entity", "month", "quantity", "lag_1", "lag_12", "mean_3", "sd_6", "yoy", "quarter", "month_sin"))
 
 
-@registered()
+_ROLLED = ", ".join(
+    f"round(avg(quantity) over (w rows between {n} preceding and 1 preceding), 6) as mean_{n}, "
+    f"round(coalesce(stddev_samp(quantity) over (w rows between {n} preceding and 1 preceding), 0), 6) as sd_{n}"
+    for n in series.ROLLING
+)
+_LAGGED = ", ".join(f"coalesce(lag(quantity, {k}) over w, 0) as lag_{k}" for k in series.LAGS)
+
+
+@registered(_stats_sql("model") + ", " + _FILLED + f""",
+    ends as (select entity, max(month) as hi, arg_max(quantity, month) as quantity from fs group by entity),
+    u as (select entity, month, quantity, 0 as step from fs union all
+          select entity, cast(hi + to_months(cast(n as int)) as date), quantity, n from ends, range(1, 7) t(n)),
+    l as (select *, {_LAGGED}, {_ROLLED}, coalesce(lag(quantity, 1) over w - lag(quantity, 13) over w, 0) as yoy,
+                 round(coalesce((lag(quantity, 1) over w - lag(quantity, 13) over w) / nullif(lag(quantity, 13) over w, 0), 0), 6) as yoy_percent,
+                 month(month) as calendar_month, quarter(month) as quarter, round(sin(month(month) * (2 * pi() / 12)), 6) as month_sin, round(cos(month(month) * (2 * pi() / 12)), 6) as month_cos
+          from u window w as (partition by entity order by month))
+    select l.*, coalesce(case type when 'basic' then 0 when 'regular' then 1 when 'seasonal' then 2 when 'new' then 3 end, 1) as type_code, round(coalesce(cv, 0.5), 6) as cv
+    from l left join k using (entity) where step > 0""", whole="quantity yoy " + " ".join(f"lag_{k}" for k in series.LAGS))
 def future_features(spark, d):
-    return series.future_matrix(months(spark, d), types(spark, d), 6)
+    return rounded(series.future_matrix(months(spark, d), types(spark, d), 6))
 
 
 _GRID = """fd as (select model as entity, forecast_date as day, sum(forecast) as forecast from fx_daily group by all),
