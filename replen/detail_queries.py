@@ -10,7 +10,7 @@ from replen.functions.change import trend
 from replen.functions.sku import size_sort_key, with_sku_parts
 from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats
 from replen.plans import summary as plans
-from replen.queries import _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
+from replen.queries import _FILLED, _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
 from replen.sources import files
 from replen.sources import fixtures as fx
 
@@ -590,3 +590,15 @@ def method_counts(spark, d):
     select entity, month, quantity, {", ".join(f"lag_{k}" for k in series.LAGS)} from l where lag_12 is not null""", whole="quantity " + " ".join(f"lag_{k}" for k in series.LAGS))
 def training_lags(spark, d):
     return series.training_matrix(months(spark, d), types(spark, d)).select("entity", "month", "quantity", *[f"lag_{k}" for k in series.LAGS])
+
+
+@registered(_FILLED + """, nm as (select *, row_number() over (partition by entity order by month) - 1 as pos, count(*) over (partition by entity) as n from fs),
+    ct as (select distinct entity, n, fold, n - (3 - fold) * 3 as cut from nm, range(0, 3) f(fold)),
+    ok as (select * from ct where cut >= greatest(12, n - 12)),
+    pr as (select ok.entity, fold, cut, sum(quantity * case cut - pos when 3 then 0.5 when 2 then 0.3 else 0.2 end::double) as f from ok join nm on nm.entity = ok.entity and pos >= cut - 3 and pos < cut group by all),
+    er as (select pr.entity, fold, avg(case when quantity <> 0 then abs(f - quantity) / abs(quantity) end) * 100 as mape, avg(coalesce(2 * abs(f - quantity) / nullif(abs(f) + abs(quantity), 0), 0)) * 100 as smape,
+                  avg(abs(f - quantity)) as mae, sqrt(avg((f - quantity) * (f - quantity))) as rmse
+           from pr join nm on nm.entity = pr.entity and pos >= cut and pos < cut + 3 group by all)
+    select entity, 'moving_avg' as method, round(avg(mape), 6) as mape, round(avg(smape), 6) as smape, round(avg(mae), 6) as mae, round(avg(rmse), 6) as rmse from er group by entity""")
+def moving_average_cross_validation(spark, d):
+    return rounded(forecasting.cross_validate(series.filled(months(spark, d), 12)).where("method = 'moving_avg'"))
