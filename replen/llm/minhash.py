@@ -299,6 +299,35 @@ def confirmed(families: DataFrame, docs: DataFrame, p: NearParams, id_col: str,
     return near.unionByName(map_sorted_groups(rows, ["family", "x", "y"], run, "a long, b long")).distinct()
 
 
+def equal_sets(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, rep, n) of the documents with equal sets, and the rows of feats of their representatives (the least ids)."""
+    rows = feats.where("digest is not null and doc_id is not null")
+    classes = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-classes")
+    return classes, feats.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
+
+
+def linked_classes(docs: DataFrame, reps: DataFrame, edges: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
+    """node, label: components of the confirmed links among representatives that hang together by screened edges (a, b)."""
+    families = components(edges, "near-families")
+    members = families.select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    members = members.unionByName(members.select(F.col("family").alias("doc_id"), "family").distinct())
+    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
+    members = stored(members.join(sizes, "doc_id"), "near-members")
+    return components(confirmed(members, docs, p, id_col, text_col), "near-groups")
+
+
+def with_components(feats: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of feats: the label of its class's representative, or the representative."""
+    named = (
+        classes.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        .where("n > 1 or label is not null")
+        .select("digest", F.coalesce("label", "rep").alias("component_id"))
+    )
+    # Empty sets have no digest; a key of their own deals them evenly.
+    feats = feats.withColumn("digest", F.coalesce("digest", F.xxhash64("doc_id").cast("string").cast("binary")))
+    return feats.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, params: NearParams = NearParams(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -318,27 +347,7 @@ def near_duplicates(
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_col} must be an integer column")
     feats = stored(features(docs, params, id_col, text_col), "near-features")
-    classes = stored(
-        feats.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")),
-        "near-classes",
-    )
-    reps = feats.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    families = components(screened(reps, params), "near-families")
-    members = families.select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
-    members = members.unionByName(members.select(F.col("family").alias("doc_id"), "family").distinct())
-    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
-    members = stored(members.join(sizes, "doc_id"), "near-members")
-    groups = components(confirmed(members, docs, params, id_col, text_col), "near-groups")
-    named = (
-        classes.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        .where("n > 1 or label is not null")
-        .select("digest", F.coalesce("label", "rep").alias("component_id"))
-    )
-    # Empty sets have no digest; a key of their own deals them evenly.
-    feats = feats.withColumn("digest", F.coalesce("digest", F.xxhash64("doc_id").cast("string").cast("binary")))
-    return feats.join(named, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
-    )
+    classes, reps = equal_sets(feats)
+    groups = linked_classes(docs, reps, screened(reps, params), params, id_col, text_col)
+    rows = with_components(feats, classes, groups)
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
