@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from replen.functions.change import trend
 from replen.functions.sku import size_sort_key, with_sku_parts
-from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats
+from replen.operators import accuracy, allocation, entity_models, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats
 from replen.plans import summary as plans
 from replen.queries import _FILLED, _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
 from replen.sources import files
@@ -574,7 +574,7 @@ def outlet_models_of_the_last_year(spark, d):
 
 
 @registered(_SUMMARY.split(",\n        st as")[0].replace("_sku", "_model") + """, b as (select entity, date_diff('month', min(month), max(month)) + 1 as n from months_model group by entity),
-    x as (select k.entity, case when type = 'new' or n < 12 then 'moving_avg' when cv < 0.6 then 'exp_smoothing' when n >= 24 then 'holt_winters' else 'exp_smoothing' end as method from k join b using (entity))
+    x as (select k.entity, case when type = 'new' or n < 12 then 'moving_avg' when cv < 0.6 then 'exp_smoothing' when n >= 24 and (cv is not null or type in ('regular', 'seasonal')) then 'holt_winters' else 'exp_smoothing' end as method from k join b using (entity))
     select method, count(*) as n_entities from x group by method""")
 def method_counts(spark, d):
     n = series.filled(months(spark, d)).groupBy("entity").agg(F.count("*").alias("n"))
@@ -596,9 +596,49 @@ def training_lags(spark, d):
     ct as (select distinct entity, n, fold, n - (3 - fold) * 3 as cut from nm, range(0, 3) f(fold)),
     ok as (select * from ct where cut >= greatest(12, n - 12)),
     pr as (select ok.entity, fold, cut, sum(quantity * case cut - pos when 3 then 0.5 when 2 then 0.3 else 0.2 end::double) as f from ok join nm on nm.entity = ok.entity and pos >= cut - 3 and pos < cut group by all),
-    er as (select pr.entity, fold, avg(case when quantity <> 0 then abs(f - quantity) / abs(quantity) end) * 100 as mape, avg(coalesce(2 * abs(f - quantity) / nullif(abs(f) + abs(quantity), 0), 0)) * 100 as smape,
+    er as (select pr.entity, fold, avg(case when quantity <> 0 then abs(f - quantity) / abs(quantity) end) * 100 as mape, avg(2 * abs(f - quantity) / nullif(abs(f) + abs(quantity), 0)) * 100 as smape,
                   avg(abs(f - quantity)) as mae, sqrt(avg((f - quantity) * (f - quantity))) as rmse
            from pr join nm on nm.entity = pr.entity and pos >= cut and pos < cut + 3 group by all)
     select entity, 'moving_avg' as method, round(avg(mape), 6) as mape, round(avg(smape), 6) as smape, round(avg(mae), 6) as mae, round(avg(rmse), 6) as rmse from er group by entity""")
 def moving_average_cross_validation(spark, d):
-    return rounded(forecasting.cross_validate(series.filled(months(spark, d), 12)).where("method = 'moving_avg'"))
+    return rounded(forecasting.cross_validate(series.filled(months(spark, d), 12), methods=("moving_avg",)))
+
+
+_ROWS = _FILLED + """, lg as (select *, lag(quantity, 1) over w as lag_1, lag(quantity, 12) over w as lag_12 from fs window w as (partition by entity order by month)),
+    tr as (select *, count(*) over (partition by entity) as n, row_number() over (partition by entity order by month desc) - 1 as back from lg where lag_12 is not null),
+    fo as (select *, case when back // 3 < 3 and n - (back // 3 + 1) * 3 >= 12 then 2 - back // 3 end as fold from tr)"""
+
+
+@registered(_ROWS + """ select entity, fold, count(*) as n, sum(quantity) as sum_quantity, sum(lag_1 * quantity) as lag_1_quantity, sum(lag_1 * lag_12) as lag_1_lag_12,
+    sum(quantity * quantity) as quantity_quantity from fo group by entity, fold""", whole="n sum_quantity lag_1_quantity lag_1_lag_12 quantity_quantity")
+def training_sums_by_fold(spark, d):
+    """Entries of the mergeable sums of products that linear models of each entity are solved from."""
+    rows = entity_models.with_folds(series.training_matrix(months(spark, d), types(spark, d)))
+    at = {pair: k for k, pair in enumerate(entity_models.UPPER)}
+    y, one, twelve = entity_models.WIDE - 1, 1, 1 + forecasting.FEATURES.index("lag_12")
+    taken = {"n": (0, 0), "sum_quantity": (0, y), "lag_1_quantity": (one, y), "lag_1_lag_12": (one, twelve), "quantity_quantity": (y, y)}
+    return entity_models.gram_sums(rows).select("entity", "fold", *[F.col("gram")[at[p]].cast("long").alias(c) for c, p in taken.items()])
+
+
+@registered()
+def entity_model_scores(spark, d):
+    return rounded(entity_models.model_scores(entity_models.out_of_fold(months(spark, d), types(spark, d))))
+
+
+@registered()
+def entity_model_forecasts(spark, d):
+    return rounded(entity_models.train_and_forecast(months(spark, d), types(spark, d), 3)[0])
+
+
+@registered(_FILLED + """, nm as (select *, row_number() over (partition by entity order by month) - 1 as pos, count(*) over (partition by entity) as n from fs),
+    ct as (select distinct entity, n, fold, n - (3 - fold) * 3 as cut from nm, range(0, 3) f(fold)),
+    ok as (select * from ct where cut >= greatest(12, n - 12)),
+    pr as (select ok.entity, fold, cut, sum(quantity * case cut - pos when 3 then 0.5 when 2 then 0.3 else 0.2 end::double) as f from ok join nm on nm.entity = ok.entity and pos >= cut - 3 and pos < cut group by all),
+    er as (select pr.entity, fold, avg(abs(f - quantity)) as mae from pr join nm on nm.entity = pr.entity and pos >= cut and pos < cut + 3 group by all),
+    sc as (select entity, avg(mae) as score from er group by entity)
+    select coalesce(case when score is not null then 'moving_avg' end, 'failed') as method, count(*) as n_entities, round(avg(score), 6) as mean_score
+    from (select distinct entity from months_model) left join sc using (entity) group by 1""")
+def training_summary_of_moving_averages(spark, d):
+    known = entity_models.out_of_fold(months(spark, d), types(spark, d), candidates=("moving_avg",))
+    best = entity_models.best_models(entity_models.model_scores(known, "mae"))
+    return rounded(entity_models.training_summary(months(spark, d), best))

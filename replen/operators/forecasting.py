@@ -10,7 +10,7 @@ from datetime import date
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replen.operators.series import LAGS, ROLLING, filled
@@ -24,11 +24,11 @@ FEATURES = [f"lag_{k}" for k in LAGS] + [f"{m}_{n}" for n in ROLLING for m in ("
 
 
 def choose_method(kind: Column, cv: Column, n: Column) -> Column:
-    """The method for an entity's type, variation and number of months; seasonal needs two years."""
+    """The method for an entity's type, variation and number of months; without a variation the type decides. Seasonal methods need two years."""
+    varied = F.when(cv.isNotNull(), cv >= 0.6).otherwise(F.coalesce(kind.isin("regular", "seasonal"), F.lit(False)))
     return (
         F.when((kind == "new") | (n < 12), "moving_avg")
-        .when(cv < 0.6, "exp_smoothing")
-        .when(n >= 2 * SEASON, "holt_winters")
+        .when(varied & (n >= 2 * SEASON), "holt_winters")
         .otherwise("exp_smoothing")
     )
 
@@ -133,7 +133,7 @@ def holt_winters(arrays: DataFrame, horizon: int) -> DataFrame:
 def forecast_all(months: DataFrame, types: DataFrame, horizon: int, least: int = 12) -> DataFrame:
     """entity, month, forecast, lower, upper, method of every entity with `least` months, each by its method, in one pass. types: entity, type, cv."""
     arrays = as_arrays(filled(months, least)).join(types.select("entity", "type", "cv"), "entity", "left")
-    method = choose_method(F.coalesce("type", F.lit("regular")), F.coalesce("cv", F.lit(0.5)), F.col("n"))
+    method = choose_method(F.col("type"), F.col("cv"), F.col("n"))
     rows = arrays.withColumn("method", method).where((F.col("method") != "exp_smoothing") | (F.col("n") >= 3))
     of = lambda name, value: F.when(F.col("method") == name, value)
     rows = rows.withColumns(
@@ -164,21 +164,41 @@ def folds(series: DataFrame, splits: int = 3, test: int = 3, least: int = 12) ->
     return rows.select("entity", "fold", "month", "quantity", (F.col("at") >= F.col("cut")).alias("is_test"))
 
 
-def cross_validate(series: DataFrame, splits: int = 3, test: int = 3) -> DataFrame:
-    """entity, method, mape, smape, mae, rmse: means over the folds of the statistical methods; folds are entities of their own, so all fits are one job."""
+METHODS = {"moving_avg": moving_average, "exp_smoothing": exponential_smoothing, "holt_winters": holt_winters}
+
+
+def fold_forecasts(series: DataFrame, splits: int = 3, test: int = 3, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """entity, fold, month, step, method, forecast, quantity of the statistical methods on each fold's tested months, fitted on the months before.
+
+    Folds are entities of their own, so all fits are one job.
+    """
     rows = folds(series, splits, test).withColumn("key", F.concat_ws("\x1f", "entity", "fold"))
     train = rows.where("not is_test").select(F.col("key").alias("entity"), "month", "quantity")
-    arrays = as_arrays(train)
-    made = moving_average(arrays, test).unionByName(exponential_smoothing(arrays, test)).unionByName(holt_winters(arrays, test))
-    truth = rows.where("is_test").select("key", F.col("entity").alias("of"), "month", "quantity")
-    both = made.join(truth, (made["entity"] == truth["key"]) & (made["month"] == truth["month"])).select("of", "key", "method", "forecast", "quantity")
+    arrays, made = as_arrays(train), None
+    for name in methods:
+        out = METHODS[name](arrays, test)
+        made = out if made is None else made.unionByName(out)
+    made = made.select(F.col("entity").alias("key"), "month", "method", "forecast")
+    truth = rows.where("is_test").select("key", "entity", "fold", "month", "quantity")
+    step = F.row_number().over(Window.partitionBy("key", "method").orderBy("month"))
+    return made.join(truth, ["key", "month"]).select("entity", "fold", "month", step.alias("step"), "method", "forecast", F.col("quantity").cast("double").alias("quantity"))
+
+
+def fold_scores(forecasts: DataFrame) -> DataFrame:
+    """entity, fold, method, mape, smape, mae, rmse of fold_forecasts() rows; mape leaves out months without sales (null if all are), smape those where
+    forecast and sales are both 0."""
     f, y = F.col("forecast"), F.col("quantity")
-    per = both.groupBy("of", "key", "method").agg(
+    return forecasts.groupBy("entity", "fold", "method").agg(
         (F.avg(F.when(y != 0, F.abs(f - y) / F.abs(y))) * 100).alias("mape"),
-        (F.avg(F.coalesce(F.try_divide(2 * F.abs(f - y), F.abs(f) + F.abs(y)), F.lit(0.0))) * 100).alias("smape"),
+        (F.avg(F.try_divide(2 * F.abs(f - y), F.abs(f) + F.abs(y))) * 100).alias("smape"),
         F.avg(F.abs(f - y)).alias("mae"), F.sqrt(F.avg((f - y) * (f - y))).alias("rmse"),
     )
-    return per.groupBy(F.col("of").alias("entity"), "method").agg(*[F.avg(c).alias(c) for c in ("mape", "smape", "mae", "rmse")])
+
+
+def cross_validate(series: DataFrame, splits: int = 3, test: int = 3, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """entity, method, mape, smape, mae, rmse: means over the folds of the statistical methods."""
+    per = fold_scores(fold_forecasts(series, splits, test, methods))
+    return per.groupBy("entity", "method").agg(*[F.avg(c).alias(c) for c in ("mape", "smape", "mae", "rmse")])
 
 
 def best_method(scores: DataFrame, metric: str = "mape") -> DataFrame:

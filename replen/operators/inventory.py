@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,9 +140,11 @@ def out_of_stock_streaks(history: DataFrame, entity: str) -> DataFrame:
 def projection(starts: DataFrame, forecast: DataFrame, start: date, n_months: int = 12) -> DataFrame:
     """Running stock of every entity: a seed row at start, then stock less all forecast up to each date.
 
-    starts: entity, stock, rop; forecast: entity, forecast_date, forecast (dates from start to n_months later).
+    starts: entity, stock, rop; forecast: entity, forecast_date, forecast (dates from start to the same day n_months later, or that month's last day).
+    below_rop holds from the reorder point itself on.
     """
-    end = add_months(start, n_months).replace(day=start.day if start.day <= 28 else 28)
+    end = add_months(start, n_months)
+    end = end.replace(day=min(start.day, monthrange(end.year, end.month)[1]))
     rows = forecast.where(F.col("forecast_date").between(F.lit(start), F.lit(end))).join(starts.select("entity"), "entity", "left_semi")
     rows = rows.groupBy("entity", "forecast_date").agg(F.sum("forecast").cast("double").alias("demand"))
     seed = starts.select("entity", F.lit(start).alias("forecast_date"), F.lit(0.0).alias("demand"), F.lit(0).alias("step"))
@@ -149,7 +152,7 @@ def projection(starts: DataFrame, forecast: DataFrame, start: date, n_months: in
     upto = Window.partitionBy("entity").orderBy("forecast_date", "step").rowsBetween(Window.unboundedPreceding, 0)
     left = F.col("stock") - F.sum("demand").over(upto)
     return rows.select("entity", F.col("forecast_date").alias("date"), "step", "demand", left.alias("projected"), "rop").withColumns(
-        {"below_rop": F.col("projected") < F.col("rop"), "out_of_stock": F.col("projected") <= 0}
+        {"below_rop": F.col("projected") <= F.col("rop"), "out_of_stock": F.col("projected") <= 0}
     )
 
 

@@ -15,23 +15,23 @@ def prioritise(positioned: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Add the stock-out risk, revenue impact, score and urgency of each entity.
 
     positioned: entity, type, stock, price, rop, deficit, forecast. The impact is relative to the greatest revenue at risk,
-    a one-row aggregate that is broadcast; without any price the forecast stands for the revenue.
+    a one-row aggregate that is broadcast, and 0 where none is; only without a column price does the forecast stand for the revenue.
     """
     if missing := [c for c in NEEDED if c not in positioned.columns]:
         raise ValueError(f"missing columns: {missing}")
     rows = positioned.withColumn("forecast", F.coalesce("forecast", F.lit(0)))
     stock, rop, forecast = F.col("stock"), F.col("rop"), F.col("forecast")
     risk = F.when((stock <= 0) & (forecast > 0), s.risk_out).when((stock > 0) & (stock < rop), (rop - stock) / rop * s.risk_below)
-    rows = rows.withColumns({"risk": F.coalesce(risk, F.lit(0.0)), "revenue_at_risk": forecast * F.col("price")})
-    # Both maxima carry every column: were columns pruned here, the rows would be worked out twice instead of their exchanges being reused.
-    top = lambda c: F.max(F.struct(F.col(c).alias("_top"), *[x for x in rows.columns if x != c]))["_top"]
-    most = rows.agg(top("revenue_at_risk").alias("_revenue"), top("forecast").alias("_forecast"))
-    priced = F.col("_revenue") > 0
-    share = F.when(priced, F.col("revenue_at_risk") / F.col("_revenue")).when(F.col("_forecast") > 0, forecast / F.col("_forecast"))
+    revenue = forecast * F.col("price") if "price" in rows.columns else forecast
+    rows = rows.withColumns({"risk": F.coalesce(risk, F.lit(0.0)), "revenue_at_risk": revenue})
+    # The maximum carries every column: were columns pruned here, the rows would be worked out twice instead of their exchanges being reused.
+    top = F.max(F.struct(F.col("revenue_at_risk").alias("_top"), *[x for x in rows.columns if x != "revenue_at_risk"]))["_top"]
+    most = rows.agg(top.alias("_revenue"))
+    share = F.when(F.col("_revenue") > 0, F.col("revenue_at_risk") / F.col("_revenue"))
     multiplier = F.coalesce(F.create_map(*[F.lit(x) for kv in s.multipliers.items() for x in kv])[F.col("type")], F.lit(1.0))
     rows = rows.crossJoin(F.broadcast(most)).withColumn("impact", F.coalesce(share, F.lit(0.0)) * 100)
     score = F.col("risk") * s.weight_risk + F.col("impact") * s.weight_revenue + F.least(forecast, F.lit(s.demand_cap)) * s.weight_demand
-    return rows.withColumns({"score": score * multiplier, "urgent": (stock <= 0) & (forecast > 0)}).drop("_revenue", "_forecast")
+    return rows.withColumns({"score": score * multiplier, "urgent": (stock <= 0) & (forecast > 0)}).drop("_revenue")
 
 
 def by_model_color(scored: DataFrame, *more) -> DataFrame:

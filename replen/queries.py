@@ -86,8 +86,7 @@ _SUMMARY = (
                      coalesce((stock - rop) / nullif(rop, 0) * 100, 0) as overstock_percent from p),
         x as (select *, case when stock <= 0 and forecast > 0 then 100 when stock > 0 and stock < rop then (rop - stock) / rop * 80 else 0 end as risk,
                      forecast * price as revenue from q),
-        y as (select *, case when max(revenue) over () > 0 then revenue / max(revenue) over () * 100
-                             when max(forecast) over () > 0 then forecast * 100.0 / max(forecast) over () else 0 end as impact from x),
+        y as (select *, case when max(revenue) over () > 0 then revenue / max(revenue) over () * 100 else 0 end as impact from x),
         pr as (select *, (risk * 0.5 + impact * 0.3 + least(forecast, 100) * 0.2)
                       * case type when 'new' then 1.2 when 'seasonal' then 1.3 when 'basic' then 0.9 else 1.0 end as score,
                       stock <= 0 and forecast > 0 as urgent from y)"""
@@ -216,12 +215,12 @@ def _projected(spark, d):
     return inventory.projection(starts, latest_forecast(spark, d).withColumnRenamed("sku", "entity"), AS_OF)
 
 
-@registered(_PROJECTION + " select entity, date, step, demand, projected, round(rop, 6) as rop, projected < rop as below_rop, projected <= 0 as out_of_stock from pj")
+@registered(_PROJECTION + " select entity, date, step, demand, projected, round(rop, 6) as rop, projected <= rop as below_rop, projected <= 0 as out_of_stock from pj")
 def stock_projection(spark, d):
     return rounded(_projected(spark, d))
 
 
-@registered(_PROJECTION + """, c as (select entity, min(date) filter (where projected < rop) as rop_date, min(date) filter (where projected <= 0) as zero_date from pj group by entity)
+@registered(_PROJECTION + """, c as (select entity, min(date) filter (where projected <= rop) as rop_date, min(date) filter (where projected <= 0) as zero_date from pj group by entity)
     select *, date_diff('day', date '2001-08-15', zero_date) as days_to_zero, coalesce(date_diff('day', date '2001-08-15', zero_date) <= 30, false) as critical from c""")
 def projection_crossings(spark, d):
     return inventory.crossings(_projected(spark, d), AS_OF)

@@ -87,7 +87,29 @@ def test_projection_falls(spark):
     rows = inventory.projection(starts, plan, AS_OF).orderBy("date", "step").collect()
     assert [r.projected for r in rows] == [10, 6, 2, -2]
     c = inventory.crossings(inventory.projection(starts, plan, AS_OF), AS_OF).first()
-    assert (c.rop_date, c.zero_date, c.critical) == (D(2001, 10, 1), D(2001, 11, 1), False)
+    assert (c.rop_date, c.zero_date, c.critical) == (D(2001, 9, 1), D(2001, 11, 1), False)  # stock at the reorder point has reached it
+
+
+def test_projection_ends_on_the_same_day_of_the_month(spark):
+    starts = spark.createDataFrame([("a", 10, 6.0)], "entity string, stock int, rop double")
+    days = [D(2001, 1, 31), D(2001, 2, 27), D(2001, 2, 28), D(2001, 3, 1), D(2001, 3, 29), D(2001, 3, 31), D(2001, 4, 1)]
+    plan = spark.createDataFrame([("a", d, 1) for d in days], "entity string, forecast_date date, forecast int")
+    until = lambda n: sorted(r.date for r in inventory.projection(starts, plan, D(2001, 1, 31), n).where("step = 1").collect())
+    assert until(1) == days[:3] and until(2) == days[:6]
+
+
+def test_impact_without_prices(spark):
+    rows = [("a", "regular", 0, 0.0, 9.0, 9.0, 10), ("b", "regular", 0, 0.0, 9.0, 9.0, 40)]
+    df = spark.createDataFrame(rows, "entity string, type string, stock int, price double, rop double, deficit double, forecast int")
+    assert {r.impact for r in priority.prioritise(df).collect()} == {0}
+    assert {r.entity: r.impact for r in priority.prioritise(df.drop("price")).collect()} == {"a": 25, "b": 100}
+
+
+def test_method_of_an_entity(spark):
+    rows = [("new", 0.1, 40, "moving_avg"), ("basic", None, 11, "moving_avg"), ("basic", None, 40, "exp_smoothing"), ("regular", None, 40, "holt_winters"), ("seasonal", None, 40, "holt_winters"),
+            (None, None, 40, "exp_smoothing"), ("regular", None, 20, "exp_smoothing"), ("basic", 0.6, 24, "holt_winters"), ("regular", 0.59, 40, "exp_smoothing")]
+    df = spark.createDataFrame(rows, "type string, cv double, n int, want string").withColumn("got", forecasting.choose_method(F.col("type"), F.col("cv"), F.col("n")))
+    assert df.where("got <> want or got is null").count() == 0
 
 
 def test_detail_adds_up_to_summary(spark):
