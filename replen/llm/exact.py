@@ -90,10 +90,10 @@ class FuseFilter:
         return cls(*np.frombuffer(blob[:24], np.int64).tolist(), np.frombuffer(blob[24:], np.uint8))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, load, sha (32 bytes) of docs (doc_id, text, load): A-Z lower-cased, null as empty."""
+def digests(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc_id, load, sha (32 bytes), if asked for also text, of docs (doc_id, text, load): A-Z lower-cased, null as empty."""
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    return docs.select("doc_id", "load", sha.alias("sha"))
+    return docs.select("doc_id", "load", sha.alias("sha"), *(["text"] if keep_text else []))
 
 
 def _shard(shards: int):
@@ -146,6 +146,12 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def texts_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, sha, text: one text of each id and digest in asked. An id may repeat with other texts, so the digest is part of the key."""
+    texts = may_be_among(texts.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", asked.select("doc_id"))
+    return digests(texts, True).join(asked.hint("merge"), ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]).select("doc_id", "sha", "text")
+
+
 def deduplicate(docs: DataFrame, load: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exact duplicates over loads that came one after another; each load is an immutable snapshot for the later ones.
 
@@ -177,12 +183,11 @@ def deduplicate(docs: DataFrame, load: Column, id_col: str = "doc_id", text_col:
         .join(groups.select("sha", F.col("load").alias("later"), F.col("first").alias("new")), ["sha", "later"]),
         "exact-pairs",
     )
-    asked = pairs.select(F.explode(F.array("old", "new")).alias("doc_id")).distinct()
-    texts = may_be_among(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked)
-    found = texts.join(asked.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    asked = pairs.select("sha", F.explode(F.array("old", "new")).alias("doc_id")).distinct()
+    found = texts_of(texts, asked)
     differ = (
-        pairs.join(found.select(F.col("doc_id").alias("old"), F.col("text").alias("old_text")), "old")
-        .join(found.select(F.col("doc_id").alias("new"), F.col("text").alias("new_text")), "new")
+        pairs.join(found.select("sha", F.col("doc_id").alias("old"), F.col("text").alias("old_text")), ["old", "sha"])
+        .join(found.select("sha", F.col("doc_id").alias("new"), F.col("text").alias("new_text")), ["new", "sha"])
         .where((F.col("old_text") != F.col("new_text")) & (ascii_lower(F.col("old_text")) != ascii_lower(F.col("new_text"))))
         .select("sha", F.col("later").alias("load"), F.lit(1).alias("other"))
     )
@@ -244,11 +249,11 @@ def screen_batch(batch: DataFrame, paths: list[str], earlier: DataFrame, id_col:
     else:
         pairs = known.groupBy("sha").agg(F.min_by("old", "order").alias("old")).join(groups.select("sha", "new"), "sha")
     pairs = stored(pairs.where("old is not null and new is not null"), "batch-pairs")
-    old_texts = earlier.select(F.col(id_col).cast("long").alias("old"), F.coalesce(F.col(text_col), F.lit("")).alias("old_text"))
-    old_texts = may_be_among(old_texts, "old", pairs.select("old")).dropDuplicates(["old"])
-    new_texts = may_be_among(texts.select(F.col("doc_id").alias("new"), F.col("text").alias("new_text")), "new", pairs.select("new")).dropDuplicates(["new"])
+    before = earlier.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).alias("load"))
+    old_texts = texts_of(before, pairs.select("sha", F.col("old").alias("doc_id"))).select("sha", F.col("doc_id").alias("old"), F.col("text").alias("old_text"))
+    new_texts = texts_of(texts, pairs.select("sha", F.col("new").alias("doc_id"))).select("sha", F.col("doc_id").alias("new"), F.col("text").alias("new_text"))
     same = (F.col("old_text") == F.col("new_text")) | (ascii_lower(F.col("old_text")) == ascii_lower(F.col("new_text")))
-    sure = pairs.join(old_texts, "old").join(new_texts, "new").where(same).select("sha", F.col("old").alias("known_id"))
+    sure = pairs.join(old_texts, ["old", "sha"]).join(new_texts, ["new", "sha"]).where(same).select("sha", F.col("old").alias("known_id"))
     decided = groups.join(sure, "sha", "left").select("sha", "keep_id", F.col("n").alias("group_size"), "known_id")
     own = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return rows.join(decided, "sha").select(

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replen.llm.common import pieces_of
@@ -22,8 +22,8 @@ SPACE = 32
 
 @dataclass(frozen=True)
 class LangParams:
-    """The fit reads about max_rows labelled rows of each language (by a hash of the id) of up to max_chars characters
-    each, whole. window: characters that are parsed in one go; a phrase ends there at the latest."""
+    """The fit reads up to max_rows labelled rows of each language, drawn by a hash of id and text, and of each the first max_chars characters
+    up to a word's end. window: characters that are parsed in one go; a phrase ends there at the latest."""
 
     max_rows: int = 64
     max_chars: int = 6_000
@@ -182,19 +182,24 @@ class Parser:
 def fit(labelled: DataFrame, params: LangParams = LangParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
     """Suffix automata over the running text of each language's labelled rows (null labels, and texts without a letter, teach nothing).
 
-    What comes to the driver is bounded by about max_rows * max_chars for each label.
+    Rows that repeat an id and text count once. What comes to the driver is bounded by max_rows * max_chars for each label.
     """
     p = params
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= p.max_chars) & F.col("text").rlike(r"\p{L}"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)).alias("draw"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not n:
         return Parser({}, p.window)
-    shares = F.create_map(*[F.lit(x) for k, v in sorted(n.items()) for x in (k, min(1.0, p.max_rows / v))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # Enough rows to choose from, whatever the estimate's error; then the least hashes of each language.
+    shares = F.create_map(*[F.lit(x) for k, v in sorted(n.items()) for x in (k, min(1.0, 3 * p.max_rows / v))])
+    few = rows.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < shares[F.col("lang")])
+    start = F.substring("text", 1, p.max_chars)
+    whole = F.coalesce(F.nullif(F.regexp_replace(start, r"\S+$", ""), F.lit("")), start)
+    few = few.withColumn("text", F.when(F.length("text") > p.max_chars, whole).otherwise(F.col("text"))).dropDuplicates(["lang", "draw"])
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= p.max_rows)
     texts: dict[str, list[tuple]] = {}
-    for r in rows.where(draw < shares[F.col("lang")]).select("lang", "doc_id", "text").toLocalIterator():
-        texts.setdefault(r["lang"], []).append((str(r["doc_id"]), r["text"]))
+    for r in few.select("lang", "draw", "text").toLocalIterator():
+        texts.setdefault(r["lang"], []).append((r["draw"], r["text"]))
     return Parser({k: normalised([t for _, t in sorted(found)])[0] for k, found in texts.items()}, p.window)
 
 

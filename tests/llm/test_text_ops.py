@@ -175,6 +175,28 @@ def test_exact(spark, texts, loads):
     assert exact.deduplicate(docs_of(spark, []), exact.dealt_load(loads)).count() == 0
 
 
+@pytest.mark.parametrize("loads", [1, 3])
+def test_exact_with_repeated_ids(spark, loads):
+    """Ids that repeat with unequal texts, within loads and across them: equal texts stay one group."""
+    r = np.random.RandomState(4)
+    rows = [(int(r.randint(0, 25)), f"Text {r.randint(0, 60)}", int(r.randint(0, loads))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, load int")
+    most, n = defaultdict(lambda: -1), Counter(lower(t) for _, t, _ in rows)
+    for i, t, _ in rows:
+        most[lower(t)] = max(most[lower(t)], i)
+    got = Counter((x.doc_id, x.text_sha256, x.keep_id, x.group_size, x.kept) for x in exact.deduplicate(docs, F.col("load")).collect())
+    sha = lambda t: hashlib.sha256(lower(t).encode()).hexdigest()
+    assert got == Counter((i, sha(t), most[lower(t)], n[lower(t)], i == most[lower(t)]) for i, t, _ in rows)
+
+
+def test_batches_with_repeated_ids(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e")], "doc_id long, text string")
+    exact.write_snapshot(old, str(tmp_path / "s"))
+    batch = spark.createDataFrame([(9, "A"), (9, "b"), (9, "new"), (8, "D"), (8, "c"), (7, "f")], "doc_id long, text string")
+    found = exact.screen_batch(batch, [str(tmp_path / "s")], old)
+    assert sorted((x.doc_id, x.known_id or 0, x.kept) for x in found.collect()) == [(7, 0, True), (8, 2, False), (8, 2, False), (9, 0, True), (9, 1, False), (9, 1, False)]
+
+
 def test_snapshots_screen_batches(spark, tmp_path):
     old = [["a b", "c", None, "long " * 20_000], ["d", "A B", "e é"]]
     frames = [spark.createDataFrame([(100 * k + i, t) for i, t in enumerate(ts)], "doc_id long, text string") for k, ts in enumerate(old)]
@@ -192,7 +214,8 @@ def test_snapshots_screen_batches(spark, tmp_path):
 
 def test_texts_of_one_digest_are_compared(spark, monkeypatch):
     """The byte check parts texts that share a digest (which a digest of the length alone makes them do)."""
-    fake = lambda docs: docs.select("doc_id", "load", F.unhex(F.sha2(F.length(F.coalesce("text", F.lit(""))).cast("string"), 256)).alias("sha"))
+    sha = F.unhex(F.sha2(F.length(F.coalesce("text", F.lit(""))).cast("string"), 256)).alias("sha")
+    fake = lambda docs, keep_text=False: docs.select("doc_id", "load", sha, *(["text"] if keep_text else []))
     monkeypatch.setattr(exact, "digests", fake)
     docs = spark.createDataFrame([(1, "aa", 0), (2, "AA", 1), (3, "bb", 2), (None, "ccc", 0), (None, "CCC", 1)], "doc_id long, text string, load int")
     found = sorted((r.doc_id or 0, r.keep_id, r.group_size) for r in exact.deduplicate(docs, F.col("load")).collect())
@@ -253,6 +276,27 @@ def test_language(spark):
     assert langid.predict(docs_of(spark, []), parser).count() == 0 and langid.predict(docs.unionByName(docs), parser).count() == 2 * len(rows)
 
 
+def test_no_label_is_lost(spark):
+    """Labels of long texts only, of rows without an id and of rows that repeat one are learned, from a bounded number of rows."""
+    r = np.random.RandomState(5)
+    letters = {"long": "abcd", "null": "efgh", "same": "ijkl", "word": "mnop"}
+    make = lambda k, n: " ".join("".join(r.choice(list(letters[k]), 5)) for _ in range(n))
+    rows = [(i, make("long", 3000), "long") for i in range(3)] + [(None, make("null", 20), "null") for _ in range(1500)] + [(7, make("same", 20), "same") for _ in range(1500)]
+    rows += [(8, "mnop" * 5000, "word")] * 2 + [(9, "same text", "same")] * 500
+    parser = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert parser.langs == ["long", "null", "same", "word"]
+    assert parser.predict([make(k, 10) for k in letters] + ["mnopmnop"])[0] == ["long", "null", "same", "word", "word"]
+    p = langid.LangParams(max_rows=5, max_chars=60)
+    counted = []
+    original = langid.normalised
+    langid.normalised = lambda texts: counted.append(texts) or original(texts)
+    try:
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+    finally:
+        langid.normalised = original
+    assert sorted(map(len, counted)) == [1, 3, 5, 5] and all(len(t) <= 60 for texts in counted for t in texts)
+
+
 def letters_only(text):
     """What is parsed of a text: letters and marks in lower case, all else as single spaces around and between."""
     import unicodedata
@@ -487,8 +531,24 @@ def test_mixing(spark):
             assert 0 <= got[i].copies <= 2 and got[i].taken == got[i].copies * size[i]
             taken[s] += got[i].taken
         assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 60 for s in order)
-    tilted = {got[i].rate for i, _, s in rows if s == "a" and size[i]}
-    assert len(tilted) > 50  # rates differ within a source
+
+
+def test_mixing_tilts_rates_within_a_source(spark):
+    """Sources whose targets lie well away from their sizes: rates follow the size of the document, without a prior too."""
+    r = np.random.RandomState(6)
+    rows = [(i, "w " * int(r.randint(1, 300)), r.choice(["x", "y", "z"], p=[0.1, 0.6, 0.3])) for i in range(500)]
+    got = {x.doc_id: x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    whole = Counter()
+    for i, t, s in rows:
+        whole[s] += t.count("w")
+    left = 1.5 * sum(whole.values()) - 2 * whole["x"]
+    for s, target in (("y", left * 2 / 3), ("z", left / 3)):
+        assert abs(target / whole[s] - 1) > 0.15 and target < 1.9 * whole[s]
+        want = balanced([(t.count("w"), 1.0) for _, t, x in rows if x == s], target)
+        rates = {got[i].rate for i, _, x in rows if x == s}
+        assert len(rates) > 50 and max(rates) - min(rates) > 0.2
+        assert all(got[i].rate == pytest.approx(want(t.count("w"), 1.0), abs=1e-5) for i, t, x in rows if x == s)
+        assert abs(sum(got[i].taken for i, _, x in rows if x == s) - target) <= 0.02 * target + 60
 
 
 def balanced(documents, target):
