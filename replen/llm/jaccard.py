@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from replen.llm.common import forest, map_sorted_groups, may_be_among, stored
 from replen.llm.minhash import NearParams, _mix, equal_sets, in_blocks, linked_classes, shingles, undecided, with_components
 
+#: Bits of the smallest bitmaps.
 BITS = 2048
 #: Sizes of a band lie within this ratio; 64 bands go beyond any text.
 RATIO, BANDS = 1.6, 64
@@ -76,10 +77,36 @@ def tile_keys(sets: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+@cache
+def width(band: int) -> int:
+    """Bits of the bitmaps that a band's tiles compare: half as many as its largest sets have elements, so that unrelated sets differ in more bits than
+    linked ones may."""
+    bits = BITS
+    while bits < EDGES[band + 1] // 2:
+        bits *= 2
+    return bits
+
+
 def bitmap(sets: np.ndarray) -> bytes:
-    """Each element toggles one of BITS bits: two sets' bitmaps differ in no more bits than the sets in elements."""
-    spot = _mix(sets * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS.bit_length() + 1)
-    return np.packbits((np.bincount(spot.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Each element toggles one bit: two sets' bitmaps differ in no more bits than the sets in elements. Folded to a smaller width they still do not."""
+    bits = width(band_of(len(sets)))
+    spot = _mix(sets * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(spot.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(maps: pd.Series, bits: int) -> np.ndarray:
+    """(maps, bits / 64): bitmaps of this width or more as words, their parts of so many bits being added up without carry."""
+    out = np.empty((len(maps), bits // 64), np.uint64)
+    size = np.fromiter(map(len, maps), np.int64, len(maps))
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        words = np.frombuffer(b"".join(maps.iloc[at]), np.uint64).reshape(len(at), -1, bits // 64)
+        out[at] = np.bitwise_xor.reduce(words, 1)
+    return out
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
 def features(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> DataFrame:
@@ -108,16 +135,9 @@ def features(docs: DataFrame, p: NearParams, id_col: str, text_col: str) -> Data
     )
 
 
-def unpacked(maps: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), BITS // 64)
-
-
-def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
-
-
 def from_pivots(pairs: DataFrame, reps: DataFrame, most: int = 4096) -> DataFrame:
-    """pairs (pivot, doc_id) with the distance of their bitmaps. A pivot of many documents goes to blocks of them, so that no task gets all."""
+    """pairs (pivot, doc_id, band) with the distance of their bitmaps at the band's width. A pivot of many documents goes to blocks of them, so that no
+    task gets all."""
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     own = reps.select("doc_id", F.col("bitmap").alias("own"))
     rows = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts").join(own, "doc_id")
@@ -126,9 +146,12 @@ def from_pivots(pairs: DataFrame, reps: DataFrame, most: int = 4096) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["pivot", "doc_id"]].assign(distance=bits_apart(unpacked(pdf["own"]), unpacked(pdf["other"])) if len(pdf) else 0)
+            for band, rows in pdf.groupby("band"):
+                distance = bits_apart(folded(rows["own"], width(band)), folded(rows["other"], width(band)))
+                yield rows[["pivot", "doc_id", "band"]].assign(distance=distance)
 
-    return rows.join(other, ["pivot", "part"]).select("pivot", "doc_id", "own", "other").mapInPandas(run, "pivot long, doc_id long, distance long")
+    joined = rows.join(other, ["pivot", "part"]).select("pivot", "doc_id", "band", "own", "other")
+    return joined.mapInPandas(run, "pivot long, doc_id long, band int, distance long")
 
 
 def candidates(reps: DataFrame, p: NearParams) -> DataFrame:
@@ -141,11 +164,12 @@ def candidates(reps: DataFrame, p: NearParams) -> DataFrame:
     rows = reps.select(F.explode("tiles").alias("tile"), "doc_id")
     shared = stored(rows.groupBy("tile").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).where("n > 1").select("tile", "pivot"), "join-tiles")
     rows = may_be_among(rows, "tile", shared.select("tile")).join(shared.hint("merge"), "tile").where("doc_id <> pivot")
-    rows = stored(rows, "join-placed")
-    pairs = stored(from_pivots(rows.select("pivot", "doc_id").distinct(), reps), "join-pivots")
+    band = F.col("tile").bitwiseAND(F.lit(63)).cast("int")
+    rows = stored(rows.withColumn("band", band), "join-placed")
+    pairs = stored(from_pivots(rows.select("pivot", "doc_id", "band").distinct(), reps), "join-pivots")
     limits = F.array(*[F.lit(most_apart(EDGES[b + 1] - 1, p.percent)) for b in range(BANDS)])
-    limit = F.get(limits, F.col("tile").bitwiseAND(F.lit(63)).cast("int"))
-    placed = rows.join(pairs, ["pivot", "doc_id"]).select("tile", "doc_id", "pivot", "distance")
+    limit = F.get(limits, band)
+    placed = rows.join(pairs, ["pivot", "doc_id", "band"]).select("tile", "doc_id", "pivot", "distance")
     firsts = shared.select("tile", F.col("pivot").alias("doc_id"), "pivot", F.lit(0).cast("long").alias("distance"))
     placed = placed.unionByName(firsts).withColumn("limit", limit)
     near = placed.where((F.col("distance") <= F.col("limit")) & (F.col("doc_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
@@ -155,14 +179,16 @@ def candidates(reps: DataFrame, p: NearParams) -> DataFrame:
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         ids, block, x, y = (pdf[c].to_numpy(np.int64) for c in ("doc_id", "a", "x", "y"))
         apart = pdf["n_shingles"].to_numpy(np.int64) * (100 - p.percent) // p.percent
-        maps, found = unpacked(pdf["bitmap"]), [np.zeros((0, 2), np.int64)]
+        tile, found = pdf["tile"].to_numpy(np.int64), [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, [*starts[1:], len(pdf)]):
             own = other = np.arange(s, e)
             if x[s] != y[s]:
                 own, other = own[block[own] == x[s]], other[block[other] == y[s]]
-            for at in range(0, len(own), 64):
-                part = own[at : at + 64]
-                i, j = np.nonzero(bits_apart(maps[part][:, None], maps[other][None, :]) <= np.minimum(apart[part][:, None], apart[other][None, :]))
+            bits = width(int(tile[s]) & 63)
+            maps, many = folded(pdf["bitmap"].iloc[s:e], bits), max(1, 64 * BITS // bits)
+            for at in range(0, len(own), many):
+                part = own[at : at + many]
+                i, j = np.nonzero(bits_apart(maps[part - s][:, None], maps[other - s][None, :]) <= np.minimum(apart[part][:, None], apart[other][None, :]))
                 links = forest(part[i] - s, other[j] - s, e - s)
                 if links:
                     found.append(ids[np.array(links) + s])
@@ -189,5 +215,6 @@ def jaccard_join(docs: DataFrame, params: NearParams = JOIN, id_col: str = "doc_
         raise TypeError(f"{id_col} must be an integer column")
     feats = stored(features(docs, params, id_col, text_col), "join-features")
     classes, reps = equal_sets(feats)
+    reps = stored(reps, "join-reps")
     groups = linked_classes(docs, reps, candidates(reps, params), params, id_col, text_col)
     return with_components(feats, classes, groups)

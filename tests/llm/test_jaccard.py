@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def test_linked_sets_meet_in_a_tile():
     r = np.random.RandomState(3)
     pairs = 0
     for percent in (60, 85):
-        for n in [*range(1, 60), 90, 150, 400]:
+        for n in [*range(1, 60), 90, 150, 400, 5000]:
             for _ in range(30):
                 a = np.unique(r.randint(0, 2**63, n).astype(np.uint64))
                 most = jaccard.most_apart(n, percent)
@@ -100,8 +101,8 @@ def test_linked_sets_meet_in_a_tile():
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
                     pairs += 1
                     assert set(jaccard.tile_keys(a, percent).tolist()) & set(jaccard.tile_keys(b, percent).tolist())
-                    apart = int(jaccard.bits_apart(*(np.frombuffer(jaccard.bitmap(s), np.uint64) for s in (a, b))))
-                    assert apart <= len(a) + len(b) - 2 * both <= min(jaccard.most_apart(len(a), percent), jaccard.most_apart(len(b), percent))
+                    x, y = jaccard.folded(pd.Series([jaccard.bitmap(a), jaccard.bitmap(b)]), jaccard.BITS)
+                    assert jaccard.bits_apart(x, y) <= len(a) + len(b) - 2 * both <= min(jaccard.most_apart(len(a), percent), jaccard.most_apart(len(b), percent))
     assert pairs > 2000
 
 
