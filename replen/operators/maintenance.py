@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +114,52 @@ def refresh(before: dict[str, DataFrame], after: dict[str, DataFrame], group: st
     return out.withColumn("changed", F.col("rows_after") - F.col("rows_before"))
 
 
+MANIFEST = "generation long, view string, written long, n_rows long"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the last manifest: view, written (the generation that its files are of), n_rows; none before the first."""
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{root}/manifests/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+    return rows.join(F.broadcast(rows.agg(F.max("generation").alias("generation"))), "generation", "left_semi")  # one row
+
+
+def publish(tables: dict[str, DataFrame], root: str, generation: int, group: str = "all") -> DataFrame:
+    """Rebuild a group's derived tables and let readers see them all at once: view, rows_before, rows_after, changed.
+
+    Each table is written to files of its own generation; a manifest that names the files of every view is written last, in one file, so readers see
+    either the generation before or the new one, whole. A run that fails earlier changes nothing for them and may be run again under the same number.
+    Views that are not rebuilt keep their files. generation must be over the last one published. One row a view comes to the driver.
+    """
+    names = [n for g, views in REFRESH_GROUPS.items() if group in ("all", g) for n in views if n in tables]
+    if not names:
+        raise ValueError(f"no table of group {group} is given")
+    spark = tables[names[0]].sparkSession
+    before = {r["view"]: r for r in _manifest(spark, root).collect()}
+    if any(r["generation"] >= generation for r in before.values()):
+        raise ValueError(f"generation {generation} does not come after the last one")
+    after = {view: (generation, view, r["written"], r["n_rows"]) for view, r in before.items()}
+    for name in names:
+        path = f"{root}/{name}/generation={generation}"
+        tables[name].write.mode("overwrite").parquet(path)
+        after[name] = (generation, name, generation, spark.read.parquet(path).count())
+    spark.createDataFrame(list(after.values()), MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{generation}")
+    rows = [(n, before[n]["n_rows"] if n in before else 0, after[n][3]) for n in names]
+    return spark.createDataFrame(rows, "view string, rows_before long, rows_after long").withColumn("changed", F.col("rows_after") - F.col("rows_before"))
+
+
+def published(spark: SparkSession, root: str, view: str) -> DataFrame:
+    """A view's rows in the last published generation."""
+    row = _manifest(spark, root).where(F.col("view") == view).first()
+    if row is None:
+        raise ValueError(f"{view} was never published")
+    return spark.read.parquet(f"{root}/{view}/generation={row['written']}")
+
+
 def rebuild_entity_type(df: DataFrame, path: str) -> None:
     """Write a derived table partitioned by entity_type: the partitions of the types in df are replaced, others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path)
