@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from replen.operators import forecasting, maintenance, store
-from replen.sources import files
+from replen.sources import files, schemas
 
 
 def views(spark, n, broken=False):
@@ -83,5 +83,5 @@ def test_history_and_reports_are_written(spark, tmp_path):
     files.write_report(rows.orderBy("available_stock"), str(tmp_path / "report"), ";")
     assert spark.read.csv(str(tmp_path / "report"), header=True, sep=";").columns == rows.columns
     folder = tmp_path / "forecasts" / "2001-08-01"
-    rows.selectExpr("sku").distinct().coalesce(1).write.csv(str(folder), header=True)
+    rows.selectExpr(*[f"cast({v} as {f.dataType.simpleString()}) as {f.name}" for f in StructType.fromDDL(schemas.FORECAST).fields for v in [{"sku": "sku", "forecast_date": "snapshot_date"}.get(f.name, "5")]]).coalesce(1).write.csv(str(folder), header=True)
     assert {str(r.generated_date) for r in files.forecasts(spark, str(tmp_path / "forecasts"), "csv").select("generated_date").collect()} == {"2001-08-01"}
