@@ -1,11 +1,16 @@
-"""Cutting patterns and order shaping: all model-colors in one grouped job; a group holds one model-color's sizes."""
+"""Cutting patterns and order shaping: every distinct demand of a model-color's sizes is met once, in one job."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from replen.operators.least_excess import Cover
+
 #: Rows of a pattern set, a row for each pattern and size.
 MOST_PATTERNS = 10_000
 
@@ -69,14 +74,21 @@ def _trimmed(uses: dict[int, int], demand: dict[str, int], patterns: dict[int, d
     return uses
 
 
-def cover(demand: dict[str, int], patterns: dict[int, dict[str, int]], least: int, mode: str = "search") -> dict[int, int]:
+def _positive(patterns: dict[int, dict[str, int]]) -> dict[int, dict[str, int]]:
+    patterns = {p: {s: n for s, n in sizes.items() if n > 0} for p, sizes in patterns.items()}
+    return {p: sizes for p, sizes in patterns.items() if sizes}
+
+
+def cover(demand: dict[str, int], patterns: dict[int, dict[str, int]], least: int, mode: str = "least") -> dict[int, int]:
     """Uses of patterns that cover the demand, each pattern being used `least` times or not at all.
 
-    `classic` and `overshoot` are greedy (see _greedy). `search` takes the better of both and goes on to replace one use of a
-    pattern (all, if it has `least`) by uses of others, as long as the excess falls. Sizes that no pattern has stay open.
+    `least` has the least excess of all (Cover.least_excess). `classic` and `overshoot` are greedy (see _greedy); `search` takes the
+    better of both and goes on to replace one use of a pattern (all, if it has `least`) by uses of others, as long as the excess
+    falls, which is quick for large dense pattern sets too. Sizes that no pattern has stay open.
     """
-    patterns = {p: {s: n for s, n in sizes.items() if n > 0} for p, sizes in patterns.items()}
-    patterns = {p: sizes for p, sizes in patterns.items() if sizes}
+    patterns = _positive(patterns)
+    if mode == "least":
+        return Cover(patterns, least).least_excess(demand)
     demand = {s: n for s, n in demand.items() if n > 0}
     modes = ("overshoot", "classic") if mode == "search" else (mode,)
     found = [_trimmed(_greedy(demand, patterns, m), demand, patterns, least) for m in modes]
@@ -103,24 +115,36 @@ def cover(demand: dict[str, int], patterns: dict[int, dict[str, int]], least: in
     return best
 
 
-def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5, mode: str = "search") -> DataFrame:
+def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5, mode: str = "least") -> DataFrame:
     """model, color, pattern_id, uses covering the demand (model, color, size, quantity) by patterns (pattern_id, size, count).
 
-    The pattern set is small (some rows a pattern; over MOST_PATTERNS raise ValueError) and goes to the tasks as it is.
+    Each distinct demand of sizes is solved once and joined back. Missing sizes and quantities count as none; a model-color without any
+    demand uses every pattern 0 times. The pattern set is small (some rows a pattern; over MOST_PATTERNS raise ValueError) and goes to
+    the tasks as it is.
     """
     known: dict[int, dict[str, int]] = {}
     rows = patterns.orderBy("pattern_id", "size").limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"a pattern set has at most {MOST_PATTERNS} rows")
     for r in rows:
-        known.setdefault(r["pattern_id"], {})[r["size"]] = r["count"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        uses = cover(dict(zip(pdf["size"], pdf["quantity"].astype(int))), known, least, mode)
-        return pd.DataFrame({"model": pdf["model"].iloc[0], "color": pdf["color"].iloc[0], "pattern_id": list(uses), "uses": list(uses.values())})
-
-    wanted = demand.groupBy("model", "color", "size").agg(F.sum("quantity").alias("quantity"))
-    return wanted.groupBy("model", "color").applyInPandas(run, "model string, color string, pattern_id int, uses long")
+        if r["size"] is not None and r["count"] is not None:
+            known.setdefault(r["pattern_id"], {})[str(r["size"])] = r["count"]
+    known = _positive(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        solver = Cover(known, least) if mode == "least" else None
+        for pdf in batches:
+            for asked in pdf["asked"]:
+                wanted = {x["size"]: x["quantity"] for x in json.loads(asked)}
+                uses = solver.least_excess(wanted) if solver else cover(wanted, known, least, mode)
+                yield pd.DataFrame({"asked": asked, "pattern_id": list(uses), "uses": list(uses.values())})
+
+    met = F.col("size").isin(sorted({s for sizes in known.values() for s in sizes})) & (F.col("quantity") > 0)
+    wanted = demand.groupBy("model", "color", "size").agg(F.sum("quantity").cast("long").alias("quantity"))
+    size = F.struct(F.col("size").cast("string").alias("size"), "quantity")
+    wanted = wanted.groupBy("model", "color").agg(F.to_json(F.sort_array(F.collect_list(F.when(met, size)))).alias("asked"))  # a model-color's sizes
+    solved = wanted.select("asked").distinct().mapInPandas(run, "asked string, pattern_id int, uses long")
+    return wanted.join(solved, "asked").select("model", "color", "pattern_id", "uses")
 
 
 def produced(uses: DataFrame, patterns: DataFrame, demand: DataFrame) -> DataFrame:

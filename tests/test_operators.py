@@ -13,6 +13,7 @@ from replen.functions.calendar import last_whole_week, week_start, year_to_last_
 from replen.functions.change import percent_change
 from replen.functions.sku import aliased, with_sku_parts
 from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats, store
+from replen.operators import least_excess
 from replen.operators.adhoc import QuerySpec, query
 from replen.plans.settings import Settings
 from replen.sources import files
@@ -350,12 +351,40 @@ def test_cover_modes_by_brute_force():
 
         allowed = [0, *range(least, 10)]
         best = min(e for u in itertools.product(allowed, repeat=3) if (e := excess(dict(enumerate(u)))) is not None)
-        found = {m: allocation.cover(demand, patterns, least, m) for m in ("classic", "overshoot", "search")}
+        found = {m: allocation.cover(demand, patterns, least, m) for m in ("classic", "overshoot", "search", "least")}
         got = {m: excess(u) for m, u in found.items()}
-        assert all(e is not None and e >= best for e in got.values()) and got["search"] <= min(got.values())
+        assert all(e is not None and e >= best for e in got.values()) and got["search"] <= min(got["classic"], got["overshoot"]) and got["least"] == best
         assert all(n == 0 or n >= least for u in found.values() for n in u.values())
-    big = allocation.cover({"0": 100_000, "1": 7}, {0: {"0": 1, "1": 1}, 1: {"0": 3}}, 5)
-    assert big[0] + 3 * big[1] >= 100_000
+    for mode, excess in (("search", 3), ("least", 0)):
+        big = allocation.cover({"0": 100_000, "1": 7}, {0: {"0": 1, "1": 1}, 1: {"0": 3}}, 5, mode)
+        assert big[0] >= 7 and 0 <= big[0] + 3 * big[1] - 100_000 <= excess
+
+
+def test_least_excess_in_all_forms(spark, monkeypatch):
+    r = np.random.RandomState(3)
+    sets = [{p: {str(s): int(r.randint(1, 4)) for s in r.choice(5, r.randint(1, 5), replace=False)} for p in range(5)} for _ in range(4)]
+    demands = [{str(s): int(r.randint(0, 90)) for s in range(6)} for _ in range(6)]
+    solve = lambda: [[least_excess.Cover(p, 5).least_excess(d) for d in demands] for p in sets]
+    whole = solve()
+    monkeypatch.setattr(least_excess, "MOST_SYSTEMS", 0)  # greedy corners
+    monkeypatch.setattr(least_excess, "MOST_STATES", 3)
+    assert solve() == whole
+    for p, found in zip(sets, whole):
+        for d, u in zip(demands, found):
+            assert allocation._excess(u, d, p) <= allocation._excess(allocation.cover(d, p, 5, "search"), d, p)
+    # equal demands of many model-colors, sizes and quantities that are missing, a size that no pattern has
+    rows = [(f"m{i}", c, s, q) for i in range(40) for c in ("01", "02") for s, q in demands[i % 2].items()]
+    rows += [("none", "01", "9", 4), ("none", "01", None, 4), ("none", "01", "0", None), (None, None, "0", 7)]
+    table = spark.createDataFrame([(p, s, n) for p, sizes in sets[0].items() for s, n in sizes.items()], "pattern_id int, size string, count int")
+    demand = spark.createDataFrame(rows, "model string, color string, size string, quantity int")
+    for mode in ("least", "search"):
+        got = {}
+        for x in allocation.allocate(demand, table, 5, mode).collect():
+            got.setdefault((x.model, x.color), {})[x.pattern_id] = x.uses
+        want = [allocation.cover(d, sets[0], 5, mode) for d in demands[:2]]
+        assert len(got) == 82 and all(got[f"m{i}", c] == want[i % 2] for i in range(40) for c in ("01", "02"))
+        assert got["none", "01"] == dict.fromkeys(sets[0], 0) and got[None, None] == allocation.cover({"0": 7}, sets[0], 5, mode)
+    assert allocation.allocate(demand.where("false"), table).count() == 0 and allocation.allocate(demand, table.where("false")).count() == 0
 
 
 def test_stores_delete(spark, tmp_path):
