@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from replen.functions.change import trend
 from replen.functions.sku import size_sort_key, with_sku_parts
-from replen.operators import accuracy, allocation, entity_models, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats
+from replen.operators import accuracy, allocation, entity_models, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, states, stats
 from replen.plans import summary as plans
 from replen.queries import _FILLED, _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
 from replen.sources import files
@@ -642,3 +642,45 @@ def training_summary_of_moving_averages(spark, d):
     known = entity_models.out_of_fold(months(spark, d), types(spark, d), candidates=("moving_avg",))
     best = entity_models.best_models(entity_models.model_scores(known, "mae"))
     return rounded(entity_models.training_summary(months(spark, d), best))
+
+
+# States that batches add to
+
+_STATE = "count(*) as n_rows, count(v) as n, round(coalesce(sum(v), 0), 4) as total, round(coalesce(var_pop(v) * count(v), 0), 4) as m2, min(v) as low, max(v) as high, min(tm)::date as first_day, max(tm)::date as last_day"
+
+
+def state_rows(df):
+    days = [F.col(c).cast("date").alias(f"{c}_day") for c in ("first", "last")]
+    return rounded(df.select(*states.KEYS, "n_rows", "n", "total", "m2", "low", "high", *days), 4)
+
+
+def sales_states(rows, by=()):
+    return states.month_states(rows, {"sku": F.col("sku"), "model": F.col("model")}, F.col("sale_date"), F.col("quantity"), by)
+
+
+@registered(f"""s as (select 'sku' as entity_type, sku as entity_id, sale_date as tm, quantity::double as v from fx_sales union all select 'model', model, sale_date, quantity::double from fx_sales)
+    select entity_type, entity_id, date_trunc('month', tm)::date as month, {_STATE} from s group by all""")
+def merged_sales_states(spark, d):
+    """States of ten batches of all sales, merged; the same as the states of all sales at once."""
+    rows = fx.sales(spark, d).withColumn("batch", F.pmod(F.hash("order_id"), F.lit(10)))
+    return state_rows(states.merged(sales_states(rows, ("batch",)).drop("batch")))
+
+
+@registered(f"""s as (select 'user' as entity_type, user_id::varchar as entity_id, ts as tm, value as v from events union all select 'event_type', event_type, ts, value from events)
+    select entity_type, entity_id, date_trunc('month', tm)::date as month, {_STATE} from s group by all""")
+def merged_event_states(spark, d):
+    """States of the days of all events, merged into months."""
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    made = states.month_states(rows, {"user": F.col("user_id"), "event_type": F.col("event_type")}, F.col("ts"), F.col("value"), ("day",))
+    return state_rows(states.merged(made.drop("day")))
+
+
+@registered("""s as (select 'sku' as entity_type, sku as entity_id, sale_date, quantity from fx_sales union all select 'model', model, sale_date, quantity from fx_sales),
+    m as (select entity_type, entity_id, sum(quantity) as quantity, min(sale_date) as first_sale from s group by entity_type, entity_id, date_trunc('month', sale_date))
+    select entity_type, entity_id, count(*) as n_months, round(sum(quantity)::double, 6) as quantity, round(avg(quantity), 6) as average, round(stddev_samp(quantity), 6) as sd, min(first_sale) as first_sale,
+           round(coalesce(stddev_samp(quantity) / nullif(avg(quantity), 0), 0), 6) as cv from m group by all""")
+def stats_refreshed_from_states(spark, d):
+    """Statistics after the sales of August came as a batch: those of the entities it touches, from merged states; the others as they were."""
+    sales = fx.sales(spark, d)
+    before, batch = sales_states(sales.where("sale_date < date '2001-08-01'")), sales_states(sales.where("sale_date >= date '2001-08-01'"))
+    return rounded(states.refreshed_table(states.entity_table(before), states.merged(before.unionByName(batch)), batch))

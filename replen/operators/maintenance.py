@@ -98,7 +98,7 @@ def new_generations(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 #: Derived tables that are refreshed together.
-REFRESH_GROUPS = {"stock": ("latest_stock",), "forecast": ("latest_forecast",), "cache": ("monthly_aggregation", "entity_stats")}
+REFRESH_GROUPS = {"stock": ("latest_stock",), "forecast": ("latest_forecast",), "cache": ("monthly_aggregation", "entity_stats"), "states": ("monthly_states",)}
 
 
 def refresh(before: dict[str, DataFrame], after: dict[str, DataFrame], group: str = "all") -> DataFrame:
@@ -152,12 +152,17 @@ def publish(tables: dict[str, DataFrame], root: str, generation: int, group: str
     return spark.createDataFrame(rows, "view string, rows_before long, rows_after long").withColumn("changed", F.col("rows_after") - F.col("rows_before"))
 
 
-def published(spark: SparkSession, root: str, view: str) -> DataFrame:
-    """A view's rows in the last published generation."""
+def generation(spark: SparkSession, root: str, view: str) -> int:
+    """The generation that wrote a view as it is published."""
     row = _manifest(spark, root).where(F.col("view") == view).first()
     if row is None:
         raise ValueError(f"{view} was never published")
-    return spark.read.parquet(f"{root}/{view}/generation={row['written']}")
+    return row["written"]
+
+
+def published(spark: SparkSession, root: str, view: str) -> DataFrame:
+    """A view's rows in the last published generation."""
+    return spark.read.parquet(f"{root}/{view}/generation={generation(spark, root, view)}")
 
 
 def rebuild_entity_type(df: DataFrame, path: str) -> None:
