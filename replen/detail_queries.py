@@ -684,3 +684,19 @@ def stats_refreshed_from_states(spark, d):
     sales = fx.sales(spark, d)
     before, batch = sales_states(sales.where("sale_date < date '2001-08-01'")), sales_states(sales.where("sale_date >= date '2001-08-01'"))
     return rounded(states.refreshed_table(states.entity_table(before), states.merged(before.unionByName(batch)), batch))
+
+
+# Smoothing with stated parameters; SQL steps through the months by recursion
+
+
+@registered(_FILLED + """, nm as (select entity, quantity::double as v, row_number() over (partition by entity order by month) as k from fs),
+    rs as (with recursive r as (
+        select a.entity, 1 as k, a.v as level, b.v - a.v as trend, 0::double as sse from nm a join nm b on a.entity = b.entity and a.k = 1 and b.k = 2
+        union all
+        select r.entity, r.k + 1, 0.3 * v + 0.7 * (level + trend), 0.1 * (0.3 * v + 0.7 * (level + trend) - level) + 0.9 * trend, sse + (v - level - trend) * (v - level - trend)
+        from r join nm on nm.entity = r.entity and nm.k = r.k + 1) select * from r)
+    select entity, round(arg_max(level, k), 4) as level, round(arg_max(trend, k), 4) as trend, round(arg_max(sse, k), 2) as sse from rs group by entity""")
+def smoothing_of_stated_parameters(spark, d):
+    arrays = forecasting.as_arrays(series.filled(months(spark, d), 12))
+    rows = arrays.select("entity", forecasting.smoothing_fit(F.col("y"), 0.3, 0.1).alias("fit")).select("entity", "fit.*")
+    return rows.select("entity", F.round("level", 4).alias("level"), F.round("trend", 4).alias("trend"), F.round("sse", 2).alias("sse"))

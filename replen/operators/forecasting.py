@@ -1,7 +1,7 @@
 """Batch forecasting: every entity in one distributed job, by expressions over arrays instead of a loop of fits.
 
-Fits are recursive, so a series is one array; the recursion is an aggregate() over it, and parameters come from a grid
-of which each entity takes the one with the least squared error.
+Smoothing is recursive, so a series is one array. Its parameters are fitted to each series by smoothing.fitted(), in Arrow batches of
+entities; with stated parameters the recursion is an aggregate() over the array.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replen.operators.series import LAGS, ROLLING, filled
+from replen.operators.smoothing import SEASON, fitted
 
 WMA_WEIGHTS = (0.5, 0.3, 0.2)
-GRID = [(a / 10, b / 10) for a in (1, 3, 5, 7, 9) for b in (1, 3, 5)]
-SEASON, DAMPING, GAMMA = 12, 0.98, 0.3
 FEATURES = [f"lag_{k}" for k in LAGS] + [f"{m}_{n}" for n in ROLLING for m in ("mean", "sd")] + [
     "yoy", "yoy_percent", "calendar_month", "quarter", "month_sin", "month_cos", "type_code", "cv",
 ]
@@ -53,11 +52,6 @@ def _ahead(rows: DataFrame, horizon: int, point: Column, spread: Column, method:
     )
 
 
-def _best(fits: list[Column]) -> Column:
-    """The fit with the least squared error."""
-    return F.array_min(F.transform(F.array(*fits), lambda x: F.struct(x["sse"].alias("sse"), x.alias("fit"))))["fit"]
-
-
 def weighted_mean(newest_first: bool = False) -> Column:
     """Weights over the last three values of y (oldest first by default); the mean of fewer."""
     weights = WMA_WEIGHTS[::-1] if newest_first else WMA_WEIGHTS
@@ -72,7 +66,7 @@ def moving_average(arrays: DataFrame, horizon: int, newest_first: bool = False)
 
 
 def smoothing_fit(y: Column, alpha: float, beta: float) -> Column:
-    """Additive-trend smoothing: struct of level, trend and squared error after the last value."""
+    """Additive-trend smoothing with stated parameters: struct of level, trend and squared error after the last value."""
     start = F.struct(F.get(y, 0).alias("level"), (F.get(y, 1) - F.get(y, 0)).alias("trend"), F.lit(0.0).alias("sse"))
 
     def step(s: Column, x: Column) -> Column:
@@ -90,13 +84,12 @@ def smoothing_ahead(fit: str) -> tuple[Column, Column]:
 
 
 def exponential_smoothing(arrays: DataFrame, horizon: int) -> DataFrame:
-    """The best additive trend of the grid, with 1.96 deviations of its one-step errors as a band."""
-    rows = arrays.where("n >= 3").withColumn("fit", _best([smoothing_fit(F.col("y"), a, b) for a, b in GRID]))
-    return _ahead(rows, horizon, *smoothing_ahead("fit"), F.lit("exp_smoothing"))
+    """The fitted additive trend, with 1.96 deviations of its one-step errors as a band, for series of three months or more."""
+    return _ahead(fitted(arrays.where("n >= 3"), es=F.lit(True)), horizon, *smoothing_ahead("es"), F.lit("exp_smoothing"))
 
 
-def holt_winters_fit(y: Column, alpha: float, beta: float) -> Column:
-    """Damped additive trend and additive season of 12 months; the seasons are an array that turns with the months."""
+def holt_winters_fit(y: Column, alpha: float, beta: float, gamma: float, damping: float) -> Column:
+    """Damped additive trend and additive season of 12 months with stated parameters; the seasons are an array that turns with the months."""
     year = lambda k: F.aggregate(F.slice(y, SEASON * k + 1, SEASON), F.lit(0.0), lambda a, x: a + x) / SEASON
     start = F.struct(
         year(0).alias("level"), ((year(1) - year(0)) / SEASON).alias("trend"),
@@ -104,13 +97,13 @@ def holt_winters_fit(y: Column, alpha: float, beta: float) -> Column:
     )
 
     def step(s: Column, x: Column) -> Column:
-        season, trend = F.get(s["season"], 0), DAMPING * s["trend"]
+        season, trend = F.get(s["season"], 0), damping * s["trend"]
         guess = s["level"] + trend + season
         level = alpha * (x - season) + (1 - alpha) * (s["level"] + trend)
         return F.struct(
             level.alias("level"),
             (beta * (level - s["level"]) + (1 - beta) * trend).alias("trend"),
-            F.concat(F.slice(s["season"], 2, SEASON - 1), F.array(GAMMA * (x - level) + (1 - GAMMA) * season)).alias("season"),
+            F.concat(F.slice(s["season"], 2, SEASON - 1), F.array(gamma * (x - level) + (1 - gamma) * season)).alias("season"),
             (s["sse"] + (x - guess) * (x - guess)).alias("sse"),
         )
 
@@ -119,15 +112,15 @@ def holt_winters_fit(y: Column, alpha: float, beta: float) -> Column:
 
 def holt_winters_ahead(fit: str) -> tuple[Column, Column]:
     """Point and band, `step` months on."""
-    damped = F.lit(DAMPING) * (1 - F.pow(F.lit(DAMPING), F.col("step"))) / (1 - DAMPING)
+    by = F.col(f"{fit}.damping")
+    damped = by * (1 - F.pow(by, F.col("step"))) / (1 - by)
     point = F.col(f"{fit}.level") + damped * F.col(f"{fit}.trend") + F.get(F.col(f"{fit}.season"), F.pmod(F.col("step") - 1, F.lit(SEASON)))
     return point, 1.96 * F.sqrt(F.col(f"{fit}.sse") / (F.col("n") - SEASON))
 
 
 def holt_winters(arrays: DataFrame, horizon: int) -> DataFrame:
-    """The best fit of the grid (level and trend; season and damping are fixed) for series of two years or more."""
-    rows = arrays.where(F.col("n") >= 2 * SEASON).withColumn("fit", _best([holt_winters_fit(F.col("y"), a, b) for a, b in GRID]))
-    return _ahead(rows, horizon, *holt_winters_ahead("fit"), F.lit("holt_winters"))
+    """The fit of level, trend, season and damping for series of two years or more."""
+    return _ahead(fitted(arrays.where(F.col("n") >= 2 * SEASON), hw=F.lit(True)), horizon, *holt_winters_ahead("hw"), F.lit("holt_winters"))
 
 
 def forecast_all(months: DataFrame, types: DataFrame, horizon: int, least: int = 12) -> DataFrame:
@@ -135,13 +128,7 @@ def forecast_all(months: DataFrame, types: DataFrame, horizon: int, least: int =
     arrays = as_arrays(filled(months, least)).join(types.select("entity", "type", "cv"), "entity", "left")
     method = choose_method(F.col("type"), F.col("cv"), F.col("n"))
     rows = arrays.withColumn("method", method).where((F.col("method") != "exp_smoothing") | (F.col("n") >= 3))
-    of = lambda name, value: F.when(F.col("method") == name, value)
-    rows = rows.withColumns(
-        {
-            "es": of("exp_smoothing", _best([smoothing_fit(F.col("y"), a, b) for a, b in GRID])),
-            "hw": of("holt_winters", _best([holt_winters_fit(F.col("y"), a, b) for a, b in GRID])),
-        }
-    )
+    rows = fitted(rows, es=F.col("method") == "exp_smoothing", hw=F.col("method") == "holt_winters")
     mean, es, hw = weighted_mean(), smoothing_ahead("es"), holt_winters_ahead("hw")
     choice = lambda a, b, c: F.when(F.col("method") == "moving_avg", a).when(F.col("method") == "exp_smoothing", b).otherwise(c)
     return _ahead(rows, horizon, choice(mean, es[0], hw[0]), choice(0.2 * mean, es[1], hw[1]), F.col("method"))

@@ -13,7 +13,7 @@ from replen.functions.calendar import last_whole_week, week_start, year_to_last_
 from replen.functions.change import percent_change
 from replen.functions.sku import aliased, with_sku_parts
 from replen.operators import accuracy, allocation, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, stats, store
-from replen.operators import least_excess
+from replen.operators import least_excess, smoothing
 from replen.operators.adhoc import QuerySpec, query
 from replen.plans.settings import Settings
 from replen.sources import files
@@ -145,7 +145,11 @@ def test_smoothing_by_brute_force(spark):
     y = [float((7 * i * i + 3 * i) % 31) for i in range(30)]
     months = spark.createDataFrame([("a", D(1999 + i // 12, i % 12 + 1, 1), v) for i, v in enumerate(y)], "entity string, month date, quantity double")
     arrays = forecasting.as_arrays(months)
-    best = min((brute_smoothing(y, a, b) for a, b in forecasting.GRID), key=lambda f: f[2])
+    (r,) = smoothing.fitted(arrays, es=F.lit(True)).select("es.*").collect()
+    best = brute_smoothing(y, r.alpha, r.beta)
+    assert (r.level, r.trend, r.sse) == pytest.approx(best) and r.sse <= min(brute_smoothing(y, a / 100, b / 100)[2] for a in range(1, 100, 2) for b in range(0, 101, 2)) * 1.01
+    stated = arrays.select(forecasting.smoothing_fit(F.col("y"), 0.3, 0.1).alias("f")).select("f.*").first()
+    assert tuple(stated) == pytest.approx(brute_smoothing(y, 0.3, 0.1))
     rows = forecasting.exponential_smoothing(arrays, 3).orderBy("month").collect()
     assert [r.forecast for r in rows] == pytest.approx([max(0, best[0] + k * best[1]) for k in (1, 2, 3)])
     season = [50 + 10 * (i % 12) for i in range(36)]
