@@ -11,7 +11,7 @@ from replen.functions.sku import size_sort_key, with_sku_parts
 from replen.operators import accuracy, allocation, entity_models, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, states, stats
 from replen.plans import summary as plans
 from replen.queries import _FILLED, _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
-from replen.sources import files
+from replen.sources import digests, discovery, files
 from replen.sources import fixtures as fx
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -84,6 +84,25 @@ def unseen_files(spark, d):
     return maintenance.new_files(listing, seen).select("path", "file_type", "file_hash")
 
 
+@registered("""x as (select 's3/' || c_custkey || '.csv' as path, case when c_nationkey % 2 = 0 then 'sales' else 'stock' end as file_type, sha256(c_mktsegment || c_nationkey || c_custkey % 40) as file_hash, c_custkey from customer)
+    select min(path) as path, file_type, file_hash, 'imported' as status from x where (file_type, file_hash) not in (select file_type, file_hash from x where c_custkey % 10 = 0) group by file_type, file_hash""")
+def admitted_files(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    kind = F.when(F.col("c_nationkey") % 2 == 0, "sales").otherwise("stock").alias("file_type")
+    content = F.concat("c_mktsegment", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 40).cast("string"))
+    listing = c.select(F.concat(F.lit("s3/"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), kind, F.sha2(content, 256).alias("file_hash"), "c_custkey")
+    seen = listing.where(F.col("c_custkey") % 10 == 0)
+    return maintenance.import_log(maintenance.admitted(listing.drop("c_custkey"), seen))
+
+
+def file_digests(spark, d):
+    """Digests of the tables' own files, in ranges of a megabyte; SQL cannot read them (a test compares with hashlib)."""
+    return digests.file_digests(discovery.listing(spark, d, "*.parquet"), length=1 << 20).select("name", "length", "file_hash")
+
+
+QUERIES["file_digests"] = file_digests
+
+
 @registered("x as (select facility as file_type, status, count(*) as n from fx_order group by all) select * from x")
 def import_counts(spark, d):
     return maintenance.import_counts(fx.orders(spark, d).select(F.col("facility").alias("file_type"), "status"))
@@ -536,6 +555,28 @@ def files_of_1997(spark, d):
     return files.current_year_file(dated_files(spark, d), date(1997, 6, 1)).select("order_id", "source_file")
 
 
+@registered("""l as (select distinct facility, year(order_date) as y, month(order_date) as m from fx_order),
+    x as (select '/in/' || facility || '/' || y || '0101-' || (y + m % 2) || lpad(cast(m as varchar), 2, '0') || '28.csv' as path, make_date(y, 1, 1) as s, make_date(y + m % 2, m, 28) as e from l where m <> 12),
+    r as (select *, row_number() over (partition by year(e) order by e - s desc, e desc, path) as k from x)
+    select path, s as file_start, e as file_end from r where k = 1""")
+def chosen_sales_files(spark, d):
+    y, m = F.year("order_date"), F.month("order_date")
+    name = F.concat(y.cast("string"), F.lit("0101-"), (y + m % 2).cast("string"), F.lpad(m.cast("string"), 2, "0"), F.when(m == 12, "99.csv").otherwise("28.csv"))
+    found = fx.orders(spark, d).select("facility", name.alias("name")).distinct().withColumn("path", F.concat_ws("/", F.lit("/in"), "facility", "name"))
+    return discovery.best_per_year(discovery.sales_files(found)).select("path", "file_start", "file_end")
+
+
+@registered("""l as (select distinct order_date, cast(order_id as bigint) % 3 as k from fx_order),
+    r as (select order_date, k, row_number() over (partition by order_date order by k = 0, k desc) as n from l where k < 2)
+    select order_date as generated_date, '/fc/' || order_date || '/forecast_' || k || case when k = 0 then '.csv' else '.xlsx' end as path from r where n = 1""")
+def chosen_forecast_versions(spark, d):
+    k = F.col("order_id").cast("long") % 3
+    name = F.concat(F.when(k == 2, "notes_").otherwise("forecast_"), k.cast("string"), F.when(k == 0, ".csv").otherwise(".xlsx"))
+    found = fx.orders(spark, d).select(F.col("order_date").cast("string").alias("day"), name.alias("name")).distinct()
+    found = found.withColumn("path", F.concat_ws("/", F.lit("/fc"), "day", "name"))
+    return discovery.forecast_files(found).select("generated_date", "path")
+
+
 @registered("x as (select sku, snapshot_date, max(available_stock) as available_stock from fx_stock where day(snapshot_date) % 2 = 0 group by all) select * from x")
 def unseen_snapshots(spark, d):
     stock = fx.stock(spark, d)

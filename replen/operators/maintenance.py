@@ -181,6 +181,18 @@ def new_files(listing: DataFrame, imports: DataFrame) -> DataFrame:
     return rows.join(imports.select("file_hash", "file_type"), ["file_hash", "file_type"], "left_anti")
 
 
+def admitted(listing: DataFrame, imports: DataFrame) -> DataFrame:
+    """Files (path, file_hash, file_type) to import: of each content and type that was not imported yet the least path, so that copies within one
+    batch count once too. Types and digests that are null equal nothing that was imported."""
+    unseen = listing.join(imports.select("file_hash", "file_type"), ["file_hash", "file_type"], "left_anti").select(listing.columns)
+    return first_per_key(unseen, ["file_hash", "file_type"], [F.col("path")])
+
+
+def import_log(admitted_files: DataFrame, status: str = "imported") -> DataFrame:
+    """Rows to append to the imports once the files' rows are stored: path, file_type, file_hash, status."""
+    return admitted_files.select("path", "file_type", "file_hash", F.lit(status).alias("status"))
+
+
 def touched(batch: DataFrame) -> DataFrame:
     """Entities whose derived rows a batch of sales invalidates: its SKUs and models."""
     sku = batch.select(F.lit("sku").alias("entity_type"), F.col("sku").alias("entity_id"))

@@ -44,8 +44,8 @@ def best_file_per_year(df: DataFrame) -> DataFrame:
 
 
 def current_year_file(df: DataFrame, as_of: date) -> DataFrame:
-    """Rows of the newest file that covers as_of's year."""
-    files = df.where(F.year("file_end") == as_of.year).agg(F.max_by("source_file", "file_end").alias("source_file"))
+    """Rows of the newest file that starts in as_of's year."""
+    files = df.where(F.year("file_start") == as_of.year).agg(F.max_by("source_file", "file_end").alias("source_file"))
     return df.join(F.broadcast(files), "source_file", "left_semi")
 
 
