@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from replen.functions.change import trend
 from replen.functions.sku import size_sort_key, with_sku_parts
-from replen.operators import accuracy, allocation, entity_models, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, states, stats
+from replen.operators import accuracy, allocation, entity_models, forecasting, inventory, maintenance, materials, orders, priority, reports, selection, series, states, stats, stock_intervals
 from replen.plans import summary as plans
 from replen.queries import _FILLED, _SUMMARY, AS_OF, ORACLE, QUERIES, latest_forecast, months, registered, rounded, types, whole_summary
 from replen.sources import digests, discovery, files
@@ -577,6 +577,55 @@ def chosen_forecast_versions(spark, d):
     return discovery.forecast_files(found).select("generated_date", "path")
 
 
+_INTERVALS = """dn as (select snapshot_date, row_number() over (order by snapshot_date) as n from (select distinct snapshot_date from fx_stock)),
+    hs as (select sku, snapshot_date, n, max(available_stock) as stock from fx_stock join dn using (snapshot_date) group by all),
+    ho as (select *, stock is distinct from lag(stock) over w or n is distinct from lag(n) over w + 1 as starts from hs window w as (partition by sku order by n)),
+    hr as (select *, sum(starts::int) over (partition by sku order by n) as run from ho)
+    select sku, min(snapshot_date) as first, max(snapshot_date) as last, min(stock)::bigint as stock from hr group by sku, run"""
+
+
+def _snapshots(spark, d):
+    return fx.stock(spark, d).select("sku", "snapshot_date", "available_stock")
+
+
+def _as_whole(found):
+    return found.select("sku", "first", "last", F.col("stock").cast("long").alias("stock"))
+
+
+@registered(_INTERVALS)
+def intervals_of_stock(spark, d):
+    return _as_whole(stock_intervals.intervals(_snapshots(spark, d)))
+
+
+@registered(_INTERVALS)
+def intervals_after_late_snapshots(spark, d):
+    rows = _snapshots(spark, d)
+    early = rows.where("day(snapshot_date) % 3 <> 0")
+    found, days = stock_intervals.extend(stock_intervals.intervals(early), stock_intervals.snapshot_days(early), rows)
+    return _as_whole(found)
+
+
+def _runs(spark, d, entity):
+    rows = _snapshots(spark, d)
+    days = stock_intervals.snapshot_days(rows)
+    return stock_intervals.entity_runs(stock_intervals.intervals(rows), days, entity), days
+
+
+@registered()
+def streaks_from_intervals(spark, d):
+    return stock_intervals.out_of_stock_streaks(*_runs(spark, d, F.col("sku")))
+
+
+@registered()
+def accuracy_from_intervals(spark, d):
+    runs, days = _runs(spark, d, F.substring("sku", 1, 5))
+    grid = stock_intervals.daily_grid(fx.sales(spark, d), fx.forecast_daily(spark, d), runs, days, date(2001, 5, 16), date(2001, 7, 30), "model")
+    return rounded(accuracy.accuracy(grid))
+
+
+ORACLE["streaks_from_intervals"], ORACLE["accuracy_from_intervals"] = ORACLE["out_of_stock_streaks"], ORACLE["forecast_accuracy"]
+
+
 @registered("x as (select sku, snapshot_date, max(available_stock) as available_stock from fx_stock where day(snapshot_date) % 2 = 0 group by all) select * from x")
 def unseen_snapshots(spark, d):
     stock = fx.stock(spark, d)

@@ -12,17 +12,23 @@ from replen.functions.calendar import month, week_start
 MAPE_BANDS = [(20.0, "good"), (40.0, "acceptable")]
 
 
+def planned_and_sold(sales: DataFrame, forecast: DataFrame, start: date, end: date, entity: str) -> DataFrame:
+    """entity, day, forecast, actual (null without sales) for every forecast day of a span."""
+    key = F.col(entity).alias("entity")
+    span = lambda day: F.col(day).between(F.lit(start), F.lit(end))
+    planned = forecast.where(span("forecast_date")).groupBy(key, F.col("forecast_date").alias("day")).agg(F.sum("forecast").alias("forecast"))
+    sold = sales.where(span("sale_date")).groupBy(key, F.col("sale_date").alias("day")).agg(F.sum("quantity").alias("actual"))
+    return planned.join(sold, ["entity", "day"], "left")
+
+
 def daily_grid(sales: DataFrame, forecast: DataFrame, stock: DataFrame, start: date, end: date, entity: str) -> DataFrame:
     """entity, day, forecast, actual, had_stock for every forecast day of a span.
 
     Stock carries forward from an entity's last snapshot in the grid; before any, a day counts as in stock.
     """
-    key = F.col(entity).alias("entity")
-    span = lambda day: F.col(day).between(F.lit(start), F.lit(end))
-    planned = forecast.where(span("forecast_date")).groupBy(key, F.col("forecast_date").alias("day")).agg(F.sum("forecast").alias("forecast"))
-    sold = sales.where(span("sale_date")).groupBy(key, F.col("sale_date").alias("day")).agg(F.sum("quantity").alias("actual"))
-    held = stock.where(span("snapshot_date")).groupBy(key, F.col("snapshot_date").alias("day")).agg(F.sum("available_stock").alias("stock"))
-    rows = planned.join(sold, ["entity", "day"], "left").join(held, ["entity", "day"], "left")
+    held = stock.where(F.col("snapshot_date").between(F.lit(start), F.lit(end)))
+    held = held.groupBy(F.col(entity).alias("entity"), F.col("snapshot_date").alias("day")).agg(F.sum("available_stock").alias("stock"))
+    rows = planned_and_sold(sales, forecast, start, end, entity).join(held, ["entity", "day"], "left")
     upto = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     known = F.last("stock", ignorenulls=True).over(upto)
     return rows.select("entity", "day", "forecast", F.coalesce("actual", F.lit(0)).alias("actual"), F.coalesce(known > 0, F.lit(True)).alias("had_stock"))

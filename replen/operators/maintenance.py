@@ -98,7 +98,7 @@ def new_generations(target: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 #: Derived tables that are refreshed together.
-REFRESH_GROUPS = {"stock": ("latest_stock",), "forecast": ("latest_forecast",), "cache": ("monthly_aggregation", "entity_stats"), "states": ("monthly_states",)}
+REFRESH_GROUPS = {"stock": ("latest_stock",), "forecast": ("latest_forecast",), "cache": ("monthly_aggregation", "entity_stats"), "states": ("monthly_states",), "history": ("stock_intervals", "snapshot_days")}
 
 
 def refresh(before: dict[str, DataFrame], after: dict[str, DataFrame], group: str = "all") -> DataFrame:
