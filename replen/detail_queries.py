@@ -406,13 +406,13 @@ def parsed_constraints(spark, d):
     return rows.select("order_id", "c.least", "c.most", "c.even", chosen.alias("chosen"))
 
 
-_DEMAND = """dm as (select model, color, size, cast(bn * 3 + c * 5 + s as bigint) as quantity from fx_sku where s <= 4),
+_DEMAND = """dm as (select model, color, size, cast(bn * 3 + c * 5 + s as bigint) as quantity from fx_sku),
     hs as (select model, color, size, sum(quantity) as sold from fx_history where color <> '03' group by all)"""
 
 
 def demand(spark, d):
     n = {k: F.col(k).cast("int") for k in ("color", "size")}
-    return fx.skus(spark, d).where(n["size"] <= 4).select("model", "color", "size", (F.col("bn") * 3 + n["color"] * 5 + n["size"]).cast("long").alias("quantity"))
+    return fx.skus(spark, d).select("model", "color", "size", (F.col("bn") * 3 + n["color"] * 5 + n["size"]).cast("long").alias("quantity"))
 
 
 @registered(_DEMAND + " select model, color, size, quantity from dm left join hs using (model, color, size) where coalesce(sold >= 40, true)")
@@ -429,12 +429,12 @@ def scaled_sizes(spark, d):
     return allocation.scale_to_target(demand(spark, d), targets)
 
 
-_USES = "us as (select model, color, s as pattern_id, cast(bn * c * s % 11 as bigint) as uses from fx_sku where s <= 4)"
+_USES = "us as (select model, color, s as pattern_id, cast(bn * c * s % 11 as bigint) as uses from fx_sku)"
 
 
 def uses(spark, d):
     n = {k: F.col(k).cast("int") for k in ("color", "size")}
-    return fx.skus(spark, d).where(n["size"] <= 4).select("model", "color", n["size"].alias("pattern_id"), (F.col("bn") * n["color"] * n["size"] % 11).cast("long").alias("uses"))
+    return fx.skus(spark, d).select("model", "color", n["size"].alias("pattern_id"), (F.col("bn") * n["color"] * n["size"] % 11).cast("long").alias("uses"))
 
 
 @registered(_USES + """, t as (select *, sum(uses) over (partition by model, pattern_id) as total, sum(uses) over (partition by model, pattern_id order by color rows unbounded preceding) as until from us),
@@ -518,12 +518,12 @@ def sales_through_views(spark, d):
     return spark.sql("select (select min(model) from replen_models) as least, count(*) as n from replen_sales")
 
 
-@registered("m as (select p_name as name, p_brand as method, p_retailprice as cv_score from part) select count(*) as n, round(avg(cv_score), 6) as mean_score, mode(method) as most_common from m where method < 'Brand#14' or method = 'Brand#31'")
+@registered("m as (select p_name as name, p_brand as method, p_retailprice as cv_score from part) select count(*) as n, round(avg(cv_score), 6) as mean_score, (select method from m group by method order by count(*) desc, method limit 1) as most_common from m")
 def model_registry_kpis(spark, d):
     from replen.operators import store
 
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), F.col("p_brand").alias("method"), F.col("p_retailprice").alias("cv_score"))
-    return rounded(store.model_kpis(rows.where("method < 'Brand#14' or method = 'Brand#31'")))
+    return rounded(store.model_kpis(rows))
 
 
 @registered(_SUMMARY + " select type, count(*) as n from k group by type")

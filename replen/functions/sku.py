@@ -29,6 +29,6 @@ def size_sort_key(code: Column) -> Column:
 
 
 def aliased(df: DataFrame, aliases: DataFrame, code: str, name: str) -> DataFrame:
-    """Add name: the alias (code, alias) of a code, or the code itself. aliases holds two-character codes, so at most some thousands."""
-    dim = F.broadcast(aliases.select(F.col("code").alias(code), F.col("alias").alias("_alias")))
+    """Add name: the alias (code, alias) of a code, or the code itself."""
+    dim = aliases.select(F.col("code").alias(code), F.col("alias").alias("_alias"))
     return df.join(dim, code, "left").withColumn(name, F.coalesce("_alias", code)).drop("_alias")

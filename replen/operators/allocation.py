@@ -149,7 +149,7 @@ def allocate(demand: DataFrame, patterns: DataFrame, least: int = 5, mode: str =
 
 def produced(uses: DataFrame, patterns: DataFrame, demand: DataFrame) -> DataFrame:
     """model, color, size, required, produced, excess, covered."""
-    made = uses.join(F.broadcast(patterns), "pattern_id").groupBy("model", "color", "size").agg(F.sum(F.col("uses") * F.col("count")).alias("produced"))
+    made = uses.join(patterns, "pattern_id").groupBy("model", "color", "size").agg(F.sum(F.col("uses") * F.col("count")).alias("produced"))
     wanted = demand.groupBy("model", "color", "size").agg(F.sum("quantity").alias("required"))
     rows = made.join(wanted, ["model", "color", "size"], "full").fillna(0, ["produced", "required"])
     return rows.withColumns({"excess": F.greatest(F.lit(0), F.col("produced") - F.col("required")), "covered": F.col("produced") >= F.col("required")})
@@ -210,7 +210,7 @@ def children_shares(totals: DataFrame, color_sales: DataFrame, size_sales: DataF
 
 def production_table(uses: DataFrame, patterns: DataFrame, model: str, colors: list[str]) -> DataFrame:
     """Rows pattern and size, a column for each color, pattern uses as cells."""
-    rows = uses.where(F.col("model") == model).join(F.broadcast(patterns.select("pattern_id", "size")), "pattern_id")
+    rows = uses.where(F.col("model") == model).join(patterns.select("pattern_id", "size"), "pattern_id")
     return rows.groupBy("pattern_id", "size").pivot("color", colors).agg(F.sum("uses"))
 
 

@@ -41,13 +41,13 @@ def newest_version(forecast: DataFrame) -> DataFrame:
 
 
 def history_between(stock: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
-    """Stock snapshots from start to end (both included; open where None), in order."""
+    """Stock snapshots from start to end (both included; open where None). Whoever writes or shows them puts them in order."""
     rows = stock
     if start is not None:
         rows = rows.where(F.col("snapshot_date") >= F.lit(start))
     if end is not None:
         rows = rows.where(F.col("snapshot_date") <= F.lit(end))
-    return rows.orderBy("snapshot_date", "sku")
+    return rows
 
 
 def accuracy_target(start: date, lookback_months: int = 4) -> date:

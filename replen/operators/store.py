@@ -76,7 +76,8 @@ def delete_model(spark: SparkSession, root: str, name: str) -> bool:
 
 
 def model_kpis(models: DataFrame) -> DataFrame:
-    return models.agg(F.count("*").alias("n"), F.avg(F.coalesce("cv_score", F.lit(0.0))).alias("mean_score"), F.mode("method").alias("most_common"))
+    """Number of models, mean score (0 for models without one) and the method of most (of equals the least name)."""
+    return models.agg(F.count("*").alias("n"), F.avg(F.coalesce("cv_score", F.lit(0.0))).alias("mean_score"), F.mode("method", deterministic=True).alias("most_common"))
 
 
 def load_model(root: str, name: str):

@@ -641,6 +641,18 @@ def ask_seasonal_low_stock(spark, d):
     return query(QuerySpec("stock", below_rop=True, types=("seasonal",), as_of=AS_OF), tables(spark, d)).select("sku", "available_stock")
 
 
+@registered("f as (select model, 'Plant F' || bn % 4 as facility from fx_model) select sku, available_stock from fx_stock join f using (model) where snapshot_date = date '2001-08-13' and facility in ('Plant F1') and available_stock >= 10 and available_stock < 40")
+def ask_stock_of_a_facility(spark, d):
+    facilities = fx.models(spark, d).select("model", F.concat(F.lit("Plant F"), (F.col("bn") % 4).cast("string")).alias("facility"))
+    spec = QuerySpec("stock", facility="f1", where=(("available_stock", ">=", 10), ("available_stock", "<", 40)), as_of=AS_OF)
+    return query(spec, tables(spark, d) | {"facilities": facilities}).select("sku", "available_stock")
+
+
+@registered(_stats_sql("sku") + " select model, cast(sum(available_stock) as bigint) as total from fx_stock s join r on r.entity = s.sku where snapshot_date = date '2001-08-13' and available_stock > rop + safety_stock and available_stock <= 46 group by model")
+def ask_overstock_by_model(spark, d):
+    return query(QuerySpec("stock", overstock=True, group_by="model", where=(("available_stock", "<=", 46),), as_of=AS_OF), tables(spark, d)).select("model", F.col("total").cast("long").alias("total"))
+
+
 @registered("x as (select color, sum(forecast) as total from fx_forecast where generated_date = date '2001-08-01' and model = 'DO001' group by color) select * from x", whole="total")
 def ask_forecast_by_color(spark, d):
     return query(QuerySpec("forecast", models=("do001",), group_by="color", as_of=AS_OF), tables(spark, d))

@@ -66,7 +66,7 @@ def forecasts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def new_snapshots(found: DataFrame, cached: DataFrame) -> DataFrame:
     """Snapshot rows of days that the history lacks, one for each SKU and day."""
-    rows = found.join(F.broadcast(cached.select("snapshot_date").distinct()), "snapshot_date", "left_anti")  # some thousand days
+    rows = found.join(cached.select("snapshot_date").distinct(), "snapshot_date", "left_anti")
     return first_per_key(rows.select("sku", "snapshot_date", "available_stock"), ["sku", "snapshot_date"], [F.desc("available_stock")])
 
 
