@@ -8,7 +8,7 @@ An empty table passes through as one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from replen.llm import exact, minhash, mixing, pieces, quality
@@ -33,6 +33,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", name)
 
 
+def tie(docs: DataFrame) -> Column:
+    """A number from a row's text and its columns beside id and text, which puts rows of equal keys in the same order in every run."""
+    more = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text") and not c.startswith("_")]
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.to_json(F.struct(*more), {"ignoreNullFields": "false"}) if more else F.lit(""))
+
+
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; of rows that also repeat the id, one of them; a null id
     counts as the smallest."""
@@ -42,7 +48,7 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keys = ["_sha", "_id", "_none"]
     rows = docs.withColumns({"_sha": sha, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull()})
     rows = rows.join(decided.hint("merge"), keys, "left_semi")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(tie(docs)))
     return rows.withColumn("_place", place).where("_place = 1").select(docs.columns)
 
 
@@ -58,8 +64,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 2 times), whether or not it has an id of its own."""
     place = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     taken = mixing.mix(keyed(docs), id_col="_key").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
-    taken = taken.withColumn("_place", place).where("_copies > 0")
-    rows = keyed(docs).withColumn("_place", place).join(taken.hint("merge"), ["_key", "_place"])
+    taken = taken.withColumn("_place", F.row_number().over(place.orderBy(F.desc("_copies")))).where("_copies > 0")
+    rows = keyed(docs).withColumn("_place", F.row_number().over(place.orderBy(tie(docs)))).join(taken.hint("merge"), ["_key", "_place"])
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
