@@ -62,7 +62,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (0 to 2 times), whether or not it has an id of its own."""
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    place = Window.partitionBy("_key")
     taken = mixing.mix(keyed(docs), id_col="_key").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
     taken = taken.withColumn("_place", F.row_number().over(place.orderBy(F.desc("_copies")))).where("_copies > 0")
     rows = keyed(docs).withColumn("_place", F.row_number().over(place.orderBy(tie(docs)))).join(taken.hint("merge"), ["_key", "_place"])
