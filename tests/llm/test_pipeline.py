@@ -77,3 +77,16 @@ def test_run_and_rerun_agree(spark):
     first = corpus_pipeline.run(spark, SF).groupBy("doc_id", "ids_sha256").count()
     second = corpus_pipeline.run(spark, SF).groupBy("doc_id", "ids_sha256").count()
     assert first.exceptAll(second).count() == 0 and first.count() > 0
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    """Rows of one id and text (up to case) that differ in other columns: the same ones stay, however the rows come."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words if k % 2 else words.upper(), "en", "ab"[k % 2], None if k % 3 == 0 else f"x{k}") for k in range(24)]
+    rows += [(2, f"{words} {k}", "en", "a", "y") for k in range(6)]
+    for stage in (corpus_pipeline.one_of_each_text, corpus_pipeline.mixed):
+        found = []
+        for order in (rows, rows[::-1], rows[12:] + rows[:12]):
+            docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, extra string").repartition(1 + len(found))
+            found.append(sorted(map(repr, stage(spark, docs, SF).collect())))
+        assert found[0] == found[1] == found[2] and found[0]
