@@ -42,8 +42,7 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.fit_and_classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -473,6 +473,40 @@ def test_quality_by_brute_force(spark):
     assert quality.classify(docs_of(spark, [long, long]), fitted, params).where("n_symbols > 100000").count() == 2
 
 
+def test_quality_counts_every_trusted_text(spark):
+    """More trusted rows than the 20,000 that the fit once took at most: all are trusted, and each text that is not left out is in the counts."""
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(ids).count() == 25_000
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.format_string("t%05d", "id").alias("text"))
+    found = quality.fit(docs, ids).model.probabilities[ngram.ORDER].count()
+    counted = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(5)) != 0)
+    pad = F.concat(F.lit(ngram.PAD * 3), "text")
+    assert found == counted.select(F.explode(F.array(*[F.substring(pad, i, 4) for i in range(1, 7)])).alias("g")).distinct().count()
+
+
+def test_quality_in_one_reading_equals_fit_and_classify(spark):
+    rows = [*[" ".join(varied(i, 30, 40)) + "." for i in range(60)], "@@## %%^^ " * 10, "", None]
+    docs = docs_of(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en")).withColumn("more", F.col("doc_id") * 2)
+    docs = docs.unionByName(docs.where("doc_id in (2, 60)")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    p = quality.QualityParams(least=3)
+    fitted = quality.fit(docs, labels, p)
+    shown = lambda df: sorted((repr(r.doc_id), r.lang, r.n_symbols, r.log2_perplexity and round(r.log2_perplexity, 9), round(r.limit, 9), r.kept) for r in df.collect())
+    assert shown(quality.fit_and_classify(docs, labels, p)) == shown(quality.classify(docs, fitted, p))
+    one, other = quality.fit_and_keep(docs, labels, p), quality.keep_good(docs, fitted, p)
+    assert one.columns == docs.columns and sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+
+
+def test_quantiles_are_exact(spark):
+    r = np.random.RandomState(3)
+    rows = [("a", float(x)) for x in r.randn(30_000)] + [("b", float(x // 1)) for x in r.randn(15_000) * 2] + [("c", float(x)) for x in r.randn(7)] + [("d", 1.5)]
+    df = spark.createDataFrame(rows, "lang string, score double").repartition(7)
+    for q in (0.99, 0.5, 1.0, 0.0):
+        want = {x.lang: (x.n, x.v) for x in df.groupBy("lang").agg(F.count("*").alias("n"), F.expr(f"percentile(score, {q}D)").alias("v")).collect()}
+        found = {x.lang: (x.n, x.limit) for x in quality.quantiles(df, ["lang"], q).collect()}
+        assert found.keys() == want.keys() and all(found[k] == (want[k][0], pytest.approx(want[k][1], abs=1e-12)) for k in want)
+
+
 def test_lm_score(spark):
     rows = ["good words here " * 5 + str(i) for i in range(8)] + ["bad ones only " * 5 + str(i) for i in range(8)] + [None, "", "good words here " * 5 + "1"]
     target = spark.createDataFrame([(i,) for i in (0, 1, 2, 2, 3, 4, 5, 6, None)], "doc_id long")
