@@ -21,9 +21,8 @@ NEAR = minhash.NearParams(percent=80, bands=30, screen=0.64)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under their language's perplexity limit; the model's trusted texts are labelled rows of docs."""
-    fitted = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep_good(docs, fitted)
+    """Documents under their language's perplexity limit; the model's trusted texts are all rows of docs labelled as good."""
+    return quality.fit_and_keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
