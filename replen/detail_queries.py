@@ -710,14 +710,20 @@ def training_sums_by_fold(spark, d):
     return entity_models.gram_sums(rows).select("entity", "fold", *[F.col("gram")[at[p]].cast("long").alias(c) for c, p in taken.items()])
 
 
+def kept_months(spark, d):
+    """Months and types of models, for which the sales are read once."""
+    known = entity_models.kept(months(spark, d))
+    return known, entity_models.kept(stats.classify(stats.entity_stats(known), AS_OF))
+
+
 @registered()
 def entity_model_scores(spark, d):
-    return rounded(entity_models.model_scores(entity_models.out_of_fold(months(spark, d), types(spark, d))))
+    return rounded(entity_models.model_scores(entity_models.out_of_fold(*kept_months(spark, d))))
 
 
 @registered()
 def entity_model_forecasts(spark, d):
-    return rounded(entity_models.train_and_forecast(months(spark, d), types(spark, d), 3)[0])
+    return rounded(entity_models.train_and_forecast(*kept_months(spark, d), 3)[0])
 
 
 @registered(_FILLED + """, nm as (select *, row_number() over (partition by entity order by month) - 1 as pos, count(*) over (partition by entity) as n from fs),
@@ -729,9 +735,10 @@ def entity_model_forecasts(spark, d):
     select coalesce(case when score is not null then 'moving_avg' end, 'failed') as method, count(*) as n_entities, round(avg(score), 6) as mean_score
     from (select distinct entity from months_model) left join sc using (entity) group by 1""")
 def training_summary_of_moving_averages(spark, d):
-    known = entity_models.out_of_fold(months(spark, d), types(spark, d), candidates=("moving_avg",))
+    found, kinds = kept_months(spark, d)
+    known = entity_models.out_of_fold(found, kinds, candidates=("moving_avg",))
     best = entity_models.best_models(entity_models.model_scores(known, "mae"))
-    return rounded(entity_models.training_summary(months(spark, d), best))
+    return rounded(entity_models.training_summary(found, best))
 
 
 # States that batches add to

@@ -141,6 +141,13 @@ def tree_predictions(models: dict[str, RegressionModel], rows: DataFrame) -> Dat
 # Scores and choice
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """table, computed here and once. Months and types come from all sales, and candidates, folds and bands read them some dozen times."""
+    table = table.cache()
+    table.count()
+    return table
+
+
 def out_of_fold(months: DataFrame, types: DataFrame, splits: int = 3, test: int = 3, least: int = 12, candidates: tuple[str, ...] = (*LINEAR, *TREES, *METHODS)) -> DataFrame:
     """entity, fold, month, step, method, forecast, quantity: what every candidate says about each fold's months, none of which it has seen of the entity.
 
@@ -148,6 +155,7 @@ def out_of_fold(months: DataFrame, types: DataFrame, splits: int = 3, test: int
     """
     keep = ["entity", "fold", "month", "step", "method", "forecast", "quantity"]
     parts = []
+    months, types = kept(months), kept(types)
     rows = with_folds(training_matrix(months, types, least), splits, test).withColumn("quantity", F.col("quantity").cast("double"))
     linear, trees, statistical = (tuple(m for m in group if m in candidates) for group in (LINEAR, TREES, METHODS))
     if linear:
@@ -239,6 +247,7 @@ def with_bands(forecasts: DataFrame, scale: DataFrame, banded: DataFrame, test:
 def forecast_best(months: DataFrame, types: DataFrame, best: DataFrame, horizon: int, least: int = 12) -> DataFrame:
     """entity, month, step, method, score, forecast: each entity by its chosen candidate, trained on all its months."""
     keep = ["entity", "month", "step", "method", "score", "forecast"]
+    months, types = kept(months), kept(types)
     rows = training_matrix(months, types, least)
     future = future_matrix(months, types, horizon, least).drop("quantity").join(best, "entity")
     coefs = coefficients(gram_sums(rows.withColumn("fold", F.lit(None).cast("int")))).drop("fold")
@@ -264,6 +273,7 @@ def train_and_forecast(months: DataFrame, types: DataFrame, horizon: int, metric
     months: entity, month, quantity; types: entity, type, cv. Entities without a candidate that could be scored are counted as failed and have no
     forecast.
     """
+    months, types = kept(months), kept(types)
     known = out_of_fold(months, types, splits, test, candidates=candidates).cache()
     scores = model_scores(known, metric)
     best, scale = best_models(scores), levels(months)

@@ -139,3 +139,24 @@ def test_bands_cover_held_out_months(spark):
     assert few.groupBy("method", "step").agg(F.count_distinct("low").alias("n")).where("n > 1").count() == 0  # too few of a class: all take the step's
     unseen = em.with_bands(made.limit(1).withColumn("step", F.lit(9)), scale.withColumn("class", F.lit(99)), banded)
     assert unseen.where("lower is not null and upper > forecast").count() == 1
+
+
+def test_months_and_types_are_computed_once(spark, months, types):
+    """Whatever months and types come from is read once, by the folds as by the forecasts."""
+    seen = {}
+
+    def counting(df, name):
+        rows = df.coalesce(2)
+        seen[name] = (spark.sparkContext.accumulator(0), df.count())
+
+        def run(batches):
+            for pdf in batches:
+                seen[name][0].add(len(pdf))
+                yield pdf
+
+        return rows.mapInPandas(run, df.schema)
+
+    named = ("ridge", "moving_avg")
+    assert em.model_scores(em.out_of_fold(counting(months, "m"), counting(types, "t"), candidates=named)).count() > 50
+    assert em.train_and_forecast(counting(months, "m2"), counting(types, "t2"), 2, metric="mae", candidates=named)[0].count() > 50
+    assert {k: n.value for k, (n, _) in seen.items()} == {k: rows for k, (_, rows) in seen.items()}
