@@ -8,6 +8,8 @@ An empty table passes through as one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,22 @@ from replen.llm.queries import piece_model
 #: The stage links at 0.8, whereas op1's own contract is 0.85. At exactly 0.8, 30 bands miss 6.7e-6 of pairs
 #: and the sketches' limit that belongs to this screen rejects 5.7e-6.
 NEAR = minhash.NearParams(percent=80, bands=30, screen=0.64)
+#: Bytes of an Arrow batch: a worker holds a batch several times over (as sent, as pandas rows, as the groups cut from it), and Spark's 64 MB are meant
+#: for larger executors.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold this session's Arrow batches to BATCH_BYTES; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower())
+    if not now or not 0 < int(now[1]) * 1024 ** " kmgtp".index(now[2] or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under their language's perplexity limit; the model's trusted texts are all rows of docs labelled as good."""
+    small_batches(spark)
     return quality.fit_and_keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -41,6 +55,7 @@ def tie(docs: DataFrame) -> Column:
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays; of rows that also repeat the id, one of them; a null id
     counts as the smallest."""
+    small_batches(spark)
     decided = exact.deduplicate(docs, exact.dealt_load()).groupBy("text_sha256").agg(F.max("keep_id").alias("_keep"))
     decided = decided.select(F.col("text_sha256").alias("_sha"), F.coalesce("_keep", F.lit(0)).alias("_id"), F.col("_keep").isNull().alias("_none"))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
@@ -54,22 +69,30 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, linked at a similarity of 0.8 or more, the document with the least doc_id stays. Rows that repeat an id share its
     group and stay or go together; a row without an id takes part under a negative one made from its text."""
+    small_batches(spark)
     near = docs.withColumn("_near", F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 2)))
     decided = minhash.near_duplicates(near, NEAR, id_col="_near").where("kept").select(F.col("doc_id").alias("_near")).distinct().hint("merge")
     return near.join(decided, "_near", "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 2 times), whether or not it has an id of its own."""
-    place = Window.partitionBy("_key")
-    taken = mixing.mix(keyed(docs), id_col="_key").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
-    taken = taken.withColumn("_place", F.row_number().over(place.orderBy(F.desc("_copies")))).where("_copies > 0")
-    rows = keyed(docs).withColumn("_place", F.row_number().over(place.orderBy(tie(docs)))).join(taken.hint("merge"), ["_key", "_place"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Every document as often as the mix takes it (0 to 2 times), whether or not it has an id of its own.
+
+    Of the rows of a key, the first ones take the most copies, so a key needs but the numbers of rows that are taken once or more, twice or more, and
+    so on: rows are placed and joined by the key alone, and texts are shuffled once.
+    """
+    small_batches(spark)
+    times = range(1, mixing.MixParams().most + 1)
+    taken = mixing.mix(keyed(docs), id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(*[F.count_if(F.col("copies") >= c).alias(f"_rows_{c}") for c in times])
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(tie(docs)))
+    rows = keyed(docs).withColumn("_place", place).join(taken.where("_rows_1 > 0").hint("merge"), "_key")
+    copies = sum((F.col("_place") <= F.col(f"_rows_{c}")).cast("int") for c in times)
+    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that the mix takes, once for each time it is taken."""
+    small_batches(spark)
     return pieces.with_digests(pieces.encode(docs, pieces.model_bytes(piece_model())))
 
 

@@ -90,3 +90,30 @@ def test_ties_do_not_depend_on_the_order_of_rows(spark):
             docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, extra string").repartition(1 + len(found))
             found.append(sorted(map(repr, stage(spark, docs, SF).collect())))
         assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_mixing_shuffles_texts_once_and_places_all_copies(spark):
+    rows = [(k % 7, f"w{k % 7} " * (3 + k % 7), "en", "ab"[k % 2], f"x{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra string")
+    made = corpus_pipeline.mixed(spark, docs, SF)
+    plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = [x for x in plan.split("\n\n") if x.lstrip().startswith("(") and "Exchange\n" in x and "text#" in x.split("Arguments")[0]]
+    assert len(exchanges) == 1
+    want = mixing.mix(corpus_pipeline.keyed(docs), id_col="_key").groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0")
+    got = corpus_pipeline.keyed(made).groupBy("_key").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert made.groupBy("extra").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_stages_hold_arrow_batches_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        corpus_pipeline.encoded(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), SF)
+        assert spark.conf.get(key) == str(corpus_pipeline.BATCH_BYTES)
+        spark.conf.set(key, "1024")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(key) == "1024"
+    finally:
+        spark.conf.set(key, before)
