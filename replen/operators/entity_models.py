@@ -123,7 +123,7 @@ def rows_before(rows: DataFrame, fold: int) -> DataFrame:
 
 
 def fitted_trees(rows: DataFrame, methods: tuple[str, ...] = TREES) -> dict[str, RegressionModel]:
-    data = forecasting.assembled(rows).cache()
+    data = forecasting.dealt(forecasting.assembled(rows))
     made = {name: estimator.fit(data) for name, estimator in forecasting.candidates(1).items() if name in methods}
     data.unpersist()
     return made

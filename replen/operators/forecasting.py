@@ -210,13 +210,31 @@ def assembled(matrix: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(rows)
 
 
+#: Rows to train on that make a partition.
+PART_ROWS = 20_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (entity, month, ...), computed once, kept, and dealt by their number.
+
+    A fit of trees passes over its rows some hundred times, and each pass costs a task a partition: with a session's shuffle partitions, which follow the sales, a
+    few thousand months would be mostly empty tasks. Order and partitions follow the rows alone, and so do samples that are drawn by partition.
+    """
+    first = rows.cache()
+    parts = max(1, -(-first.count() // PART_ROWS))
+    out = first.repartition(parts, "entity").sortWithinPartitions("entity", "month").cache()
+    out.count()
+    first.unpersist()
+    return out
+
+
 def fit_pooled(matrix: DataFrame, cut: date, names: list[str] | None = None):
     """Fit the candidates on months before cut, score them on the rest, and fit the one of the least MAE again on all months.
 
     One model is fitted over all entities, by distributed passes. Returns (name, model, scores, residuals): scores hold one row
     a candidate; residuals (entity, residual) are the chosen candidate's on the months held out, before it is fitted again.
     """
-    rows = assembled(matrix).cache()
+    rows = dealt(assembled(matrix))
     train, test = rows.where(F.col("month") < F.lit(cut)), rows.where(F.col("month") >= F.lit(cut))
     residual = F.col("quantity") - F.greatest(F.lit(0.0), F.col("prediction"))
     found = {}

@@ -160,3 +160,16 @@ def test_months_and_types_are_computed_once(spark, months, types):
     assert em.model_scores(em.out_of_fold(counting(months, "m"), counting(types, "t"), candidates=named)).count() > 50
     assert em.train_and_forecast(counting(months, "m2"), counting(types, "t2"), 2, metric="mae", candidates=named)[0].count() > 50
     assert {k: n.value for k, (n, _) in seen.items()} == {k: rows for k, (_, rows) in seen.items()}
+
+
+def test_trees_are_fitted_alike_whatever_the_shuffle_partitions(spark):
+    """Each pass of a fit costs a task a partition, so partitions follow the rows; forests draw their samples by partition."""
+    values = [(f"e{k % 5}", date(2019 + k // 60, 1 + k // 5 % 12, 1), float(k * 37 % 101), *[float((k * (3 + i)) % 17) for i in range(len(em.FEATURES))]) for k in range(300)]
+    rows = spark.createDataFrame(values, ["entity", "month", "quantity", *em.FEATURES])
+    found = []
+    for n in (3, 40):
+        made = forecasting.dealt(forecasting.assembled(rows.repartition(n, "month")))
+        assert made.rdd.getNumPartitions() == 1 and made.count() == 300
+        models = em.fitted_trees(rows.repartition(n, "month"), ("random_forest",))
+        found.append(models["random_forest"].featureImportances.toArray().tolist())
+    assert found[0] == found[1]
