@@ -23,10 +23,14 @@ LINEAR, TREES = ("ridge", "lasso"), ("gbt", "random_forest")
 #: Rows that a candidate asks of an entity.
 LEAST_ROWS = {"ridge": 12, "lasso": 12, "gbt": 24, "random_forest": 24}
 RIDGE, LASSO = 1.0, 0.1
+#: Matrices that ridge factors at a time (bounds memory).
+CHUNK = 2000
 #: Quantiles that are read from a sketch, equally far apart.
 RANKS = 400
 #: A vector of an entity's month: 1, the features, the quantity. Its sums of products are kept for i <= j.
 WIDE = len(FEATURES) + 2
+#: What rounding may leave of a sum of one product, beside its terms.
+NOISE = np.finfo(float).eps * WIDE
 UPPER = [(i, j) for i in range(WIDE) for j in range(i, WIDE)]
 
 
@@ -57,6 +61,27 @@ def merged(grams: DataFrame, more: DataFrame) -> DataFrame:
     return rows.groupBy("entity", "fold").agg(F.array(*[F.sum(F.get("gram", F.lit(k))) for k in range(len(UPPER))]).alias("gram"))
 
 
+def ridge_solved(centred: np.ndarray, moment: np.ndarray, n: np.ndarray, ridge: float) -> np.ndarray:
+    """Coefficients of ridge for many matrices (m, WIDE - 1, WIDE - 1) of sums of n centred rows; moment: the sums of the features' squares, not centred.
+
+    The last digits of sums are noise, which grows with the square of the quantities, and a mean of lags depends on the lags: no fixed penalty keeps such a
+    matrix definite. So each is taken back to a factor like that of its rows, without directions that are noise beside the squares (no row has a part in
+    them, and ridge gives them nothing), and the penalty meets the factor's singular values.
+    """
+    scale = np.sqrt(np.where(moment > 0, moment, 1))
+    found = np.zeros_like(moment)
+    for k in range(0, len(n), CHUNK):
+        part = slice(k, k + CHUNK)
+        by = scale[part]
+        values, vectors = np.linalg.eigh(centred[part, :-1, :-1] / by[:, :, None] / by[:, None, :])
+        known = values > NOISE * n[part, None]
+        root, turned = np.sqrt(np.where(known, values, 1)), vectors.transpose(0, 2, 1)
+        target = np.where(known, np.einsum("mij,mj->mi", turned, centred[part, :-1, -1] / by) / root, 0)
+        left, s, right = np.linalg.svd(np.where(known, root, 0)[:, :, None] * turned * by[:, None, :])
+        found[part] = np.einsum("mji,mj->mi", right, s / (s * s + ridge) * np.einsum("mji,mj->mi", left, target))
+    return found
+
+
 def solved(gram: np.ndarray, ridge: float = RIDGE, lasso: float = LASSO, most_sweeps: int = 1000) -> dict[str, np.ndarray]:
     """Coefficients (intercept first) of ridge and lasso for many Gram matrices (m, WIDE, WIDE) at a time; the intercept bears no penalty."""
     n = gram[:, 0, 0]
@@ -64,10 +89,11 @@ def solved(gram: np.ndarray, ridge: float = RIDGE, lasso: float = LASSO, most_sw
     centred = gram[:, 1:, 1:] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
     xx, xy = centred[:, :-1, :-1], centred[:, :-1, -1]
     k = xx.shape[1]
-    lower = np.linalg.cholesky(xx + ridge * np.eye(k))
-    found = {"ridge": np.linalg.solve(lower.transpose(0, 2, 1), np.linalg.solve(lower, xy[:, :, None]))[:, :, 0]}
-    # Lasso by coordinate descent on the same sums, all matrices together; what has settled is left out.
+    moment = np.einsum("mii->mi", gram)[:, 1:-1]
+    found = {"ridge": ridge_solved(centred, moment, n, ridge)}
+    # Lasso by coordinate descent on the same sums, all matrices together; what has settled is left out. A constant feature's square is noise of either sign.
     beta, left, square = np.zeros_like(xy), np.arange(len(n)), np.einsum("mii->mi", xx)
+    square = np.where(square > NOISE * n[:, None] * moment, square, 0)
     for _ in range(most_sweeps):
         b, a, c, d, limit = beta[left], xx[left], xy[left], square[left], lasso * n[left]
         moved = np.zeros(len(left))

@@ -73,6 +73,38 @@ def test_linear_candidates_equal_direct_fits(months, types):
     assert checked > 110 and lassos > 5
 
 
+@pytest.mark.parametrize("times", [1, 10**4, 10**6])
+def test_ridge_is_solved_whatever_the_scale_of_quantities(months, types, times):
+    """mean_3 depends on three lags, and the last digits of large sums exceed the penalty; entities of a year of rows have fewer of them than features."""
+    large = months.where("entity < 'm3'").withColumn("quantity", F.col("quantity") * times)
+    rows = em.with_folds(training_matrix(large, types))
+    found = {(c.entity, c.fold): np.array(c.coefficients) for c in em.coefficients(em.gram_sums(rows)).where("method = 'ridge'").collect()}
+    data = rows.select("entity", "fold", *FEATURES, F.col("quantity").cast("double").alias("quantity")).toPandas()
+    least = len(data)
+    for (entity, fold), coefs in found.items():
+        own = data[data["entity"] == entity]
+        train, tested = (own, own) if fold is None else (own[~(own["fold"] >= fold)], own[own["fold"] == fold])
+        want, x = ridge(train[FEATURES].astype(float).to_numpy(), train["quantity"].to_numpy()), tested[FEATURES].astype(float).to_numpy()
+        assert np.abs(x @ coefs[1:] + coefs[0] - x @ want[1:] - want[0]).max() <= 1e-5 * (train["quantity"].mean() + np.abs(x @ want[1:] + want[0]).max())
+        least = min(least, len(train))
+    assert len(found) > 40 and least < len(FEATURES)
+
+
+def test_lasso_settles_beside_constant_features(months, types):
+    """The square of a constant feature (an entity's cv) is noise of either sign around its mean; a root of it must not pass for settled."""
+    few = months.where("entity < 'm2'")
+    rows = em.with_folds(training_matrix(few, types.withColumn("cv", 0.3 + F.pmod(F.hash("entity"), F.lit(97)) / 7)))
+    found = {(c.entity, c.fold): np.array(c.coefficients) for c in em.coefficients(em.gram_sums(rows)).where("method = 'lasso'").collect()}
+    data = rows.select("entity", "fold", *FEATURES, F.col("quantity").cast("double").alias("quantity")).toPandas()
+    for (entity, fold), coefs in found.items():
+        own = data[data["entity"] == entity]
+        train = own if fold is None else own[~(own["fold"] >= fold)]
+        x, y = train[FEATURES].astype(float).to_numpy(), train["quantity"].to_numpy()
+        want = lasso(x, y)
+        assert x @ coefs[1:] + coefs[0] == pytest.approx(x @ want[1:] + want[0], abs=2e-3 * (1 + y.std()))
+    assert len(found) > 20
+
+
 def test_sums_of_disjoint_rows_are_added(months, types):
     rows = em.with_folds(training_matrix(months, types))
     late = F.col("month") >= F.lit(month(50))
