@@ -168,10 +168,16 @@ def tree_predictions(models: dict[str, RegressionModel], rows: DataFrame) -> Dat
 
 
 def kept(table: DataFrame) -> DataFrame:
-    """table, computed here and once. Months and types come from all sales, and candidates, folds and bands read them some dozen times."""
-    table = table.cache()
-    table.count()
-    return table
+    """table, computed here and once, in partitions by its number of rows and without its plan; one that is kept already is returned as it is.
+
+    Months and types come from all sales, and candidates, folds and bands read them some dozen times. The partitions of a cache alone would be the session's
+    shuffle partitions, which follow the sales, and each reading would cost a task for every one of them. Spark describes a plan with those of the caches in it
+    after every stage, so caches over caches fill the driver's memory with descriptions.
+    """
+    if table.is_cached:
+        return table
+    own = table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.localCheckpoint()
+    return own.coalesce(max(1, -(-own.count() // forecasting.PART_ROWS))).cache()
 
 
 def out_of_fold(months: DataFrame, types: DataFrame, splits: int = 3, test: int = 3, least: int = 12, candidates: tuple[str, ...] = (*LINEAR, *TREES, *METHODS)) -> DataFrame:
@@ -188,7 +194,7 @@ def out_of_fold(months: DataFrame, types: DataFrame, splits: int = 3, test: int
         coefs = coefficients(gram_sums(rows), splits).where(F.col("fold").isNotNull() & F.col("method").isin(*linear))
         parts.append(linear_predictions(rows.where(F.col("n") >= LEAST_ROWS["ridge"]), coefs, ["entity", "fold"]).select(keep))
     if trees:
-        rows = rows.cache()
+        rows = kept(rows)
         for fold in range(splits):
             tested = rows.where((F.col("fold") == fold) & (F.col("n") >= LEAST_ROWS["gbt"]))
             if not tested.isEmpty():
@@ -300,9 +306,9 @@ def train_and_forecast(months: DataFrame, types: DataFrame, horizon: int, metric
     forecast.
     """
     months, types = kept(months), kept(types)
-    known = out_of_fold(months, types, splits, test, candidates=candidates).cache()
+    known = kept(out_of_fold(months, types, splits, test, candidates=candidates))
     scores = model_scores(known, metric)
-    best, scale = best_models(scores), levels(months)
-    banded = bands(residual_sketches(known, scale), confidence)
+    best, scale = kept(best_models(scores)), levels(months)
+    banded = bands(kept(residual_sketches(known, scale)), confidence)
     forecasts = with_bands(forecast_best(months, types, best, horizon), scale, banded, test)
     return forecasts, training_summary(months, best), scores

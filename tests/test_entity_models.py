@@ -205,3 +205,13 @@ def test_trees_are_fitted_alike_whatever_the_shuffle_partitions(spark):
         models = em.fitted_trees(rows.repartition(n, "month"), ("random_forest",))
         found.append(models["random_forest"].featureImportances.toArray().tolist())
     assert found[0] == found[1]
+
+
+def test_kept_tables_follow_their_rows_and_bring_no_plan(spark, months):
+    """Caches over caches are described whole after every stage, and have a task for each shuffle partition."""
+    rows = months.repartition(40, "entity").groupBy("entity").agg(F.sum("quantity").alias("quantity"))
+    out = em.kept(rows)
+    assert em.kept(out) is out and out.rdd.getNumPartitions() == 1
+    twice = em.kept(out.join(months.repartition(40, "month"), "entity").groupBy("month").count())
+    assert twice.rdd.getNumPartitions() == 1 and "Exchange" not in twice._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
